@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, langid, mixing, packing, quality, rules, runtime, sst
+from . import jaccard, langid, mixing, packing, quality, rules, runtime, sst, substring, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -38,12 +42,20 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sst.export(_table(spark, sf_dir, "documents"))
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op3_language_id, op4_mix_sources, op5_jaccard_join, op6_quality_rules, op7_token_shards, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_language_id, op4_mix_sources, op5_jaccard_join, op6_quality_rules, op7_token_shards, op8_url_filters, op9_exact_topk, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
