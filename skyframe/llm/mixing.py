@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from . import runtime
 
 MOST, RANGES = 3, 1 << 14
+#: Sources whose plan fits in a broadcast.
+FEW = 5000
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -37,12 +39,16 @@ def quality(text: Column, words: Column) -> Column:
     return (words + 1).cast("double") / (words + 1 + symbols)
 
 
+def _key(size: Column, seed: int) -> Column:
+    digest = F.md5(F.concat_ws("\u0001", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
+    return -F.log(u) / quality(F.col("text"), size)
+
+
 def keyed(docs: DataFrame, seed: int = 1) -> DataFrame:
     """doc_id, source, size and the sampling key of every row."""
     sized = docs.select("doc_id", "text", "source", n_words(F.col("text")).alias("size"))
-    digest = F.md5(F.concat_ws("\u0001", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))))
-    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
-    return sized.select("doc_id", "source", "size", (-F.log(u) / quality(F.col("text"), F.col("size"))).alias("sample_key"))
+    return sized.select("doc_id", "source", "size", _key(F.col("size"), seed).alias("sample_key"))
 
 
 def targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
@@ -82,10 +88,28 @@ def thresholds(rows: DataFrame, most: int = MOST, ranges: int = RANGES) -> DataF
     return plan.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", F.col("epochs").cast("long").alias("epochs"), F.coalesce("inside", F.lit(-1.0)).alias("last_key"), F.coalesce("range", F.lit(0)).alias("last_range"))
 
 
+def _planned(rows: DataFrame, plan: DataFrame, ranges: int) -> DataFrame:
+    """Adds the plan of their source to rows, and times: how often a document is taken."""
+    plan = plan.select(F.col("source").alias("_source"), "source_size", "target", "epochs", "last_key", "last_range")
+    few = plan.limit(FEW + 1).collect()
+    if len(few) <= FEW:  # so few sources may be broadcast; no source's rows have to meet
+        plan = F.broadcast(rows.sparkSession.createDataFrame(few, plan.schema))
+    at = F.floor((1 - F.exp(-F.col("sample_key"))) * ranges)
+    once = (at < F.col("last_range")) | ((at == F.col("last_range")) & (F.col("sample_key") <= F.col("last_key")))
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).withColumn("times", F.col("epochs") + once.cast("long"))
+
+
 def mix(docs: DataFrame, most: int = MOST, seed: int = 1, ranges: int = RANGES) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of docs (doc_id, text, source)."""
     rows = runtime.cut(keyed(docs, seed))  # narrow; what follows reads it three times
-    plan = thresholds(rows, most, ranges).withColumnRenamed("source", "s")
-    at = F.floor((1 - F.exp(-F.col("sample_key"))) * ranges)
-    once = (at < F.col("last_range")) | ((at == F.col("last_range")) & (F.col("sample_key") <= F.col("last_key")))
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + once.cast("long"))).alias("taken"))
+    return _planned(rows, thresholds(rows, most, ranges), ranges).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+def sample(docs: DataFrame, most: int = MOST, seed: int = 1, ranges: int = RANGES) -> DataFrame:
+    """The mix itself: every row of docs as often as it is taken, with the columns of docs. Texts don't move."""
+    rows = runtime.cut(keyed(docs, seed))
+    own = F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("_row")
+    sized = docs.select(own, "doc_id", "text", "source", n_words(F.col("text")).alias("_size"))
+    ready = sized.select("_row", "source", _key(F.col("_size"), seed).alias("sample_key"))
+    taken = _planned(ready, thresholds(rows, most, ranges), ranges).where("times > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("_row.*")
