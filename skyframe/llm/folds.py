@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Values of a column, each with its number of rows, that fit in a broadcast.
+FEW = 5000
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """Whether crc32 of the identifier's text leaves no remainder. A row without an identifier isn't held out, nor learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
@@ -19,5 +23,8 @@ def bounded_sample(df: DataFrame, key: str, bound: int, by: str | None = None) -
     share = F.xxhash64(F.lit("sample"), F.col(key)) / F.lit(2.0**64) + 0.5
     if by is None:
         return df.crossJoin(F.broadcast(df.agg(F.count("*").alias("_n")))).where(share * F.col("_n") < bound).drop("_n")
-    counts = df.groupBy(by).agg(F.count("*").alias("_n"))
+    counts = df.select(by).groupBy(by).agg(F.count("*").alias("_n"))
+    few = counts.limit(FEW + 1).collect()
+    if len(few) <= FEW:  # so few values may be broadcast
+        counts = F.broadcast(df.sparkSession.createDataFrame(few, counts.schema))
     return df.join(counts, by).where(share * F.col("_n") < bound).drop("_n")

@@ -14,7 +14,7 @@ every whole text.  Null texts and texts without a letter are ``und`` with score
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -79,15 +79,13 @@ def learn(labelled: DataFrame, size: int = PROFILE, bound: int = BOUND) -> dict[
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(own), pa.string()), "gram": pa.array(own.keys(), pa.int64()), "n": pa.array(own.values(), pa.int64())})
 
     rows = labelled.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null")
-    sample = folds.bounded_sample(rows.select("doc_id", "lang"), "doc_id", bound, "lang").select("doc_id").distinct()
-    chosen = rows.join(sample, "doc_id", "left_semi").select("text", "lang")
+    chosen = folds.bounded_sample(rows, "doc_id", bound, "lang").select("text", "lang")
     sums = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = sums.groupBy("lang").agg(F.expr(f"slice(sort_array(collect_list(struct(-n as m, gram))), 1, {size})").alias("top"))
     return {r.lang: [x.gram for x in r.top] for r in top.select("lang", "top").collect()}
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE) -> DataFrame:
-    """doc_id, lang_pred, score of every row of docs (doc_id, text)."""
+def _judge(profiles: dict[str, list[int]], size: int) -> Callable[[str | None], tuple[str, float]]:
     langs = sorted(profiles)
     known = np.array(sorted({g for x in profiles.values() for g in x}), np.int64)
     place = np.full((len(langs), len(known) + 1), -1, np.int64)
@@ -96,7 +94,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE
 
     def judge(text: str | None) -> tuple[str, float]:
         own = ranked(*grams(text), size)
-        if not len(own) or not langs:
+        if not len(own) or not len(known):
             return UNDETERMINED, 0.0
         at = np.searchsorted(known, own)
         at[known[np.minimum(at, len(known) - 1)] != own] = len(known)
@@ -105,7 +103,14 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE
         best = int(distance.argmin())
         return langs[best], 1.0 - float(distance[best]) / (size * len(own))
 
+    return judge
+
+
+def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE) -> DataFrame:
+    """doc_id, lang_pred, score of every row of docs (doc_id, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _judge(profiles, size)
         for b in batches:
             out = [judge(x.as_py()) for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["doc_id", "lang_pred", "score"])
@@ -114,6 +119,18 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
+def recognised(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE, least: float = 0.2) -> DataFrame:
+    """The rows of docs whose text has a language, at a score of ``least`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _judge(profiles, size)
+        for b in batches:
+            out = [judge(x.as_py()) for x in b.column("text")]
+            yield b.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in out], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, size: int = PROFILE, bound: int = BOUND) -> DataFrame:
     """Learn from the documents that aren't held out, and predict all: doc_id, held_out, lang_pred, score."""
     profiles = learn(docs.where(~folds.held_out(F.col("doc_id"))), size, bound)

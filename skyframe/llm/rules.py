@@ -114,4 +114,5 @@ def judge(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD) -> D
 def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """Trusted target: documents that ``labels`` mark as of good quality and not toxic."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("doc_id is not null and q = 1 and t = 0").select("doc_id", F.lit(True).alias("trusted"))
-    return judge(docs, log_ratio(*count(docs.select("doc_id", "text").join(good, "doc_id", "left"), buckets, "trusted")), threshold)
+    marked = docs.select("doc_id", "text").join(good.hint("shuffle_hash"), "doc_id", "left")  # labels grow with the corpus: never broadcast
+    return judge(docs, log_ratio(*count(marked, buckets, "trusted")), threshold)
