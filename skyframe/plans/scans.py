@@ -86,7 +86,7 @@ def s20(d: Domain) -> DataFrame:
     return fits.zones(header).select("zone_id", "x", "y")
 
 
-@query("x1_windowed_fluxes", "select detector, date_trunc('hour', ts) \"hour\", count(*) n, round(avg(flux), 6) flux from exposures group by 1, 2", "exposures")
+@query("x1_windowed_fluxes", "select detector, cast(date_trunc('hour', ts) as varchar) \"hour\", count(*) n, round(avg(flux), 6) flux from exposures group by 1, 2", "exposures")
 def x1(d: Domain) -> DataFrame:
     """The streaming aggregate's batch form, by hour."""
-    return d.exposures.groupBy("detector", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"), r(F.avg("flux"), "flux"))
+    return d.exposures.groupBy("detector", F.date_trunc("hour", "ts").cast("string").alias("hour")).agg(F.count("*").alias("n"), r(F.avg("flux"), "flux"))
