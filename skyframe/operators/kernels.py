@@ -75,12 +75,18 @@ def sersic_mixture(n: float, components: int = 8, core: float = 0.01, beyond: fl
     lies beyond.  Above index 1 a core of variance 0 holds a share.
     """
     n = min(max(n, LEAST_INDEX), MOST_INDEX)
-    b = 2 * n - 1 / 3 + 4 / (405 * n)
     r = np.linspace(0.0, 8.0, 1601)
     mid = (r[1:] + r[:-1]) / 2
+    b = 2 * n - 1 / 3 + 4 / (405 * n)
+    if n < 0.5:  # where the series fails: half the flux inside unit radius, by bisection
+        lo, hi = 1e-3, 2.0
+        for _ in range(60):
+            b = (lo + hi) / 2
+            f = np.exp(-b * mid ** (1 / n)) * mid
+            lo, hi = (b, hi) if f[mid < 1].sum() < 0.5 * f.sum() else (lo, b)
     ring = np.exp(-b * (mid ** (1 / n) - 1)) * mid * np.diff(r)
     ring /= ring.sum()
-    variances = np.geomspace(4e-4 if n > 1 else 2e-2, 0.3 if n < 0.5 else 1.5 if n < 1.5 else 9.0, components)
+    variances = np.geomspace(4e-4 if n > 1 else 2e-2, 0.9 if n < 0.5 else 2.5 if n < 1.5 else 9.0, components)
     share = np.exp(-r[:-1, None] ** 2 / (2 * variances)) - np.exp(-r[1:, None] ** 2 / (2 * variances))
     blocks = np.add.reduceat(np.column_stack([ring, share]), np.arange(0, 1600, 20), axis=0)
     amps = non_negative(blocks[:, 1:], blocks[:, 0])

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
 def arriving(spark: SparkSession, folder: str, files_at_once: int = 500) -> DataFrame:
     """Files of a folder, so many a batch."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", "*.fits").option("maxFilesPerTrigger", files_at_once).load(folder)
+    return spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.fits").option("maxFilesPerTrigger", files_at_once).load(folder)
 
 
 def append_results(files: DataFrame, process: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
