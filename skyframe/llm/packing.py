@@ -23,6 +23,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -149,18 +150,17 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = tokens.V
     """doc_id, piece, start, length, ids_crc32 of every piece of every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = tokens.encoder(vocabulary).encode, tokens.END.to_bytes(4, "little")
+        encode = tokens.encoder(vocabulary).encode
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for lo, hi in tokens.batches(texts):
+            for lo, found in encode(b.column("text")):
                 row, part, start, length, crc = [], [], [], [], []
-                for k, ids in enumerate(encode(texts[lo:hi])):
-                    ids += end
-                    n, at, piece = len(ids) // 4, 0, 0
+                for k, ids in enumerate(found):
+                    ids = np.append(ids, np.uint32(tokens.END)).astype("<u4", copy=False)
+                    n, at, piece = len(ids), 0, 0
                     while at < n:
                         size = min(n, capacity) if at or n <= capacity else n % capacity or capacity
                         row.append(lo + k), part.append(piece), start.append(at), length.append(size)
-                        crc.append(zlib.crc32(ids[4 * at : 4 * (at + size)]))
+                        crc.append(zlib.crc32(ids[at : at + size]))
                         at, piece = at + size, piece + 1
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(part, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 

@@ -196,14 +196,14 @@ def write(docs: DataFrame, folder: str, shards: int, vocabulary: str = tokens.VO
         system.create_dir(path, recursive=True)
         shard, name = TaskContext.get().partitionId(), None
         for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for lo, hi in tokens.batches(texts):
+            keys = b.column("doc_id").to_pylist()
+            for lo, found in encode(b.column("text")):
                 if name is None:
                     name = f"{shard:06d}-{uuid.uuid4().hex}.sst"
                     out = system.open_output_stream(f"{path}/{name}")
                     writer, n = Writer(out), 0
-                for doc_id, own in zip(ids[lo:hi], encode(texts[lo:hi]), strict=True):
-                    writer.add(key_of(doc_id), np.append(np.frombuffer(own, "<u4"), np.uint32(tokens.END)))
+                for k, ids in enumerate(found):
+                    writer.add(key_of(keys[lo + k]), np.append(ids, np.uint32(tokens.END)))
                     n += 1
         if name is not None:
             size = writer.close()
