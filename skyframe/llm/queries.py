@@ -58,5 +58,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_language_id, op4_mix_sources, op5_jaccard_join, op6_quality_rules, op7_token_shards, op8_url_filters, op9_exact_topk, op10_best_fit_packing)}
 
 
+_MIX = r"""
+with sized as (
+  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) size, coalesce(length(text) - length(translate(text, '#*$%&|<>', '')), 0) symbols,
+    (cast('0x' || substr(md5('1' || chr(1) || coalesce(cast(doc_id as varchar), '-') || chr(1) || coalesce(text, '')), 1, 13) as ubigint) + 5e-1) / 4503599627370496e0 u
+  from documents),
+keyed as (select doc_id, source, size, -ln(u) / (cast(size + 1 as double) / (size + 1 + symbols)) sample_key from sized),
+sources as (select source, cast(sum(size) as bigint) source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 weight from keyed group by source),
+levels as (
+  select *, row_number() over o k, cast(sum(source_size) over () - 3 * coalesce(sum(source_size) over (o rows between unbounded preceding and 1 preceding), 0) as double)
+    / (sum(weight) over () - coalesce(sum(weight) over (o rows between unbounded preceding and 1 preceding), 0)) level
+  from sources window o as (order by source_size / weight, source nulls last)),
+free as (select arg_min(level, k) level from levels where level * weight < 3 * source_size),
+plan as (select source, source_size, least(cast(3 * source_size as double), weight * free.level) target from levels, free),
+parts as (select *, case when source_size > 0 then floor(target / source_size) else 0 end epochs from plan),
+run as (
+  select doc_id, size, source_size, target, epochs, target - epochs * source_size rest, sum(size) over (partition by k.source order by sample_key range between unbounded preceding and current row) upto,
+    sum(size) over (partition by k.source, sample_key) own
+  from keyed k join parts p on k.source is not distinct from p.source)
+select doc_id, size, source_size, target, cast(size * (epochs + case when upto - own / 2e0 <= rest then 1 else 0 end) as bigint) taken from run
+"""
+
+_TOP = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) score from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id)
+select query_id, cast(place as int) "rank", vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) place from s) t where place <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only what SQL says without models, vocabularies or hashed n-grams; tests compare the others with plain versions."""
+    return {"op4_mix_sources": _MIX, "op9_exact_topk": _TOP}
