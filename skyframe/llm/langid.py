@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import folds
@@ -81,8 +81,12 @@ def learn(labelled: DataFrame, size: int = PROFILE, bound: int = BOUND) -> dict[
     rows = labelled.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null")
     chosen = folds.bounded_sample(rows, "doc_id", bound, "lang").select("text", "lang")
     sums = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = sums.groupBy("lang").agg(F.expr(f"slice(sort_array(collect_list(struct(-n as m, gram))), 1, {size})").alias("top"))
-    return {r.lang: [x.gram for x in r.top] for r in top.select("lang", "top").collect()}
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    top = sums.withColumn("place", place).where(F.col("place") <= size).orderBy("lang", "place")
+    out: dict[str, list[int]] = {}
+    for r in top.collect():  # ``size`` rows a language
+        out.setdefault(r.lang, []).append(r.gram)
+    return out
 
 
 def _judge(profiles: dict[str, list[int]], size: int) -> Callable[[str | None], tuple[str, float]]:

@@ -19,7 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new folder there. All of an application's lie under its identifier, and may go once its results are read."""
+    return f"{shared_dir(spark)}/skyframe-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
