@@ -66,6 +66,43 @@ def normalised(mixture: Column) -> Column:
     return F.transform(mixture, lambda g: F.struct((g["amp"] / total(mixture)).alias("amp"), *(g[n].alias(n) for n in names)))
 
 
+def _with(mixture: Column, **changes) -> Column:
+    """Components with some fields changed; a change is a function of the component."""
+    names = ("amp", "mx", "my", "vxx", "vxy", "vyy")
+    return F.transform(mixture, lambda g: F.struct(*((changes[n](g) if n in changes else g[n]).alias(n) for n in names)))
+
+
+def shifted(mixture: Column, dx: Column, dy: Column) -> Column:
+    return _with(mixture, mx=lambda g: g["mx"] + dx, my=lambda g: g["my"] + dy)
+
+
+def scaled(mixture: Column, factor: Column) -> Column:
+    """To pixels of another size: positions by the factor, variances by its square."""
+    square = factor * factor
+    return _with(mixture, mx=lambda g: g["mx"] * factor, my=lambda g: g["my"] * factor, vxx=lambda g: g["vxx"] * square, vxy=lambda g: g["vxy"] * square, vyy=lambda g: g["vyy"] * square)
+
+
+def blurred(mixture: Column, sigma: Column) -> Column:
+    """Seen through a round Gaussian."""
+    v = sigma * sigma
+    return _with(mixture, vxx=lambda g: g["vxx"] + v, vyy=lambda g: g["vyy"] + v)
+
+
+def gradient(mixture: Column, x: Column, y: Column) -> tuple[Column, Column]:
+    """Derivatives of evaluate() by x and by y."""
+
+    def part(along: bool):
+        def add(s: Column, g: Column) -> Column:
+            dx, dy = x - g["mx"], y - g["my"]
+            det = F.greatest(F.lit(LEAST_DETERMINANT), g["vxx"] * g["vyy"] - g["vxy"] * g["vxy"])
+            slope = (g["vyy"] * dx - g["vxy"] * dy) / det if along else (g["vxx"] * dy - g["vxy"] * dx) / det
+            return s - g["amp"] * density(dx, dy, g["vxx"], g["vxy"], g["vyy"]) * slope
+
+        return F.aggregate(mixture, F.lit(0.0), add)
+
+    return part(True), part(False)
+
+
 def fourier(amp: Column, var: Column, mx: Column, my: Column, v: Column, w: Column) -> tuple[Column, Column]:
     """Real and imaginary part of a round component's transform at frequencies v, w in cycles a pixel."""
     size = amp * F.exp(-2.0 * math.pi**2 * var * (v * v + w * w))

@@ -66,3 +66,62 @@ def pixel_position_angle(pa: Column, w: dict[str, Column]) -> Column:
 def wrapped_step(a: Column, b: Column) -> Column:
     """b - a of two right ascensions, into [-180, 180)."""
     return F.pmod(b - a + 180.0, F.lit(360.0)) - 180.0
+
+
+def _plane(x: Column, y: Column, w: dict[str, Column]) -> tuple[Column, Column]:
+    dx, dy = x - w["crpix1"], y - w["crpix2"]
+    return w["cd11"] * dx + w["cd12"] * dy, w["cd21"] * dx + w["cd22"] * dy
+
+
+def tangent_to_pixel(ra: Column, dec: Column, w: dict[str, Column]) -> tuple[Column, Column]:
+    """Gnomonic projection, then the inverse of the CD matrix; null for the far side of the sky."""
+    d, d0, da = F.radians(dec), F.radians(w["crval2"]), F.radians(ra - w["crval1"])
+    c = F.sin(d0) * F.sin(d) + F.cos(d0) * F.cos(d) * F.cos(da)
+    near = c > 1e-9
+    u = F.degrees(F.cos(d) * F.sin(da) / F.when(near, c))
+    v = F.degrees((F.cos(d0) * F.sin(d) - F.sin(d0) * F.cos(d) * F.cos(da)) / F.when(near, c))
+    det = w["cd11"] * w["cd22"] - w["cd12"] * w["cd21"]
+    return w["crpix1"] + (w["cd22"] * u - w["cd12"] * v) / det, w["crpix2"] + (w["cd11"] * v - w["cd21"] * u) / det
+
+
+def tangent_to_sky(x: Column, y: Column, w: dict[str, Column]) -> tuple[Column, Column]:
+    u, v = (F.radians(c) for c in _plane(x, y, w))
+    d0 = F.radians(w["crval2"])
+    r = F.sqrt(1.0 + u * u + v * v)
+    dec = F.asin(_clip((F.sin(d0) + v * F.cos(d0)) / r))
+    ra = w["crval1"] + F.degrees(F.atan2(u, F.cos(d0) - v * F.sin(d0)))
+    return F.pmod(ra, F.lit(360.0)), F.degrees(dec)
+
+
+def distorted(x: Column, y: Column, w: dict[str, Column], a: dict[tuple[int, int], float], b: dict[tuple[int, int], float]) -> tuple[Column, Column]:
+    """Pixels with polynomial distortion: powers (p, q) of the offsets from the reference pixel, with their factors."""
+    u, v = x - w["crpix1"], y - w["crpix2"]
+
+    def term(c: dict[tuple[int, int], float]) -> Column:
+        out = F.lit(0.0)
+        for (p, q), f in sorted(c.items()):
+            t = F.lit(f)
+            for part, n in ((u, p), (v, q)):
+                for _ in range(n):
+                    t = t * part
+            out = out + t
+        return out
+
+    return x + term(a), y + term(b)
+
+
+def undistorted(x: Column, y: Column, w: dict[str, Column], a: dict[tuple[int, int], float], b: dict[tuple[int, int], float], steps: int = 3) -> tuple[Column, Column]:
+    """The inverse, by fixed-point steps; distortions are far below a pixel a pixel, so few suffice."""
+    px, py = x, y
+    for _ in range(steps):
+        dx, dy = distorted(px, py, w, a, b)
+        px, py = x - (dx - px), y - (dy - py)
+    return px, py
+
+
+#: Kinds of coordinate transforms, each sky to pixel and pixel to sky; further kinds may be added.
+TRANSFORMS = {
+    "null": (lambda ra, dec, w: (ra - w["crval1"], dec - w["crval2"]), lambda x, y, w: (x + w["crval1"], y + w["crval2"])),
+    "affine": (affine_to_pixel, affine_to_sky),
+    "tangent": (tangent_to_pixel, tangent_to_sky),
+}

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import photometry
+
 
 def mesh(pixels: DataFrame, key: str, box: int) -> DataFrame:
     """key, by, bx, level: filtered box medians. pixels: key, y, x, data, bad."""
@@ -31,3 +33,16 @@ def interpolated(pixels: DataFrame, levels: DataFrame, key: str, box: int) -> Da
     got = spread.withColumn("_w", weight).join(levels, [key, "by", "bx"], "left")
     total = F.sum(F.when(F.col("level").isNotNull(), F.col("_w")))
     return got.groupBy(*pixels.columns).agg((F.sum(F.col("_w") * F.col("level")) / total).alias("background"))
+
+
+def fit(pixels: DataFrame, key: str, kind: str = "mesh", box: int = 5) -> DataFrame:
+    """pixels (key, y, x, data, bad, iv) with column background: by mesh, by a plane, or none (0)."""
+    if kind == "none":
+        return pixels.withColumn("background", F.lit(0.0))
+    if kind == "plane":
+        p = photometry.plane(pixels, key)
+        level = F.coalesce(F.col("a") + F.col("b") * F.col("x") + F.col("c") * F.col("y"), F.lit(0.0))
+        return pixels.join(p, key, "left").withColumn("background", level).drop("a", "b", "c")
+    if kind != "mesh":
+        raise ValueError(f"no background of kind {kind}")
+    return interpolated(pixels, mesh(pixels, key, box), key, box)

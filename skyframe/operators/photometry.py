@@ -148,3 +148,39 @@ def plane(rows: DataFrame, *keys: str) -> DataFrame:
     whole = det(*cols)
     return m.withColumn("_det", whole).where(F.abs("_det") > 1e-9).select(*keys, (det(side, cols[1], cols[2]) / F.col("_det")).alias("a"), (det(cols[0], side, cols[2]) / F.col("_det")).alias("b"), (det(cols[0], cols[1], side) / F.col("_det")).alias("c"))
 
+
+
+def step(rows: DataFrame, *keys: str) -> DataFrame:
+    """One Gauss-Newton step of flux and position of lone sources. rows: as templates() gives them, with flux.
+
+    The derivatives of flux * a by x0 and y0 follow from the Gaussian; the three
+    unknowns' normal equations are nine sums and a 3 by 3 system a source.
+    """
+    s2 = F.col("sigma") * F.col("sigma")
+    gx, gy = (F.col("flux") * F.col("a") * (F.col(p) - F.col(f"{p}0")) / s2 for p in ("x", "y"))
+    w, d = F.col("iv"), F.col("data") - F.col("flux") * F.col("a")
+    g = {"f": F.col("a"), "x": gx, "y": gy}
+    sums = {f"{i}{j}": F.sum(g[i] * g[j] * w) for i, j in ("ff", "fx", "fy", "xx", "xy", "yy")} | {f"r{i}": F.sum(g[i] * d * w) for i in "fxy"}
+    m = rows.groupBy(*keys, "x0", "y0", "flux").agg(*(v.alias(f"_{k}") for k, v in sums.items()))
+    c = lambda k: F.col(f"_{k}")
+
+    def det(p: list[Column], q: list[Column], t: list[Column]) -> Column:
+        return p[0] * (q[1] * t[2] - q[2] * t[1]) - p[1] * (q[0] * t[2] - q[2] * t[0]) + p[2] * (q[0] * t[1] - q[1] * t[0])
+
+    cols = [[c("ff"), c("fx"), c("fy")], [c("fx"), c("xx"), c("xy")], [c("fy"), c("xy"), c("yy")]]
+    side = [c("rf"), c("rx"), c("ry")]
+    whole = det(*cols)
+    moves = [F.when(F.abs(whole) > 1e-12, det(*(side if k == i else cols[k] for k in range(3))) / whole).otherwise(0.0) for i in range(3)]
+    return m.select(*keys, (F.col("flux") + moves[0]).alias("flux"), (F.col("x0") + moves[1]).alias("x0"), (F.col("y0") + moves[2]).alias("y0"), F.greatest(F.abs(moves[1]), F.abs(moves[2])).alias("moved"))
+
+
+def refined(sources: DataFrame, pixels: DataFrame, reach: float = 5.0, tol: float = 1e-3, limit: int = 20) -> DataFrame:
+    """src_id, image_id, flux, x0, y0 after steps until no source moves by more than tol. The loop is on the driver; its checkpoints need a checkpoint folder."""
+    now = sources
+    shape = sources.select("src_id", "image_id", "sigma")
+    for _ in range(limit):
+        moved = step(templates(now, pixels, reach), "src_id", "image_id").checkpoint()
+        now = moved.join(shape, ["src_id", "image_id"]).select("src_id", "image_id", "x0", "y0", "sigma", "flux")
+        if (moved.agg(F.max("moved")).collect()[0][0] or 0.0) <= tol:
+            break
+    return moved.select("src_id", "image_id", "flux", "x0", "y0")

@@ -96,6 +96,34 @@ def r9(d: Domain) -> DataFrame:
     return each.groupBy("src_id", "x", "y").agg(r(F.sum(value), "a", 9))
 
 
+@query(
+    "m18_changed_mixtures",
+    f"""with {_SQL_PSF} select src_id, round(sum(pa * (pmx * ab + x0)), 6) mx, round(sum(pa * (pxx * ab * ab + sigma * sigma)), 6) vxx, round(sum(pa * pxy * ab * ab), 6) vxy, round(sum(pa * (pyy * ab * ab + sigma * sigma)), 6) vyy from src, psf group by 1""",
+    "src",
+)
+def m18(d: Domain) -> DataFrame:
+    """A point-spread mixture rescaled, shifted and blurred; its moments."""
+    m = mixtures.blurred(mixtures.shifted(mixtures.scaled(_psf(), F.col("ab")), F.col("x0"), F.col("y0")), F.col("sigma"))
+    g = d.sources.select("src_id", F.explode(m).alias("g"))
+    a = F.col("g.amp")
+    return g.groupBy("src_id").agg(r(F.sum(a * F.col("g.mx")), "mx"), *(r(F.sum(a * F.col(f"g.{n}")), n) for n in ("vxx", "vxy", "vyy")))
+
+
+_SLOPE = "-amp * {d} * ({n}) / (vxx * vyy - vxy * vxy)"
+
+
+@query(
+    "r6_mixture_gradient",
+    f"""with {_CONV} select src_id, round(sum({_SLOPE.format(d=_DENS.format(x='15e-1 - mx', y='-5e-1 - my'), n='vyy * (15e-1 - mx) - vxy * (-5e-1 - my)')}), 9) gx,
+ round(sum({_SLOPE.format(d=_DENS.format(x='15e-1 - mx', y='-5e-1 - my'), n='vxx * (-5e-1 - my) - vxy * (15e-1 - mx)')}), 9) gy from cv group by 1""",
+    "src frames",
+)
+def r6(d: Domain) -> DataFrame:
+    """Derivatives of a convolved mixture's density."""
+    gx, gy = mixtures.gradient(mixtures.convolve(_galaxy_mixture(), _psf()), F.lit(1.5), F.lit(-0.5))
+    return _shapes(d).select("src_id", r(gx, "gx", 9), r(gy, "gy", 9))
+
+
 @query("r7_fourier", "select src_id, round(ab * exp(-2e0 * pi() * pi() * sigma * (1e-2 + 4e-2)) * cos(-2e0 * pi() * (x0 * 1e-1 + y0 * 2e-1)), 6) re, round(ab * exp(-2e0 * pi() * pi() * sigma * (1e-2 + 4e-2)) * sin(-2e0 * pi() * (x0 * 1e-1 + y0 * 2e-1)), 6) im from src", "src")
 def r7(d: Domain) -> DataFrame:
     """A component's Fourier transform at one frequency."""

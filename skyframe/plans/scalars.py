@@ -101,6 +101,26 @@ def m10(d: Domain) -> DataFrame:
     return d.frames.select("image_id", r(sky.pixel_scale(wcs_columns()), "scale"), r(F.col("crpix1") - 3.0, "shifted1"), r((F.col("crpix2") - 0.5) / 2.0 + 0.5, "halved2"))
 
 
+@query(
+    "m10_tangent_wcs",
+    """with s as (select src_id, frames.*, x0 / 1e2 - 8e-2 + crval1 a, y0 / 1e2 - 8e-2 + crval2 d from src join frames using (image_id)),
+ c as (select *, sin(radians(crval2)) * sin(radians(d)) + cos(radians(crval2)) * cos(radians(d)) * cos(radians(a - crval1)) c from s),
+ uv as (select *, degrees(cos(radians(d)) * sin(radians(a - crval1)) / c) u, degrees((cos(radians(crval2)) * sin(radians(d)) - sin(radians(crval2)) * cos(radians(d)) * cos(radians(a - crval1))) / c) v from c)
+ select src_id, round(crpix1 + (cd22 * u - cd12 * v) / (cd11 * cd22 - cd12 * cd21), 6) x, round(crpix2 + (cd11 * v - cd21 * u) / (cd11 * cd22 - cd12 * cd21), 6) y, round(cast(((a % 360e0) + 360e0) % 360e0 as double), 5) ra_back, round(d, 5) dec_back from uv""",
+    "src frames",
+)
+def m10_tangent(d: Domain) -> DataFrame:
+    """Gnomonic projection to pixels and back, under a small distortion that is taken out again."""
+    rows, w = _projected(d), wcs_columns()
+    x, y = sky.TRANSFORMS["tangent"][0](F.col("a"), F.col("d"), w)
+    bend = ({(2, 0): 1e-4, (1, 1): -5e-5}, {(0, 2): 2e-4})
+    bx, by = sky.distorted(F.col("tx"), F.col("ty"), w, *bend)
+    rows = rows.withColumn("tx", x).withColumn("ty", y).withColumn("bx", bx).withColumn("by", by)
+    ux, uy = sky.undistorted(F.col("bx"), F.col("by"), w, *bend)
+    ra, dec = sky.TRANSFORMS["tangent"][1](ux, uy, w)
+    return rows.select("src_id", r(F.col("tx"), "x"), r(F.col("ty"), "y"), r(ra, "ra_back", 5), r(dec, "dec_back", 5))
+
+
 @query("m12_position_derivatives", "select src_id, round((sigma * cd22 - ab * cd21) / (cd11 * cd22 - cd12 * cd21), 6) dra, round((ab * cd11 - sigma * cd12) / (cd11 * cd22 - cd12 * cd21), 6) ddec from src join frames using (image_id)", "src frames")
 def m12(d: Domain) -> DataFrame:
     """Derivatives by pixel to derivatives by position."""

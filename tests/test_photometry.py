@@ -160,3 +160,24 @@ def test_background_of_a_constant_ignores_masked_pixels(spark):
     p = image(spark, np.full((15, 15), 7.0)).withColumn("bad", F.expr("x = 3")).withColumn("data", F.when(F.col("bad"), 1e6).otherwise(F.col("data")))
     got = background.interpolated(p, background.mesh(p, "image_id", 5), "image_id", 5).toPandas()
     assert len(got) == 225 and np.allclose(got.background, 7.0)
+
+
+def test_positions_are_refined(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(f"file://{tmp_path}")
+    data = 1000 * gaussian(32, 15.5, 15.5, 1.5)
+    src = sources(spark, [(1, 1, 14.5, 14.5, 1.5, 900.0)])
+    got = photometry.refined(src, image(spark, data), 30.0).collect()[0]
+    assert abs(got.x0 - 15.5) < 0.05 and abs(got.y0 - 15.5) < 0.05 and abs(got.flux - 1000) < 1
+
+
+def test_kinds_of_background(spark):
+    from pyspark.sql import functions as F
+
+    yy, xx = np.mgrid[:10, :10]
+    p = image(spark, 1.0 + xx).withColumn("bad", F.lit(False))
+    plane = background.fit(p, "image_id", "plane").toPandas()
+    assert np.allclose(plane.background, plane.data)
+    assert background.fit(p, "image_id", "none").where("background = 0").count() == 100
+    assert background.fit(p, "image_id", "mesh").where("background is null").count() == 0
+    with pytest.raises(ValueError):
+        background.fit(p, "image_id", "other")
