@@ -87,6 +87,39 @@ select query_id, cast(place as int) "rank", vec_id, score from (select *, row_nu
 """
 
 
+def _urls() -> str:
+    """The template tree level by level; numbers are the defaults of urls."""
+    fits = " ".join(f"when (host = '{h}' or suffix(host, '.{h}')) and starts_with(path, '/{p}') then '{h}/{p}'" for h, p in (("example.net", "en/"), ("example.com", "de/"), ("org", "fr/"), ("net", "")))
+    seg, rest = [f"s{k}" for k in range(4)], "host, shape, n, labelled, bad"
+    parts = [
+        "u as (select page_id, case when coalesce(instr(url, '://'), 0) > 0 then substr(url, instr(url, '://') + 3) else '' end rest from pages)",
+        "hp as (select page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path from u)",
+        f"ru as (select *, case {fits} end rule, list_transform(list_filter(str_split(path, '/'), lambda x: x <> ''), lambda x: case when regexp_matches(x, '[0-9]') then '*' || regexp_extract(x, '(\\.[A-Za-z]+)\\z', 1) else x end) segs from hp)",
+        "sh as (select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' end decided, case when len(segs) > 4 then list_append(segs[1:3], '**') else segs end shape from ru)",
+        f"t0 as (select host, shape, count(*) n, count(decided) labelled, count(case when decided = 'block' then 1 end) bad, {', '.join(f"coalesce(shape[{k + 1}], '') s{k}" for k in range(4))} from sh group by host, shape)",
+    ]
+    for k in range(4):
+        node, others = ", ".join(["host", *seg[:k]]), ", ".join(x for x in seg if x != seg[k])
+        parts += [
+            f"c{k} as (select {node}, s{k}, sum(n) own from t{k} group by {node}, s{k})",
+            f"w{k} as (select {node}, count(*) children, sum(own) total from c{k} group by {node})",
+            f"t{k + 1} as (select {rest}, {others}, case when children > 24 and own * 24 < total and s{k} not in ('', '**') then '*' else s{k} end s{k} from t{k} join c{k} using ({node}, s{k}) join w{k} using ({node}))",
+        ]
+    every = ", ".join(seg)
+    for step, k in enumerate(reversed(range(4)), 4):
+        others = ", ".join(x for x in seg if x != seg[k])
+        parts += [
+            f"g{k} as (select host, {every}, floor((sum(bad) + 8e-1) / (sum(labelled) + 4e0) / 1e-1) band from t{step} group by host, {every})",
+            f"n{k} as (select host, {others}, band, string_agg(distinct s{k}, '|' order by s{k}) name from g{k} where s{k} <> '' group by host, {others}, band)",
+            f"t{step + 1} as (select {rest}, {others}, coalesce(name, s{k}) s{k} from t{step} join g{k} using (host, {every}) left join n{k} using (host, {others}, band))",
+        ]
+    parts += [
+        f"total as (select host, {every}, (sum(bad) + 8e-1) / (sum(labelled) + 4e0) bad_share from t8 group by host, {every})",
+        f"found as (select host, shape, '/' || array_to_string(list_filter([{every}], lambda x: x <> ''), '/') template, bad_share from t8 join total using (host, {every}))",
+    ]
+    return f"with {', '.join(parts)} select page_id, host, coalesce(path, '') path, rule, coalesce(decided, case when bad_share >= 5e-1 then 'block' else 'allow' end) verdict, template, bad_share from sh join found using (host, shape)"
+
+
 def oracle_sql() -> dict[str, str]:
     """Only what SQL says without models, vocabularies or hashed n-grams; tests compare the others with plain versions."""
-    return {"op4_mix_sources": _MIX, "op9_exact_topk": _TOP}
+    return {"op4_mix_sources": _MIX, "op8_url_filters": _urls(), "op9_exact_topk": _TOP}

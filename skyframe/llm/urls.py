@@ -51,7 +51,7 @@ def ruled(host: Column, path: Column, rules: dict[str, str]) -> Column:
 def _segments(path: Column, depth: int) -> Column:
     """Of a path, ``depth`` segments; those with a digit are wildcards, an empty one stands for the end."""
     all_ = F.filter(F.split(path, "/"), lambda x: x != "")
-    general = F.transform(all_, lambda x: F.when(x.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(x, r"(\.[A-Za-z]+)$", 1))).otherwise(x))
+    general = F.transform(all_, lambda x: F.when(x.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(x, r"(\.[A-Za-z]+)\z", 1))).otherwise(x))
     return F.when(F.size(general) > depth, F.concat(F.slice(general, 1, depth - 1), F.array(F.lit("**")))).otherwise(general)
 
 
