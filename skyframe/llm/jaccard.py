@@ -169,7 +169,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, l
     who = F.xxhash64("rep", "h1", "h2")
     groups = nodes.groupBy("tree", "prefix").agg(F.count("*").alias("docs"), F.sum("n").alias("volume"), F.bit_xor(who).alias("x"), F.min(who).alias("lo"), F.max(who).alias("hi")).where("docs > 1")
     chosen = groups.groupBy("docs", "volume", "x", "lo", "hi").agg(F.min(F.struct("tree", "prefix")).alias("at"))
-    parts = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("volume") * 8 / BLOCK_BYTES)).cast("int")
+    parts = F.least(F.col("docs"), F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("volume") * 8 / BLOCK_BYTES))).cast("int")
     chosen = chosen.select("at.tree", "at.prefix", parts.alias("parts"))
     wanted = nodes.join(chosen, ["tree", "prefix"]).groupBy("rep", "h1", "h2").agg(F.collect_list(F.struct("tree", "prefix", "parts")).alias("nodes"))  # ``trees`` entries at most
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "h1", "h2", "nodes")
