@@ -35,11 +35,17 @@ def partitions(spark: SparkSession) -> int:
 
 
 _SHIPPED: set[str] = set()
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that they can import what the functions refer to."""
+    """Send this package to the executors, once per application, so that they can import what the functions refer to.
+
+    Texts are long: unless the user has set it, an Arrow batch holds fewer rows than Spark's own 10,000.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, "1000")
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]

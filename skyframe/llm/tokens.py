@@ -24,7 +24,7 @@ from .textcore import Chunk, chunks
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
 #: Distinct parts in either of the two generations that a worker remembers; and bytes of text at a time.
-REMEMBERED, CHUNK = 800_000, 2 << 20
+REMEMBERED, CHUNK = 250_000, 1 << 20
 _MARKS = np.isin(np.arange(256), list(b".,;:!?"))
 _ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
 _ODD = np.array([(b < 0x20 and b != 0x0A) or b == 0x7F for b in range(256)])
