@@ -38,10 +38,22 @@ def cones(rows: DataFrame, targets: DataFrame, radius: float, id_column: str) ->
     return own.join(near, "_band").where(gap <= radius).select(id_column, "target", gap.alias("separation"))
 
 
-def footprint(sources: DataFrame, pixels: DataFrame, radius: Column) -> DataFrame:
-    """Each source with the pixels of its image inside the square of ``radius`` around it."""
+def footprint(sources: DataFrame, pixels: DataFrame, radius: Column, cell: int = 32) -> DataFrame:
+    """Each source with the pixels of its image inside the square of ``radius`` around it.
+
+    Pixels belong to cells of their image, and a source goes to the cells that its
+    square touches, so a crowded or large image is many small joins, not one.
+    Sources without a position meet nothing.
+    """
+
+    def touched(v: str) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(v) - radius) / cell), F.floor((F.col(v) + radius) / cell)))
+
+    placed = sources.where(~F.isnan("x0") & ~F.isnan("y0") & F.col("x0").isNotNull() & F.col("y0").isNotNull())
+    spread = placed.withColumn("_cx", touched("x0")).withColumn("_cy", touched("y0"))
+    cells = pixels.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
     inside = F.col("x").between(F.col("x0") - radius, F.col("x0") + radius) & F.col("y").between(F.col("y0") - radius, F.col("y0") + radius)
-    return sources.join(pixels, "image_id").where(inside)
+    return spread.join(cells, ["image_id", "_cx", "_cy"]).where(inside).drop("_cx", "_cy")
 
 
 def in_box(x: Column, y: Column, x0: Column, x1: Column, y0: Column, y1: Column, margin: float = 0.0) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ellipses, mixtures
 from ..operators import kernels, photometry
+from ..operators.spatial import footprint
 from .domain import Domain
 from .registry import query
 from .scalars import r
@@ -89,7 +90,7 @@ def r5(d: Domain) -> DataFrame:
 def r9(d: Domain) -> DataFrame:
     """Galaxies under a mixture point-spread function, on the pixels around them."""
     shaped = _shapes(d).withColumn("mog", mixtures.convolve(_galaxy_mixture(), _psf()))
-    pairs = shaped.select("src_id", "image_id", "x0", "y0", "mog").join(d.pixels, "image_id").where("x between x0 - 3 and x0 + 3 and y between y0 - 3 and y0 + 3")
+    pairs = footprint(shaped.select("src_id", "image_id", "x0", "y0", "mog"), d.pixels.select("image_id", "x", "y"), F.lit(3.0))
     # exploded components keep the densities inside generated code, where an array function is interpreted
     each = pairs.select("src_id", "x", "y", (F.col("x") - F.col("x0")).alias("dx"), (F.col("y") - F.col("y0")).alias("dy"), F.explode("mog").alias("g"))
     value = F.col("g.amp") * mixtures.density(F.col("dx") - F.col("g.mx"), F.col("dy") - F.col("g.my"), F.col("g.vxx"), F.col("g.vxy"), F.col("g.vyy"))
