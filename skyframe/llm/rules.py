@@ -65,7 +65,7 @@ def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
 def features(c: Chunk) -> dict[str, np.ndarray]:
     """The base features of each text of a chunk."""
     starts_char = (c.data & 0xC0) != 0x80
-    out = {"n_words": c.n_words, "word_chars": c.per_doc(starts_char & c._in_word), "n_symbols": c.per_doc(_SYMBOLS[c.data])}
+    out = {"n_words": c.n_words, "word_chars": c.per_doc(starts_char & c.in_word), "n_symbols": c.per_doc(_SYMBOLS[c.data])}
     # lines with a word, by hash; of each text's equal ones all but the first count
     cut = np.zeros(len(c.data) + 1, bool)
     cut[c.offsets[:-1]] = True

@@ -70,24 +70,24 @@ class Chunk:
         return len(self.offsets) - 1
 
     @cached_property
-    def _in_word(self) -> np.ndarray:
+    def in_word(self) -> np.ndarray:
         return ~_SPACE[self.data]
 
     @cached_property
     def starts(self) -> np.ndarray:
         before = np.empty(len(self.data) + 1, bool)
         before[0] = False
-        before[1:] = self._in_word
+        before[1:] = self.in_word
         before[self.offsets] = False
-        return np.flatnonzero(self._in_word & ~before[:-1])
+        return np.flatnonzero(self.in_word & ~before[:-1])
 
     @cached_property
     def ends(self) -> np.ndarray:
         after = np.empty(len(self.data) + 1, bool)
-        after[:-1] = self._in_word
+        after[:-1] = self.in_word
         after[-1] = False
         after[self.offsets] = False
-        return np.flatnonzero(self._in_word & ~after[1:]) + 1
+        return np.flatnonzero(self.in_word & ~after[1:]) + 1
 
     @cached_property
     def doc(self) -> np.ndarray:

@@ -125,7 +125,7 @@ class Encoder:
         """Texts that have other white space than single spaces and line ends between words."""
         d = c.data
         bad = _ODD[d]
-        space = ~c._in_word
+        space = ~c.in_word
         bad[1:] |= space[1:] & space[:-1]
         bad[:-1] |= _WIDE[d[:-1], d[1:]]
         full = np.flatnonzero(np.diff(c.offsets))
