@@ -27,6 +27,8 @@ from . import folds
 UNDETERMINED = "und"
 PROFILE, BOUND = 300, 2000
 _BITS, _BLANK = 21, 0x20
+#: Characters counted at a time.
+PART = 1 << 20
 
 
 @lru_cache(1)
@@ -39,7 +41,24 @@ def _letters() -> np.ndarray:
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a text, packed into integers, and their counts; none if it has no letter."""
+    """Distinct n-grams of a text, packed into integers, and their counts; none if it has no letter.
+
+    A very long text is counted in parts that end between words.
+    """
+    if not text or len(text) <= PART:
+        return _grams(text)
+    found, lo = [], 0
+    while lo < len(text):
+        hi = min(lo + PART, len(text))
+        while hi < len(text) and text[hi].isalpha():
+            hi += 1
+        found.append(_grams(text[lo:hi]))
+        lo = hi
+    packed, inverse = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+    return packed, np.bincount(inverse, np.concatenate([n for _, n in found]), len(packed)).astype(np.int64)
+
+
+def _grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     if not text:
         return none, none

@@ -44,18 +44,18 @@ _LETTERS = seeds(256, 1000)
 _BASE = int(seeds(1, 77)[0]) | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_POWERS: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n + 1."""
-    if len(_POWERS[0]) <= n:
-        size = max(n + 1, CHUNK_BYTES + 1)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            out = np.full(size, base, _U)
-            out[0] = 1
-            _POWERS[k] = np.multiply.accumulate(out)
-    return _POWERS[0], _POWERS[1]
+def _powers(base: int) -> np.ndarray:
+    """Of a base modulo 2**64, for the places of one block of bytes."""
+    out = np.full(CHUNK_BYTES, base, _U)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+#: A longer text is hashed block by block, so these stay as they are.
+_UP, _DOWN = _powers(_BASE), _powers(_INVERSE)
 
 
 @dataclass
@@ -105,15 +105,27 @@ class Chunk:
 
     @cached_property
     def _sums(self) -> np.ndarray:
-        up, _ = _powers(len(self.data))
         out = np.zeros(len(self.data) + 1, _U)
-        np.cumsum(_LETTERS[self.data] * up[: len(self.data)], out=out[1:])
+        for lo in range(0, len(self.data), CHUNK_BYTES):
+            block = _LETTERS[self.data[lo : lo + CHUNK_BYTES]]
+            block *= _UP[: len(block)]
+            if lo:
+                block *= _U(pow(_BASE, lo, 1 << 64))
+            np.cumsum(block, out=out[lo + 1 : lo + 1 + len(block)])
+            if lo:
+                out[lo + 1 : lo + 1 + len(block)] += out[lo]
         return out
 
+    def _down(self, at: np.ndarray) -> np.ndarray:
+        """Inverse powers for places."""
+        if len(self.data) <= CHUNK_BYTES:
+            return np.append(_DOWN, _U(0))[at] if len(at) and at.max() == CHUNK_BYTES else _DOWN[at]
+        far = np.array([pow(_INVERSE, k * CHUNK_BYTES, 1 << 64) for k in range(len(self.data) // CHUNK_BYTES + 1)], _U)
+        return _DOWN[at % CHUNK_BYTES] * far[at // CHUNK_BYTES]
+
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Of the byte ranges [start, end)."""
-        _, down = _powers(len(self.data))
-        return mix64((self._sums[ends] - self._sums[starts]) * down[starts] + (ends - starts).astype(_U))
+        return mix64((self._sums[ends] - self._sums[starts]) * self._down(starts) + (ends - starts).astype(_U))
 
     @cached_property
     def words(self) -> np.ndarray:

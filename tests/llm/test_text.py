@@ -95,6 +95,20 @@ def test_out_of_place_distance_by_hand():
     assert langid._judge(profiles, 5)("aaab") == ("x", 1 - distance / (5 * len(own)))
 
 
+def test_long_texts_are_counted_and_hashed_in_parts(monkeypatch):
+    rng = random.Random(4)
+    text = " ".join(_language(k % 3, 20, rng) for k in range(40))
+    whole = langid.grams(text)
+    monkeypatch.setattr(langid, "PART", 100)
+    parts = langid.grams(text)
+    assert np.array_equal(whole[0], parts[0]) and np.array_equal(whole[1], parts[1])
+    long = "é word, " * 150_000
+    own = [c for _, _, c in textcore.chunks(pa.array([long, "word,", long]))]
+    assert len(own) == 3 and len(own[0].data) > textcore.CHUNK_BYTES
+    assert (own[0].words[1::2] == own[1].words[0]).all() and len(set(own[0].words[::2].tolist())) == 1
+    assert own[0].hashes(own[0].offsets[:1], own[0].offsets[1:]) == own[2].hashes(own[2].offsets[:1], own[2].offsets[1:])
+
+
 def test_bounded_sample(spark):
     df = spark.range(1000).withColumnRenamed("id", "doc_id").selectExpr("doc_id", "doc_id % 2 as g")
     n = folds.bounded_sample(df, "doc_id", 100).count()
