@@ -23,8 +23,8 @@ import pyarrow as pa
 from .textcore import Chunk, chunks
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
-#: Distinct parts in either of the two generations that a worker remembers; and bytes of text at a time.
-REMEMBERED, CHUNK = 250_000, 1 << 20
+#: Distinct parts that a worker remembers, at some 40 bytes each; and bytes of text at a time.
+REMEMBERED, CHUNK = 2_000_000, 1 << 20
 _MARKS = np.isin(np.arange(256), list(b".,;:!?"))
 _ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
 _ODD = np.array([(b < 0x20 and b != 0x0A) or b == 0x7F for b in range(256)])
@@ -41,15 +41,27 @@ def _byte_letters() -> list[str]:
 
 
 class _Parts:
-    """One generation of known parts: hash to place, and the identifiers at each place."""
+    """Known parts: sorted hashes with their places, in a large and a fresh table, and the identifiers at each place."""
 
     def __init__(self) -> None:
-        self.place: dict[int, int] = {}
+        self._tables = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
         self.ids = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)
         self.n = 0
 
-    def add(self, hashes: list[int], parts: list[list[int]]) -> None:
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of ascending hashes, -1 where unknown."""
+        out = np.full(len(hashes), -1, np.int64)
+        for known, places in self._tables:
+            if len(known):
+                at = np.searchsorted(known, hashes)
+                at[at == len(known)] = 0
+                hit = known[at] == hashes
+                out[hit] = places[at[hit]]
+        return out
+
+    def add(self, hashes: np.ndarray, parts: list[list[int]]) -> None:
+        """hashes: ascending, none of them known."""
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         begin, more = (int(self.ends[self.n - 1]) if self.n else 0), int(sizes.sum())
         while begin + more > len(self.ids):
@@ -58,11 +70,18 @@ class _Parts:
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         self.ids[begin : begin + more] = np.fromiter(chain.from_iterable(parts), np.uint32, more)
         self.ends[self.n : self.n + len(parts)] = begin + np.cumsum(sizes)
-        self.place.update(zip(hashes, range(self.n, self.n + len(parts)), strict=True))
+        fresh = self._merged(self._tables[1], (hashes, np.arange(self.n, self.n + len(parts))))
+        large = self._tables[0]
+        if len(fresh[0]) > max(1 << 15, len(large[0]) // 8):
+            large, fresh = self._merged(large, fresh), (fresh[0][:0], fresh[1][:0])
+        self._tables = [large, fresh]
         self.n += len(parts)
 
-    def get(self, place: int) -> list[int]:
-        return self.ids[self.ends[place - 1] if place else 0 : self.ends[place]].tolist()
+    @staticmethod
+    def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate([a[0], b[0]])
+        order = np.argsort(keys, kind="stable")  # two ascending runs: one merge
+        return keys[order], np.concatenate([a[1], b[1]])[order]
 
 
 class Encoder:
@@ -80,7 +99,7 @@ class Encoder:
         self._plain = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec["model"].get("type") == "BPE"
         self._model = self._tokenizer.model
         self._letters = dict(enumerate(_byte_letters()))
-        self._now, self._older = _Parts(), _Parts()
+        self._known = _Parts()
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -101,25 +120,19 @@ class Encoder:
 
     def _lookup(self, c: Chunk, h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each part its number among the distinct ones, and of those the identifiers: flat, with ends."""
-        code, distinct = pd.factorize(h)
-        if self._now.n > REMEMBERED:
-            self._now, self._older = _Parts(), self._now
-        now = self._now
-        keys = distinct.tolist()
-        get = now.place.get
-        at = np.fromiter((get(x, -1) for x in keys), np.int64, len(keys))
+        code, distinct = pd.factorize(h, sort=True)
+        if self._known.n > REMEMBERED:
+            self._known = _Parts()
+        known = self._known
+        at = known.find(distinct)
         lost = np.flatnonzero(at < 0)
         if len(lost):
-            first = np.zeros(len(keys), np.int64)
+            first = np.zeros(len(distinct), np.int64)
             first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-            old, new = [], []
-            for k in lost.tolist():
-                (old if keys[k] in self._older.place else new).append(k)
-            now.add([keys[k] for k in old], [self._older.get(self._older.place[keys[k]]) for k in old])
-            raw, a, z = c.data.tobytes(), begin[first].tolist(), end[first].tolist()
-            now.add([keys[k] for k in new], self._learn([raw[a[k] : z[k]] for k in new]))
-            at[lost] = [get(keys[k]) for k in lost.tolist()]
-        return code, np.where(at > 0, now.ends[at - 1], 0), now.ends[at]
+            raw, n = c.data.tobytes(), known.n
+            known.add(distinct[lost], self._learn([raw[a:z] for a, z in zip(begin[first[lost]].tolist(), end[first[lost]].tolist(), strict=True)]))
+            at[lost] = np.arange(n, known.n)
+        return code, np.where(at > 0, known.ends[at - 1], 0), known.ends[at]
 
     def _odd(self, c: Chunk) -> np.ndarray:
         """Texts that have other white space than single spaces and line ends between words."""
@@ -170,7 +183,7 @@ class Encoder:
             kind = kind[where]
             size = (hi - lo)[kind]
             ends = np.cumsum(size)
-            flat = self._now.ids[np.repeat(lo[kind] - ends + size, size) + np.arange(ends[-1])]
+            flat = self._known.ids[np.repeat(lo[kind] - ends + size, size) + np.arange(ends[-1])]
             sums = np.concatenate([[0], ends])
             bounds = np.searchsorted(where, 3 * np.searchsorted(doc, np.arange(c.n + 1)))
             sizes = np.diff(sums[bounds])
