@@ -151,6 +151,13 @@ def test_exact_repeats_are_all_covered(spark):
     assert set(got) == set(must)
 
 
+def test_passages_of_repeated_words_line_up():
+    a, b, c, d = (np.uint64(x) for x in (1, 2, 3, 4))
+    other = np.array([d] * 20 + [a] * 30 + [c] + [b] * 30 + [d] * 20)
+    own = np.array([a] * 150 + [c] + [b] * 30)
+    assert (120, 185, 20, 85) in substring.passages(own, other)
+
+
 def test_sliding_minima():
     rng = np.random.default_rng(3)
     v = rng.integers(0, 99, 60)
