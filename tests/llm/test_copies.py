@@ -151,6 +151,23 @@ def test_exact_repeats_are_all_covered(spark):
     assert set(got) == set(must)
 
 
+def test_exact_repeats_are_found_behind_documents_with_a_part(spark):
+    rng = random.Random(11)
+    docs, must = {}, {}
+    for g in range(40):
+        shared = passages_of(rng, 50 + g % 3 * 10)
+        line = shared[5 : 45 + g % 3 * 2]  # under 50 words: no passage, though its document leads most groups
+        docs[g] = passages_of(rng, 70) + line + passages_of(rng, 80)
+        for i in (100 + g, 200 + g):
+            docs[i] = passages_of(rng, 60 + g) + shared + passages_of(rng, 90 - g)
+        must[200 + g] = set(range(60 + g, 60 + g + len(shared)))
+    got = {}
+    for r in substring.repeats(documents(spark, [(i, " ".join(w)) for i, w in docs.items()])).collect():
+        if r.kept_in >= 100:
+            got.setdefault(r.doc_id, set()).update(range(r.first_word, r.end_word))
+    assert got == must
+
+
 def test_passages_of_repeated_words_line_up():
     a, b, c, d = (np.uint64(x) for x in (1, 2, 3, 4))
     other = np.array([d] * 20 + [a] * 30 + [c] + [b] * 30 + [d] * 20)
