@@ -175,6 +175,21 @@ def test_passages_of_repeated_words_line_up():
     assert (120, 185, 20, 85) in substring.passages(own, other)
 
 
+def test_passages_with_an_inserted_run_are_found():
+    rng = np.random.default_rng(5)
+    for length, run in ((90, 8), (90, 10), (90, 12), (80, 8), (80, 10), (94, 12), (300, 40)):
+        ids = iter(rng.permutation(2**20).astype(np.uint64))
+        take = lambda n: [next(ids) for _ in range(n)]
+        for at in (length // 2, length // 3):
+            # shingles over an edge differ, so a hole of run + 4 stands against one of 4
+            head, tail = take(at - 4), take(length - 4 - at)
+            own = np.array([*take(60), *head, *take(run + 4), *tail, *take(60)])
+            other = np.array([*take(30), *head, *take(4), *tail, *take(90)])
+            assert substring.passages(own, other) == [(60, 60 + length + run, 30, 30 + length)]
+    apart = take(40), take(40)
+    assert substring.passages(np.array([*apart[0], *take(60), *apart[1]]), np.array([*apart[0], *take(60), *apart[1]])) == []
+
+
 def test_sliding_minima():
     rng = np.random.default_rng(3)
     v = rng.integers(0, 99, 60)
