@@ -169,19 +169,25 @@ def u1(d: Domain) -> DataFrame:
     return rows.select("g.o", "g.k", r(F.col("g.amp") / F.col("t"), "amp", 9), "g.var")
 
 
+def _with_stamps(d: Domain, sources: DataFrame) -> DataFrame:
+    """sources with psf_id, the identifier modulo the number of stamps: all of them have some."""
+    n = d.table("embeddings").agg(F.count_distinct("vec_id").alias("_n"))
+    return sources.crossJoin(F.broadcast(n)).withColumn("psf_id", F.col("src_id") % F.col("_n")).drop("_n")
+
+
 @query("r10_fourier_points")
 def r10(d: Domain) -> DataFrame:
     """Point sources from stamps by a phase shift."""
-    p = d.sources.where("src_id < 400").select((F.col("src_id") % 50).alias("psf_id"), "src_id", "x0", "y0", "flux")
-    return kernels.rendered_points(p, d.stamps.where("psf_id < 50"), "psf_id", 7, 16, 16).select("src_id", "y", "x", r(F.col("value"), "value"))
+    p = _with_stamps(d, d.sources).select("psf_id", "src_id", "x0", "y0", "flux")
+    return kernels.rendered_points(p, d.stamps, "psf_id", 7, 16, 16).select("src_id", "y", "x", r(F.col("value"), "value"))
 
 
 @query("r11_fourier_galaxies")
 def r11(d: Domain) -> DataFrame:
     """Galaxies of any profile index, convolved with stamps in Fourier space."""
     v = ellipses.transformed(tuple(F.col(n) for n in ("t11", "t12", "t21", "t22")), F.lit(1.0), F.lit(0.0), F.lit(1.0))
-    s = _shapes(d).where("src_id < 200 and re > 0").select((F.col("src_id") % 50).alias("psf_id"), "src_id", "x0", "y0", "flux", "sersic", *(x.alias(n) for x, n in zip(v, ("vxx", "vxy", "vyy"), strict=True)))
-    return kernels.rendered_galaxies(s, d.stamps.where("psf_id < 50"), "psf_id", 7, 16, 16).select("src_id", "y", "x", r(F.col("value"), "value"))
+    s = _with_stamps(d, _shapes(d).where("re > 0")).select("psf_id", "src_id", "x0", "y0", "flux", "sersic", *(x.alias(n) for x, n in zip(v, ("vxx", "vxy", "vyy"), strict=True)))
+    return kernels.rendered_galaxies(s, d.stamps, "psf_id", 7, 16, 16).select("src_id", "y", "x", r(F.col("value"), "value"))
 
 
 @query("r23_sersic_mixtures")
