@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from skyframe.functions import ellipses
 from skyframe.operators.kernels import sersic_mixture
 from skyframe.plans.domain import Domain
 from skyframe.plans.kernels import _shapes
-from skyframe.queries import QUERIES
+from skyframe.queries import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.01"
 
@@ -44,3 +45,25 @@ def test_all_sources_are_rendered_with_all_stamps(spark, name):
     for s in sources.sort_values("src_id").iloc[::97].itertuples():
         mixture = [(1.0, 0.0)] if name[:3] == "r10" else sersic_mixture(round(s.sersic, 3))
         assert np.allclose(images[s.src_id], brute(psfs[s.src_id % len(ids)], s, mixture), atol=2e-6, rtol=1e-7), s.src_id
+
+
+def same_as_twin_over_all(spark, name: str, limit: str, keys: list[str], least: int) -> None:
+    """Rows of the query at sf0.1 and of its twin without the limit, which the registered one has."""
+    big = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    for table in ("embeddings", "orders", "customer"):
+        con.sql(f"create view {table} as select * from '{big}/{table}.parquet'")
+    ours = QUERIES[name](spark, big).toPandas().sort_values(keys, ignore_index=True)
+    twin = con.sql(ORACLE[name].replace(limit, "")).df().sort_values(keys, ignore_index=True)
+    assert len(ours) == len(twin) and ours[keys[0]].max() >= least
+    assert (ours[keys].to_numpy() == twin[keys].to_numpy()).all()
+    (value,) = set(twin.columns) - set(keys)
+    if twin[value].dtype == float:
+        assert np.allclose(ours[value], twin[value], rtol=0, atol=2e-6, equal_nan=True)
+    else:
+        assert ours[value].tolist() == twin[value].tolist()
+
+
+@pytest.mark.parametrize("name", ["r13_lanczos_shift", "r16_lanczos_resample"])
+def test_all_stamps_are_resampled(spark, name):
+    same_as_twin_over_all(spark, name, " where psf_id < 200", ["psf_id", "y", "x"], 200)
