@@ -67,3 +67,11 @@ def same_as_twin_over_all(spark, name: str, limit: str, keys: list[str], least:
 @pytest.mark.parametrize("name", ["r13_lanczos_shift", "r16_lanczos_resample"])
 def test_all_stamps_are_resampled(spark, name):
     same_as_twin_over_all(spark, name, " where psf_id < 200", ["psf_id", "y", "x"], 200)
+
+
+def test_bands_of_all_targets(spark):
+    same_as_twin_over_all(spark, "t3_sorted_bands", " where target < 200", ["target"], 200)
+
+
+def test_running_flux_of_all_stamps(spark):
+    same_as_twin_over_all(spark, "w1_cumulative_flux", " where psf_id < 100", ["psf_id", "y", "x"], 100)
