@@ -106,16 +106,26 @@ def _urls() -> str:
             f"t{k + 1} as (select {rest}, {others}, case when children > 24 and own * 24 < total and s{k} not in ('', '**') then '*' else s{k} end s{k} from t{k} join c{k} using ({node}, s{k}) join w{k} using ({node}))",
         ]
     every = ", ".join(seg)
-    for step, k in enumerate(reversed(range(4)), 4):
+    parts += [f"m4 as (select host, {every}, {', '.join(f's{k} t{k}' for k in range(4))}, sum(n) n, sum(labelled) labelled, sum(bad) bad from t4 group by host, {every})"]
+    for k in reversed(range(3)):
+        node, below, last = ", ".join(["host", *seg[:k]]), ", ".join(seg[k + 1 :]), "m4" if k == 2 else f"m{k + 1}"
         others = ", ".join(x for x in seg if x != seg[k])
         parts += [
-            f"g{k} as (select host, {every}, floor((sum(bad) + 8e-1) / (sum(labelled) + 4e0) / 1e-1) band from t{step} group by host, {every})",
-            f"n{k} as (select host, {others}, band, string_agg(distinct s{k}, '|' order by s{k}) name from g{k} where s{k} <> '' group by host, {others}, band)",
-            f"t{step + 1} as (select {rest}, {others}, coalesce(name, s{k}) s{k} from t{step} join g{k} using (host, {every}) left join n{k} using (host, {others}, band))",
+            f"c_{k} as (select {node}, s{k}, {below}, sum(n) n from {last} where s{k} <> '' group by {node}, s{k}, {below})",
+            f"e{k} as (select *, first_value(concat_ws('/', {below})) over (partition by {node}, s{k} order by n desc, {below}) kind from c_{k})",
+            f"p{k} as (select {node}, kind, {below}, sum(n) p from e{k} group by {node}, kind, {below})",
+            f"a{k} as (select {node}, kind, sum(p) w, count(*) - 1 free from p{k} group by {node}, kind having bool_or(s{k + 1} <> ''))",
+            f"d{k} as (select {node}, kind, s{k}, sum(n) m, sum(n * ln(n / cast(p as double))) lg from e{k} join p{k} using ({node}, kind, {below}) group by {node}, kind, s{k})",
+            f"l{k} as (select {node}, s{k}, case when sum(labelled) > 0 then cast((sum(bad) + 8e-1) / (sum(labelled) + 4e0) >= 5e-1 as int) end side from {last} group by {node}, s{k})",
+            f"i{k} as (select {node}, kind, s{k}, side from d{k} join a{k} using ({node}, kind) join l{k} using ({node}, s{k}) where round(2 * (lg + m * ln(w / cast(m as double))), 6) <= free + 3 * sqrt(2e0 * free) + 4e-2 * m)",
+            f"o{k} as (select {node}, kind, s{k}, coalesce(side, case when min(side) over g = max(side) over g then min(side) over g end, -1) side from i{k} window g as (partition by {node}, kind))",
+            f"n{k} as (select {node}, s{k}, string_agg(s{k}, '|') over (partition by {node}, kind, side order by s{k} rows between unbounded preceding and unbounded following) name from o{k})",
+            f"m{k} as (select host, {others}, coalesce(name, s{k}) s{k}, t0, t1, t2, t3, n, labelled, bad from {last} left join n{k} using ({node}, s{k}))",
         ]
     parts += [
-        f"total as (select host, {every}, (sum(bad) + 8e-1) / (sum(labelled) + 4e0) bad_share from t8 group by host, {every})",
-        f"found as (select host, shape, '/' || array_to_string(list_filter([{every}], lambda x: x <> ''), '/') template, bad_share from t8 join total using (host, {every}))",
+        f"total as (select host, {every}, (sum(bad) + 8e-1) / (sum(labelled) + 4e0) bad_share from m0 group by host, {every})",
+        f"judged as (select host, t0, t1, t2, t3, '/' || array_to_string(list_filter([{every}], lambda x: x <> ''), '/') template, bad_share from m0 join total using (host, {every}))",
+        "found as (select t4.host, shape, template, bad_share from t4 join judged j on t4.host = j.host and s0 = t0 and s1 = t1 and s2 = t2 and s3 = t3)",
     ]
     return f"with {', '.join(parts)} select page_id, host, coalesce(path, '') path, rule, coalesce(decided, case when bad_share >= 5e-1 then 'block' else 'allow' end) verdict, template, bad_share from sh join found using (host, shape)"
 

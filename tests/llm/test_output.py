@@ -225,6 +225,35 @@ def test_templates_learn_from_labels(spark):
     assert {got[1000 + i].template for i in range(300)} == {"/*/post"}  # many rare siblings are one wildcard
 
 
+def test_an_unruled_branch_inherits_the_verdict_of_its_look_alikes(spark, tmp_path, monkeypatch):
+    ends = ["", "", ".html"]
+    rows = [(i, f"http://h.example.com/{('de', 'xx', 'odd')[i % 3]}/{'q/' * 2 if i % 3 == 2 else ''}{i}{ends[i // 3 % 3]}") for i in range(300)]
+    rows += [(1000 + i, f"http://ok.org/{('fr', 'yy')[i % 2]}/{i}{ends[i // 2 % 3]}") for i in range(100)]
+    rows += [(2000 + i, f"http://mixed.{('org/fr', 'org/zz')[i % 2]}/{i}") for i in range(100)]
+    spark.createDataFrame([(*r, "t", "h") for r in rows], "page_id long, url string, template string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    for hot in (urls.HOT, 0):  # joined by a broadcast, and by a shuffle
+        monkeypatch.setattr(urls, "HOT", hot)
+        got = {r.page_id: r for r in queries.queries()["op8_url_filters"](spark, str(tmp_path)).collect()}
+        assert len(got) == len(rows)
+        assert {(got[i].rule, got[i].verdict, got[i].template.split("/")[1]) for i in range(1, 300, 3)} == {(None, "block", "de|xx")}
+        assert {(got[i].verdict, got[i].bad_share) for i in range(2, 300, 3)} == {("allow", 0.2)}  # not alike below
+        assert {(r.verdict, r.bad_share < 0.1) for i, r in got.items() if i >= 1000} == {("allow", True)}
+
+
+def test_branches_with_other_contents_or_verdicts_stay_apart(spark):
+    rows = [(i, "h", [("a", "b", "c")[i % 3], "x" if i % 3 < 2 or i % 2 else "y"], {0: True, 1: False}.get(i % 3)) for i in range(600)]
+    got = {r.template for r in urls.templates(spark.createDataFrame(rows, "id long, host string, shape array<string>, bad boolean")).collect()}
+    assert got == {"/a/x", "/b/x", "/c/x", "/c/y"}
+
+
+def test_no_plan_of_the_tree_holds_more_than_a_level(spark, monkeypatch):
+    scans = []
+    cut = urls.runtime.cut
+    monkeypatch.setattr(urls.runtime, "cut", lambda df: (scans.append(df._jdf.queryExecution().analyzed().toString().count("Relation")), cut(df))[1])
+    urls.judge(spark.createDataFrame([(1, "http://a.com/x/y/1")], "page_id long, url string")).count()
+    assert max(scans) <= 10
+
+
 def plain_top(rows: list[tuple], k: int = 5) -> Counter:
     ok = [(v, np.floor(256 * np.array(x, np.float64))) for v, x in rows if x is not None and None not in x and np.isfinite(x).all()]
     out = Counter()
