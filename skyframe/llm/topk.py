@@ -1,28 +1,36 @@
 """Exact top-k by inner product, in three phases with a uniform threshold.
 
 A vector's dimensions are dealt to ``lists``; a list's score of a query and a
-candidate is their inner product over its dimensions.
-
-1. Gather: in each block of candidates each list gives, for each query, its k
-   best candidates; their whole scores are summed up.  The k-th best of all
-   that were gathered is a safe cutoff: k candidates reach it.
-2. Collect: the cutoff goes to the blocks.  Above each list's least score, every
-   list takes an equal part of it as threshold; a candidate below all thresholds
-   is below the cutoff.  The others are collected.
-3. Resolve: only of those the remaining lists' scores are added, exactly, and
-   those that reach the cutoff compete for the k places, ties to the smaller
-   identifier (null last).
-
-Queries meet all candidates in blocks, so a task holds one block of either.  A
-block returns at most k rows a query.  Components become floor(256 * x); a vector
-that is null or holds a null or non-finite component takes no part; a shorter
-vector counts as ending in zeros.  Sums are exact: in doubles below 2**53, else
-in Python integers (and beyond 64 bits a score stops at the bound).
+candidate is their inner product over its dimensions.  A list's scores are
+worked out by tasks of its own, which hold nothing of the other lists.  A lift is
+a score less the query's least score in that list.
+
+1. Gather: each list gives, for each query, its ``heads`` best candidates.  Their scores in
+   the other lists are looked up; the k-th best whole score is a safe cutoff: k
+   candidates reach it.
+2. Collect: the cutoff goes to the lists.  A candidate that reaches it has, in
+   some list, an equal part of it, and also what the other lists' greatest lifts leave
+   open.  Only such entries leave their list.
+3. Resolve: with these entries the cutoff rises.  Candidates that can't reach it,
+   even if the lists that kept silent were just below their thresholds, go; only
+   the others' remaining scores are worked out, and compete for the k places, ties to the
+   smaller identifier (null last).
+
+Of equal vectors only the k + 1 least identifiers are candidates, as no other
+can have a place.  Queries and candidates are dealt to groups of bounded size, and a
+task has one group of each, streaming what it finds.  The number of groups of
+queries times the candidates, and the other way round, is what moves.
+
+Components become floor(256 * x); a vector that is null or holds a null or
+non-finite component takes no part; a shorter vector counts as ending in zeros.
+Scores are exact: in doubles where all sums stay below 2**53, else in Python integers;
+a list's score stops at 2**61 / lists.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,152 +40,221 @@ from pyspark.sql import functions as F
 
 from . import runtime
 
-K, SCALE, EVERY, LISTS = 5, 256, 50, 2
-QUERY_ROWS, CANDIDATE_ROWS = 1024, 4096
-_LAST = np.iinfo(np.int64).max
+K, SCALE, EVERY, LISTS, HEADS = 5, 256, 50, 2, 24
+#: Bytes of one list's values in a group of candidates, and of queries. Rows that are worth a group of their own while cores are idle.
+CANDIDATE_BYTES, QUERY_BYTES, WORTH = 32 << 20, 4 << 20, 4096
+#: Queries and candidates in a block of scores, and parts that a wanted vector is dealt to.
+BLOCK, PARTS = (256, 16384), 16
 
 
-def blocks(vectors: DataFrame, id_column: str, column: str, rows: int, scale: int = SCALE) -> DataFrame:
-    """Vectors in blocks of so many: block, ids, absent (bit of a null identifier), rows (numbers of their own), dims, values."""
+def numbered(vectors: DataFrame, id_column: str, column: str, scale: int = SCALE) -> DataFrame:
+    """row (a number of its own), id, dims, size (bytes a component: 2, or 8 where a component needs it), values of each vector that takes part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made, seen = TaskContext.get().partitionId(), 0, 0
-        ids: list[int | None] = []
-        kept: list[np.ndarray] = []
-
-        def block() -> pa.RecordBatch:
-            dims = max((len(x) for x in kept), default=0)
-            values = np.zeros((len(kept), dims))
-            for k, x in enumerate(kept):
-                values[k, : len(x)] = x
-            small = np.abs(values).max(initial=0) < 1 << 15
-            return pa.RecordBatch.from_pydict({
-                "block": pa.array([task << 32 | made], pa.int64()),
-                "ids": [np.array([_LAST if x is None else x for x in ids], np.int64).tobytes()],
-                "absent": [np.array([x is None for x in ids], bool).tobytes()],
-                "rows": [((task << 40) + np.arange(seen - len(ids), seen)).astype(np.int64).tobytes()],
-                "dims": pa.array([dims], pa.int32()),
-                "values": [(values.astype("<i2") if small else values).tobytes()],
-            })
-
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
-            for doc, vector in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                seen += 1
-                if not vector.is_valid or vector.values is None or vector.values.null_count:
-                    ids_ok = False
-                else:
-                    x = np.floor(scale * np.asarray(vector.values, np.float64))
-                    ids_ok = bool(np.isfinite(x).all())
-                if not ids_ok:
-                    seen -= 1
-                    continue
-                ids.append(doc)
-                kept.append(x)
-                if len(ids) >= rows:
-                    yield block()
-                    ids, kept, made = [], [], made + 1
-        if ids:
-            yield block()
-
-    return vectors.select(F.col(id_column).cast("long").alias("id"), column).mapInArrow(run, "block long, ids binary, absent binary, rows binary, dims int, values binary")
-
-
-def _unpack(row: dict, prefix: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row[f"{prefix}ids"], np.int64)
-    dims, raw = row[f"{prefix}dims"], row[f"{prefix}values"]
-    kind = "<i2" if len(raw) == 2 * len(ids) * dims and dims else np.float64
-    return ids, np.frombuffer(row[f"{prefix}absent"], bool), np.frombuffer(raw, kind).astype(np.float64).reshape(len(ids), dims)
-
-
-def list_scores(q: np.ndarray, c: np.ndarray, lists: int) -> list[np.ndarray]:
-    """Of each list, queries by candidates."""
-    dims = min(q.shape[1], c.shape[1])
-    q, c = q[:, :dims], c[:, :dims]
-    exact = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * max(dims, 1) < 2.0**53
-    if not exact:
-        q, c = (np.array([[int(y) for y in x] for x in m], object).reshape(m.shape) for m in (q, c))
-    return [q[:, part] @ c[:, part].T for part in np.array_split(np.arange(dims), lists)]
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k] if scores.dtype != object else np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], int)
-
-
-def _pair(row: dict, k: int, lists: int, cutoffs: np.ndarray | None) -> Iterator[tuple[int, int | None, int | None, int]]:
-    """Of a pair of blocks: the query's number, its identifier, the candidate's, and the score."""
-    ids, absent, q = _unpack(row, "q_")
-    others, other_absent, c = _unpack(row, "c_")
-    own, theirs = np.frombuffer(row["q_rows"], np.int64), np.frombuffer(row["c_rows"], np.int64)
-    for lo in range(0, len(ids), 256):
-        scores = list_scores(q[lo : lo + 256], c, lists)
-        total = sum(scores[1:], scores[0])
-        floors = [x.min(1) for x in scores]
-        for i in range(len(total)):
-            n = lo + i
-            if cutoffs is None:  # gather
-                heads = [np.argpartition(-x[i], k)[: k + 1] if len(others) > k + 1 and x.dtype != object else _best(x[i], others, k + 1) if x.dtype == object else np.arange(len(others)) for x in scores]
-                at = np.unique(np.concatenate(heads))
-            elif np.isneginf(cutoffs[n]):
-                at = np.arange(len(others))
-            else:  # collect
-                part = (cutoffs[n] - sum(f[i] for f in floors)) / lists
-                reached = np.zeros(len(others), bool)
-                for x, f in zip(scores, floors, strict=True):
-                    reached |= (x[i] - f[i] >= part - 1e-6 * max(1.0, abs(part))).astype(bool)
-                at = np.flatnonzero(reached)
-            at = at[theirs[at] != own[n]]
-            if cutoffs is not None:  # resolve
-                at = at[(total[i, at] >= cutoffs[n]).astype(bool)]
-            at = at[_best(total[i, at], others[at], k)]
-            for j in at.tolist():
-                yield int(own[n]), None if absent[n] else int(ids[n]), None if other_absent[j] else int(others[j]), max(-(1 << 63), min((1 << 63) - 1, int(total[i, j])))
-
-
-def top(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", k: int = K, scale: int = SCALE, every: int = EVERY, lists: int = LISTS) -> DataFrame:
-    """query_id, rank, vec_id, score: of each row whose identifier is divisible by ``every``, its k best among all other rows."""
+            lists = b.column(1).cast(pa.list_(pa.float64()))
+            ends = np.asarray(lists.offsets)
+            x = np.floor(scale * np.asarray(lists.values.to_numpy(zero_copy_only=False), np.float64))
+            sums = np.zeros((2, len(x) + 1), np.int64)
+            sums[0, 1:], sums[1, 1:] = np.cumsum(~np.isfinite(x)), np.cumsum(~(np.abs(x) < 1 << 15))
+            bad, wide = np.diff(sums[:, ends])
+            ok = np.flatnonzero(np.asarray(lists.is_valid()) & (bad == 0))
+            kinds = np.where(wide[ok] > 0, 8, 2)
+            dims = np.diff(ends)[ok]
+            raw = [x[ends[k] : ends[k + 1]].astype("<f8" if size == 8 else "<i2").tobytes() for k, size in zip(ok.tolist(), kinds.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(ok))), b.column(0).take(pa.array(ok)), pa.array(dims, pa.int32()), pa.array(kinds, pa.int32()), pa.array(raw, pa.binary())], ["row", "id", "dims", "size", "values"])
+            row += len(ok)
+
+    return vectors.select(F.col(id_column).cast("long").alias("id"), F.col(column)).mapInArrow(run, "row long, id long, dims int, size int, values binary")
+
+
+def matrix(batches: list[pa.RecordBatch], width: int) -> np.ndarray:
+    """The values of some rows, filled up with zeros."""
+    total = sum(b.num_rows for b in batches)
+    wide = any((np.asarray(b.column("size")) == 8).any() for b in batches)
+    out, at = np.zeros((total, width), np.float64 if wide else np.int16), 0
+    for b in batches:
+        for raw, size in zip(b.column("values").to_pylist(), b.column("size").to_pylist(), strict=True):
+            own = np.frombuffer(raw, "<f8" if size == 8 else "<i2")
+            out[at, : len(own)] = own
+            at += 1
+    return out
+
+
+def scores(q: np.ndarray, c: np.ndarray, bound: int) -> np.ndarray:
+    """Queries by candidates, exactly: doubles while these are exact, else 64-bit integers that stop at the bound."""
+    a, b = np.asarray(q, np.float64), np.asarray(c, np.float64)
+    if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(a.shape[1], 1) < 2.0**53:
+        return a @ b.T
+    a, b = (np.array([[int(y) for y in x] for x in m], object).reshape(m.shape) for m in (a, b))
+    return np.clip(a @ b.T, -bound, bound).astype(np.int64)
+
+
+def pairwise(q: np.ndarray, c: np.ndarray, bound: int) -> np.ndarray:
+    """Of a row and its counterpart each."""
+    a, b = np.asarray(q, np.float64), np.asarray(c, np.float64)
+    if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(a.shape[1], 1) < 2.0**53:
+        return np.einsum("ij,ij->i", a, b).astype(np.int64)
+    return np.array([max(-bound, min(bound, sum(int(x) * int(y) for x, y in zip(p, r, strict=True)))) for p, r in zip(a, b, strict=True)], np.int64)
+
+
+def _sides(batches: Iterator[pa.RecordBatch], width: int) -> tuple:
+    """Of a group: the queries' rows and values, the candidates' rows, identifiers and values, and the cutoffs (row, cutoff)."""
+    parts: list[list[pa.RecordBatch]] = [[], [], []]
+    for b in batches:
+        side = np.asarray(b.column("side"))
+        for k in np.unique(side).tolist():
+            parts[k].append(b.filter(pa.array(side == k)))
+    rows = [np.concatenate([np.asarray(b.column("row")) for b in p]) if p else np.zeros(0, np.int64) for p in parts]
+    ids = pa.chunked_array([b.column("id") for b in parts[1]], pa.int64()).combine_chunks()
+    cutoffs = np.concatenate([np.asarray(b.column("cutoff")) for b in parts[2]]) if parts[2] else np.zeros(0, np.int64)
+    return rows[0], matrix(parts[0], width), rows[1], ids, matrix(parts[1], width), rows[2], cutoffs
+
+
+def gather(q: np.ndarray, c: np.ndarray, keep: int, bound: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of some queries at a time: the first's place, places and scores of the ``keep`` best candidates, and the least score of any."""
+    for lo in range(0, len(q), BLOCK[0]):
+        at = own = least = None
+        for a in range(0, len(c), BLOCK[1]):
+            s = scores(q[lo : lo + BLOCK[0]], c[a : a + BLOCK[1]], bound)
+            low = s.min(1)
+            p = np.broadcast_to(np.arange(a, a + s.shape[1]), s.shape)
+            if at is not None:
+                low, p, s = np.minimum(low, least), np.hstack([at, p]), np.hstack([own, s])
+            if s.shape[1] > keep:
+                top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+                p, s = np.take_along_axis(p, top, 1), np.take_along_axis(s, top, 1)
+            at, own, least = p, s, low
+        if at is not None:
+            yield lo, at, own, least
+
+
+def collect(q: np.ndarray, c: np.ndarray, cutoffs: np.ndarray, bound: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of queries and candidates, and scores, of all entries that reach the query's cutoff."""
+    for lo in range(0, len(q), BLOCK[0]):
+        for a in range(0, len(c), BLOCK[1]):
+            s = scores(q[lo : lo + BLOCK[0]], c[a : a + BLOCK[1]], bound)
+            i, j = np.nonzero(s >= cutoffs[lo : lo + BLOCK[0], None])
+            if len(i):
+                yield lo + i, a + j, s[i, j]
+
+
+@dataclass
+class Phases:
+    """What each phase gives: heads (gather), entries (collect), open (pairs that the cutoff leaves), placed."""
+
+    heads: DataFrame
+    entries: DataFrame
+    open: DataFrame
+    placed: DataFrame
+
+
+def phases(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", k: int = K, scale: int = SCALE, every: int = EVERY, lists: int = LISTS, heads: int = HEADS) -> Phases:
+    spark = vectors.sparkSession
     # numbers of rows are those of this table, so a row knows itself among the candidates
-    found = runtime.cut(blocks(vectors, id_column, column, CANDIDATE_ROWS, scale))
+    flat = runtime.cut(numbered(vectors, id_column, column, scale))
+    asked = flat.where(F.col("id") % every == 0)
+    nth = F.row_number().over(Window.partitionBy("dims", "values").orderBy(F.asc_nulls_last("id"), "row"))
+    others = runtime.cut(flat.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth"))
+    about = flat.agg(F.coalesce(F.max("dims"), F.lit(0)), F.max("size"), F.count_if(F.col("id") % every == 0)).collect()[0]
+    n_others = others.count()
+    keep = max(k + 1, heads)  # a query may be among its own
+    width, bound = max(1, -(-about[0] // lists)), (1 << 61) // lists
+    volume = width * (about[1] or 2)
+    # as many groups of candidates as bounded memory or idle cores ask for
+    c_groups = max(-(-n_others * volume // CANDIDATE_BYTES), min(runtime.partitions(spark), -(-n_others // WORTH)), 1)
+    q_groups = max(-(-about[2] * volume // QUERY_BYTES), 1)
+    c_group, q_group = (F.pmod(F.xxhash64(F.lit(x), "row"), F.lit(n)).cast("int") for x, n in (("c", c_groups), ("q", q_groups)))
+
+    each = F.explode(F.sequence(F.lit(0), F.lit(lists - 1))).alias("list")
+    part = F.substring(F.col("values"), F.col("list") * F.col("size") * width + 1, F.col("size") * width).alias("values")
+    split = lambda df: df.select("row", "id", "size", "values", each).select("row", "id", "size", "list", part)
+    all_c, all_q = F.explode(F.sequence(F.lit(0), F.lit(c_groups - 1))).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(q_groups - 1))).alias("q")
+    none = F.lit(None).cast("long").alias("cutoff")
+    candidates = split(others).select(F.lit(1).alias("side"), "list", c_group.alias("c"), all_q, "row", "id", "size", "values", none)
+    queries = split(asked).select(F.lit(0).alias("side"), "list", all_c, q_group.alias("q"), "row", "id", "size", "values", none)
+    sides = queries.unionByName(candidates)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gathering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches)
+        own = first.column("list")[0].as_py()
+        q_rows, q, c_rows, ids, c, *_ = _sides(_chain(first, batches), width)
+        for lo, at, s, least in gather(q, c, keep, bound):
+            who, flat_at = np.repeat(np.arange(lo, lo + len(at)), at.shape[1]), at.ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), own, np.int32)), pa.array(q_rows[who]), pa.array(c_rows[flat_at]), ids.take(pa.array(flat_at)), pa.array(s.ravel().astype(np.int64)), pa.array(np.repeat(least, at.shape[1]).astype(np.int64))], ["list", "q_row", "c_row", "vec_id", "score", "least"])
+
+    def collecting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches)
+        own = first.column("list")[0].as_py()
+        q_rows, q, c_rows, ids, c, told, cutoffs = _sides(_chain(first, batches), width)
+        # a query has no cutoff only if it is alone
+        asking = np.flatnonzero(np.isin(q_rows, told))
+        q_rows, q = q_rows[asking], q[asking]
+        order = np.argsort(told)
+        for i, j, s in collect(q, c, cutoffs[order][np.searchsorted(told[order], q_rows)], bound):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), own, np.int32)), pa.array(q_rows[i]), pa.array(c_rows[j]), ids.take(pa.array(j)), pa.array(s.astype(np.int64))], ["list", "q_row", "c_row", "vec_id", "score"])
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(lists * c_groups * q_groups, "list", "c", "q").groupBy("list", "c", "q")
+
+    def resolving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                ids, absent, values = _unpack(r, "")
-                rows = np.frombuffer(r["rows"], np.int64)
-                at = np.flatnonzero((ids % every == 0) & ~absent)
-                for part in range(0, len(at), QUERY_ROWS):
-                    own = at[part : part + QUERY_ROWS]
-                    yield pa.RecordBatch.from_pydict({"q_block": [int(rows[own[0]])], "q_ids": [ids[own].tobytes()], "q_absent": [absent[own].tobytes()], "q_rows": [rows[own].tobytes()], "q_dims": pa.array([r["dims"]], pa.int32()), "q_values": [values[own].tobytes()], "q_row": [rows[own].tolist()]})
-
-    asked = runtime.cut(found.mapInArrow(ask, "q_block long, q_ids binary, q_absent binary, q_rows binary, q_dims int, q_values binary, q_row array<long>"))
-    others = found.select(F.col("block").alias("c_block"), *(F.col(x).alias(f"c_{x}") for x in ("ids", "absent", "rows", "dims", "values")))
-    names, kinds = ["q_row", "query_id", "vec_id", "score"], [pa.int64()] * 4
-
-    def phase(queries: DataFrame, resolve: bool) -> DataFrame:
-        def run(table: pa.Table) -> pa.Table:
-            row = table.to_pylist()[0]
-            cutoffs = np.frombuffer(row["cutoffs"], np.float64) if resolve else None
-            out = list(zip(*_pair(row, k, lists, cutoffs), strict=True)) or [[]] * 4
-            return pa.table([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
-
-        each = queries.select("q_block").crossJoin(others.select("c_block"))  # the numbers of blocks, not rows
-        pairs = each.join(queries, "q_block").join(others, "c_block")
-        return pairs.groupBy("c_block", "q_block").applyInArrow(run, ", ".join(f"{x} long" for x in names))
-
-    place = Window.partitionBy("q_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
-    heads = phase(asked.drop("q_row"), False).withColumn("rank", F.row_number().over(place)).where(F.col("rank") == k)
-    cutoffs = heads.select("q_row", "score")
-
-    def attach(table: pa.Table) -> pa.Table:
-        r = table.to_pylist()
-        about = {x["q_row"]: x["score"] for x in r if x["q_row"] is not None}
-        row = next(x for x in r if x["q_ids"] is not None)
-        row["cutoffs"] = np.array([about.get(x, -np.inf) for x in np.frombuffer(row["q_rows"], np.int64).tolist()], np.float64).tobytes()
-        return pa.Table.from_pylist([{x: row[x] for x in full.names}], schema=full)
-
-    full = pa.schema([("q_block", pa.int64()), ("q_ids", pa.binary()), ("q_absent", pa.binary()), ("q_rows", pa.binary()), ("q_dims", pa.int32()), ("q_values", pa.binary()), ("cutoffs", pa.binary())])
-    # each query's cutoff goes to its block
-    members = asked.select("q_block", F.explode("q_row").alias("q_row"))
-    safe = members.join(cutoffs, "q_row").select("q_block", "q_row", "score")
-    joined = asked.drop("q_row").select("*", F.lit(None).cast("long").alias("q_row"), F.lit(None).cast("long").alias("score")).unionByName(safe, allowMissingColumns=True)
-    informed = runtime.cut(joined.groupBy("q_block").applyInArrow(attach, "q_block long, q_ids binary, q_absent binary, q_rows binary, q_dims int, q_values binary, cutoffs binary"))
-    return phase(informed, True).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            q, c = (matrix([pa.RecordBatch.from_arrays([b.column(f"{x}_size"), b.column(f"{x}_values")], ["size", "values"])], width) for x in "qc")
+            yield pa.RecordBatch.from_arrays([b.column("q_row"), b.column("c_row"), b.column("vec_id"), pa.array(pairwise(q, c, bound))], ["q_row", "c_row", "vec_id", "score"])
+
+    def resolve(lost: DataFrame) -> DataFrame:
+        """q_row, c_row, vec_id, score of the lists named. A row that many ask for is dealt to several parts."""
+        lost = lost.withColumn("q_part", F.pmod(F.xxhash64("c_row"), F.lit(PARTS))).withColumn("c_part", F.pmod(F.xxhash64("q_row"), F.lit(PARTS)))
+
+        def needed(df: DataFrame, row: str, at: str, prefix: str) -> DataFrame:
+            wanted = lost.select("list", F.col(row).alias("row"), F.col(at).alias(at)).distinct()
+            return split(df).join(wanted, ["list", "row"]).select("list", F.col("row").alias(row), at, F.col("size").alias(f"{prefix}size"), F.col("values").alias(f"{prefix}values"))
+
+        both = lost.join(needed(others, "c_row", "c_part", "c_"), ["list", "c_row", "c_part"]).join(needed(asked, "q_row", "q_part", "q_"), ["list", "q_row", "q_part"])
+        columns = ["q_row", "c_row", "vec_id", "q_size", "q_values", "c_size", "c_values"]
+        return both.select(*columns).mapInArrow(resolving, "q_row long, c_row long, vec_id long, score long")
+
+    named = runtime.cut(dealt(sides).applyInArrow(gathering, "list int, q_row long, c_row long, vec_id long, score long, least long"))
+    best = runtime.cut(named.groupBy("q_row", "list").agg(F.min("least").alias("least"), (F.max("score") - F.min("least")).alias("peak")))
+    order = Window.partitionBy("q_row", "list").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "c_row")
+    first = named.withColumn("n", F.row_number().over(order)).where(F.col("n") <= keep).where("q_row != c_row")
+    first = runtime.cut(first.groupBy("q_row", "c_row").agg(F.first("vec_id").alias("vec_id"), F.sum("score").alias("score"), F.collect_list("list").alias("lists")))
+    silent = F.explode(F.array_except(F.sequence(F.lit(0), F.lit(lists - 1)), "lists")).alias("list")
+    whole = first.drop("lists").unionByName(resolve(first.select("q_row", "c_row", "vec_id", silent))).groupBy("q_row", "c_row").agg(F.sum("score").alias("score"))
+    ranked = whole.withColumn("n", F.row_number().over(Window.partitionBy("q_row").orderBy(F.desc("score")))).where(F.col("n") <= k)
+    safe = ranked.groupBy("q_row").agg(F.when(F.count("*") == k, F.min("score")).alias("safe"))
+    floors = best.groupBy("q_row").agg(F.sum("least").alias("floor"))
+    safe = floors.join(safe, "q_row", "left").select("q_row", F.coalesce(F.col("safe") - F.col("floor"), F.lit(0)).alias("safe"))
+    peaks = Window.partitionBy("q_row")
+    equal = F.expr(f"safe div {lists} + if(safe % {lists} > 0, 1, 0)")
+    threshold = F.greatest(equal, F.col("safe") - F.sum("peak").over(peaks) + F.col("peak"), F.lit(0))
+    bounds = runtime.cut(best.join(safe, "q_row").select("q_row", "list", "least", threshold.alias("threshold")))
+    told = bounds.select(F.lit(2).alias("side"), "list", all_c, F.col("q_row").alias("row"), (F.col("least") + F.col("threshold")).alias("cutoff")).withColumn("q", q_group)
+    entries = runtime.cut(dealt(sides.unionByName(told, allowMissingColumns=True)).applyInArrow(collecting, "list int, q_row long, c_row long, vec_id long, score long"))
+
+    known = entries.where("q_row != c_row").join(bounds, ["q_row", "list"]).groupBy("q_row", "c_row")
+    known = known.agg(F.first("vec_id").alias("vec_id"), F.sum("score").alias("score"), F.sum(F.col("score") - F.col("least")).alias("lift"), F.sum("threshold").alias("said"), F.collect_list("list").alias("lists"))  # ``lists`` entries at most
+    ranked = known.select("q_row", "lift").withColumn("n", F.row_number().over(Window.partitionBy("q_row").orderBy(F.desc("lift")))).where(F.col("n") <= k)
+    cutoff = ranked.groupBy("q_row").agg(F.when(F.count("*") == k, F.min("lift")).otherwise(0).alias("cutoff"))
+    cutoff = bounds.groupBy("q_row").agg(F.sum("threshold").alias("thresholds")).join(cutoff, "q_row")
+    reach = F.col("lift") + F.col("thresholds") - F.col("said")
+    survivors = known.join(cutoff, "q_row").where(reach >= F.col("cutoff")).select("q_row", "c_row", "vec_id", "score", "lists")
+    survivors = runtime.cut(survivors)
+    resolved = resolve(survivors.select("q_row", "c_row", "vec_id", silent))
+    whole = survivors.drop("lists").unionByName(resolved).groupBy("q_row", "c_row").agg(F.first("vec_id").alias("vec_id"), F.sum("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("q_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "c_row"))
+    placed = whole.withColumn("rank", place).where(F.col("rank") <= k)
+    names = asked.select(F.col("row").alias("q_row"), F.col("id").alias("query_id"))
+    placed = placed.join(names, "q_row").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return Phases(named, entries, survivors, placed)
+
+
+def _chain(first: pa.RecordBatch, rest: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield first
+    yield from rest
+
+
+def top(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", k: int = K, scale: int = SCALE, every: int = EVERY, lists: int = LISTS, heads: int = HEADS) -> DataFrame:
+    """query_id, rank, vec_id, score: of each row whose identifier is divisible by ``every``, its k best among all other rows."""
+    return phases(vectors, id_column, column, k, scale, every, lists, heads).placed

@@ -271,7 +271,9 @@ def plain_top(rows: list[tuple], k: int = 5) -> Counter:
 
 
 def test_top_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CANDIDATE_ROWS", 64)
+    monkeypatch.setattr(topk, "WORTH", 64)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 32)
+    monkeypatch.setattr(topk, "BLOCK", (3, 50))
     rng = np.random.default_rng(4)
     rows = [(i, [float(v) for v in np.round(rng.normal(0, 0.3, 8), 1)]) for i in range(300)]
     rows += [(300 + i, rows[7][1]) for i in range(120)]  # one common vector: ties
@@ -280,12 +282,25 @@ def test_top_matches_brute_force(spark, monkeypatch):
     got = Counter(tuple(r) for r in topk.top(frame).collect())
     exact = [(v, None if x is None else [None if y is None else float(np.float32(y)) for y in x]) for v, x in rows]
     assert got == plain_top(exact)
+    assert Counter(tuple(r) for r in topk.top(frame, lists=3).collect()) == plain_top(exact)
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top(few).collect()] == [(0, 1, 1, 256 * 512)]
-    assert topk.top(few.where("false")).count() == 0
+    assert topk.top(few.where("false")).count() == 0 and topk.top(few.where("vec_id = 0")).count() == 0
 
 
-def test_list_scores_are_exact_beyond_doubles():
-    q = np.array([[2.0**40, 1.0]])
-    assert sum(x[0, 0] for x in topk.list_scores(q, q, 2)) == 2**80 + 1
+def test_lists_send_few_of_all_entries(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(0, 0.3, 64).tolist()) for i in range(2000)]
+    got = topk.phases(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    pairs = 40 * 1999
+    assert got.open.count() <= got.entries.count() < 0.1 * pairs
+    assert Counter(map(tuple, got.placed.collect())) == plain_top(rows)
+
+
+def test_scores_are_exact_beyond_doubles(spark):
+    q = np.array([[2.0**29, 1.0]])
+    assert topk.scores(q, q, 1 << 61).tolist() == [[2**58 + 1]]
+    assert topk.scores(2.0**20 * q, q, 1 << 60).tolist() == [[1 << 60]]
+    rows = [(0, [2.0**20, 1.0, 0.5]), (1, [2.0**20, 0.0, 1.0]), (2, [2.0**20, 0.0, 0.25]), (3, [-1.0, 5.0, 3.0]), (50, [2.0**20, 1.0, 2.0])]
+    assert Counter(map(tuple, topk.top(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())) == plain_top(rows)
     assert DOCS
