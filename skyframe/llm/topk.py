@@ -31,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,8 @@ from . import runtime
 K, SCALE, EVERY, LISTS, HEADS = 5, 256, 50, 2, 24
 #: Bytes of one list's values in a group of candidates, and of queries. Rows that are worth a group of their own while cores are idle.
 CANDIDATE_BYTES, QUERY_BYTES, WORTH = 32 << 20, 4 << 20, 4096
-#: Queries and candidates in a block of scores, and parts that a wanted vector is dealt to.
-BLOCK, PARTS = (256, 16384), 16
+#: Queries and candidates in a block of scores.
+BLOCK = (256, 16384)
 
 
 def numbered(vectors: DataFrame, id_column: str, column: str, scale: int = SCALE) -> DataFrame:
@@ -75,10 +76,16 @@ def matrix(batches: list[pa.RecordBatch], width: int) -> np.ndarray:
     wide = any((np.asarray(b.column("size")) == 8).any() for b in batches)
     out, at = np.zeros((total, width), np.float64 if wide else np.int16), 0
     for b in batches:
-        for raw, size in zip(b.column("values").to_pylist(), b.column("size").to_pylist(), strict=True):
-            own = np.frombuffer(raw, "<f8" if size == 8 else "<i2")
-            out[at, : len(own)] = own
-            at += 1
+        own = b.column("values")
+        _, ends, data = own.buffers()
+        ends = np.frombuffer(ends, np.int32)[own.offset : own.offset + len(own) + 1]
+        if not wide and (np.diff(ends) == 2 * width).all():
+            out[at : at + len(own)] = np.frombuffer(data, "<i2", len(own) * width, ends[0]).reshape(-1, width)
+        else:
+            for k, (raw, size) in enumerate(zip(own.to_pylist(), b.column("size").to_pylist(), strict=True)):
+                x = np.frombuffer(raw, "<f8" if size == 8 else "<i2")
+                out[at + k, : len(x)] = x
+        at += len(own)
     return out
 
 
@@ -99,17 +106,25 @@ def pairwise(q: np.ndarray, c: np.ndarray, bound: int) -> np.ndarray:
     return np.array([max(-bound, min(bound, sum(int(x) * int(y) for x, y in zip(p, r, strict=True)))) for p, r in zip(a, b, strict=True)], np.int64)
 
 
-def _sides(batches: Iterator[pa.RecordBatch], width: int) -> tuple:
-    """Of a group: the queries' rows and values, the candidates' rows, identifiers and values, and the cutoffs (row, cutoff)."""
-    parts: list[list[pa.RecordBatch]] = [[], [], []]
-    for b in batches:
-        side = np.asarray(b.column("side"))
-        for k in np.unique(side).tolist():
-            parts[k].append(b.filter(pa.array(side == k)))
-    rows = [np.concatenate([np.asarray(b.column("row")) for b in p]) if p else np.zeros(0, np.int64) for p in parts]
-    ids = pa.chunked_array([b.column("id") for b in parts[1]], pa.int64()).combine_chunks()
-    cutoffs = np.concatenate([np.asarray(b.column("cutoff")) for b in parts[2]]) if parts[2] else np.zeros(0, np.int64)
-    return rows[0], matrix(parts[0], width), rows[1], ids, matrix(parts[1], width), rows[2], cutoffs
+class Group:
+    """One list of some queries (side 0) and candidates (side 1), and what follows them (side 2) in ``rest``. Batches come by side."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], width: int) -> None:
+        parts: list[list[pa.RecordBatch]] = [[], []]
+        last = None
+        for b in batches:
+            side = np.asarray(b.column("side"))
+            for k in (0, 1):
+                if (side == k).any():
+                    parts[k].append(b.filter(pa.array(side == k)))
+            if side[-1] == 2:
+                last = b.filter(pa.array(side == 2))
+                break
+        self.list = (parts[0] or parts[1] or [last])[0].column("list")[0].as_py()
+        self.q_rows, self.c_rows = (np.concatenate([np.asarray(b.column("row")) for b in p]) if p else np.zeros(0, np.int64) for p in parts)
+        self.ids = pa.chunked_array([b.column("id") for b in parts[1]], pa.int64()).combine_chunks()
+        self.q, self.c = matrix(parts[0], width), matrix(parts[1], width)
+        self.rest = chain([] if last is None else [last], batches)
 
 
 def gather(q: np.ndarray, c: np.ndarray, keep: int, bound: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -165,63 +180,64 @@ def phases(vectors: DataFrame, id_column: str = "vec_id", column: str = "embeddi
     # as many groups of candidates as bounded memory or idle cores ask for
     c_groups = max(-(-n_others * volume // CANDIDATE_BYTES), min(runtime.partitions(spark), -(-n_others // WORTH)), 1)
     q_groups = max(-(-about[2] * volume // QUERY_BYTES), 1)
-    c_group, q_group = (F.pmod(F.xxhash64(F.lit(x), "row"), F.lit(n)).cast("int") for x, n in (("c", c_groups), ("q", q_groups)))
+    c_group_of = lambda row: F.pmod(F.xxhash64(F.lit("c"), row), F.lit(c_groups)).cast("int")
+    q_group_of = lambda row: F.pmod(F.xxhash64(F.lit("q"), row), F.lit(q_groups)).cast("int")
+    c_group, q_group = c_group_of("row"), q_group_of("row")
 
     each = F.explode(F.sequence(F.lit(0), F.lit(lists - 1))).alias("list")
     part = F.substring(F.col("values"), F.col("list") * F.col("size") * width + 1, F.col("size") * width).alias("values")
     split = lambda df: df.select("row", "id", "size", "values", each).select("row", "id", "size", "list", part)
     all_c, all_q = F.explode(F.sequence(F.lit(0), F.lit(c_groups - 1))).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(q_groups - 1))).alias("q")
-    none = F.lit(None).cast("long").alias("cutoff")
-    candidates = split(others).select(F.lit(1).alias("side"), "list", c_group.alias("c"), all_q, "row", "id", "size", "values", none)
-    queries = split(asked).select(F.lit(0).alias("side"), "list", all_c, q_group.alias("q"), "row", "id", "size", "values", none)
+    candidates = split(others).select(F.lit(1).alias("side"), "list", c_group.alias("c"), all_q, "row", "id", "size", "values")
+    queries = split(asked).select(F.lit(0).alias("side"), "list", all_c, q_group.alias("q"), "row", "id", "size", "values")
     sides = queries.unionByName(candidates)
 
     def gathering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = next(batches)
-        own = first.column("list")[0].as_py()
-        q_rows, q, c_rows, ids, c, *_ = _sides(_chain(first, batches), width)
-        for lo, at, s, least in gather(q, c, keep, bound):
+        g = Group(batches, width)
+        for lo, at, s, least in gather(g.q, g.c, keep, bound):
             who, flat_at = np.repeat(np.arange(lo, lo + len(at)), at.shape[1]), at.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), own, np.int32)), pa.array(q_rows[who]), pa.array(c_rows[flat_at]), ids.take(pa.array(flat_at)), pa.array(s.ravel().astype(np.int64)), pa.array(np.repeat(least, at.shape[1]).astype(np.int64))], ["list", "q_row", "c_row", "vec_id", "score", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), g.list, np.int32)), pa.array(g.q_rows[who]), pa.array(g.c_rows[flat_at]), g.ids.take(pa.array(flat_at)), pa.array(s.ravel().astype(np.int64)), pa.array(np.repeat(least, at.shape[1]).astype(np.int64))], ["list", "q_row", "c_row", "vec_id", "score", "least"])
 
     def collecting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = next(batches)
-        own = first.column("list")[0].as_py()
-        q_rows, q, c_rows, ids, c, told, cutoffs = _sides(_chain(first, batches), width)
-        # a query has no cutoff only if it is alone
-        asking = np.flatnonzero(np.isin(q_rows, told))
-        q_rows, q = q_rows[asking], q[asking]
-        order = np.argsort(told)
-        for i, j, s in collect(q, c, cutoffs[order][np.searchsorted(told[order], q_rows)], bound):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), own, np.int32)), pa.array(q_rows[i]), pa.array(c_rows[j]), ids.take(pa.array(j)), pa.array(s.astype(np.int64))], ["list", "q_row", "c_row", "vec_id", "score"])
-
-    def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(lists * c_groups * q_groups, "list", "c", "q").groupBy("list", "c", "q")
+        g = Group(batches, width)
+        told = pa.Table.from_batches(g.rest, told_schema) if len(g.q) and len(g.c) else told_schema.empty_table()
+        rows, least, threshold = (np.asarray(told.column(x).combine_chunks()) for x in ("row", "least", "threshold"))
+        order = np.argsort(rows)
+        rows, least, threshold = rows[order], least[order], threshold[order]
+        # a query has no threshold only if it is alone
+        asking = np.flatnonzero(np.isin(g.q_rows, rows))
+        q_rows, at = g.q_rows[asking], np.searchsorted(rows, g.q_rows[asking])
+        least, threshold = least[at], threshold[at]
+        for i, j, s in collect(g.q[asking], g.c, least + threshold, bound):
+            s = s.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), g.list, np.int32)), pa.array(q_rows[i]), pa.array(g.c_rows[j]), g.ids.take(pa.array(j)), pa.array(s), pa.array(s - least[i]), pa.array(threshold[i])], ["list", "q_row", "c_row", "vec_id", "score", "lift", "said"])
 
     def resolving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            q, c = (matrix([pa.RecordBatch.from_arrays([b.column(f"{x}_size"), b.column(f"{x}_values")], ["size", "values"])], width) for x in "qc")
-            yield pa.RecordBatch.from_arrays([b.column("q_row"), b.column("c_row"), b.column("vec_id"), pa.array(pairwise(q, c, bound))], ["q_row", "c_row", "vec_id", "score"])
+        g = Group(batches, width)
+        at_q, at_c = np.argsort(g.q_rows), np.argsort(g.c_rows)
+        for b in g.rest:
+            i = at_q[np.searchsorted(g.q_rows[at_q], np.asarray(b.column("row")))]
+            j = at_c[np.searchsorted(g.c_rows[at_c], np.asarray(b.column("c_row")))]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("c_row"), g.ids.take(pa.array(j)), pa.array(pairwise(g.q[i], g.c[j], bound))], ["q_row", "c_row", "vec_id", "score"])
 
-    def resolve(lost: DataFrame) -> DataFrame:
-        """q_row, c_row, vec_id, score of the lists named. A row that many ask for is dealt to several parts."""
-        lost = lost.withColumn("q_part", F.pmod(F.xxhash64("c_row"), F.lit(PARTS))).withColumn("c_part", F.pmod(F.xxhash64("q_row"), F.lit(PARTS)))
+    def dealt(df: DataFrame):
+        keys = ["list", "c", "q"]
+        return df.repartition(lists * c_groups * q_groups, *keys).sortWithinPartitions(*keys, "side").groupBy(*keys)
 
-        def needed(df: DataFrame, row: str, at: str, prefix: str) -> DataFrame:
-            wanted = lost.select("list", F.col(row).alias("row"), F.col(at).alias(at)).distinct()
-            return split(df).join(wanted, ["list", "row"]).select("list", F.col("row").alias(row), at, F.col("size").alias(f"{prefix}size"), F.col("values").alias(f"{prefix}values"))
-
-        both = lost.join(needed(others, "c_row", "c_part", "c_"), ["list", "c_row", "c_part"]).join(needed(asked, "q_row", "q_part", "q_"), ["list", "q_row", "q_part"])
-        columns = ["q_row", "c_row", "vec_id", "q_size", "q_values", "c_size", "c_values"]
-        return both.select(*columns).mapInArrow(resolving, "q_row long, c_row long, vec_id long, score long")
+    def resolve(lost: DataFrame) -> DataFrame:
+        """q_row, c_row, vec_id, score in the list that each row of lost (q_row, c_row, list) names."""
+        here = lost.select(F.lit(2).alias("side"), "list", c_group_of("c_row").alias("c"), q_group_of("q_row").alias("q"), F.col("q_row").alias("row"), "c_row")
+        return dealt(sides.unionByName(here, allowMissingColumns=True)).applyInArrow(resolving, "q_row long, c_row long, vec_id long, score long")
 
+    told_schema = pa.schema([("side", pa.int32()), ("list", pa.int32()), ("c", pa.int32()), ("q", pa.int32()), ("row", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("values", pa.binary()), ("least", pa.int64()), ("threshold", pa.int64())])
     named = runtime.cut(dealt(sides).applyInArrow(gathering, "list int, q_row long, c_row long, vec_id long, score long, least long"))
     best = runtime.cut(named.groupBy("q_row", "list").agg(F.min("least").alias("least"), (F.max("score") - F.min("least")).alias("peak")))
+    bit = F.expr("shiftleft(1L, list)")
+    silent = F.expr(f"explode(filter(sequence(0, {lists - 1}), x -> (lists & shiftleft(1L, x)) = 0)) as list")
     order = Window.partitionBy("q_row", "list").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "c_row")
     first = named.withColumn("n", F.row_number().over(order)).where(F.col("n") <= keep).where("q_row != c_row")
-    first = runtime.cut(first.groupBy("q_row", "c_row").agg(F.first("vec_id").alias("vec_id"), F.sum("score").alias("score"), F.collect_list("list").alias("lists")))
-    silent = F.explode(F.array_except(F.sequence(F.lit(0), F.lit(lists - 1)), "lists")).alias("list")
-    whole = first.drop("lists").unionByName(resolve(first.select("q_row", "c_row", "vec_id", silent))).groupBy("q_row", "c_row").agg(F.sum("score").alias("score"))
+    first = runtime.cut(first.groupBy("q_row", "c_row").agg(F.sum("score").alias("score"), F.sum(bit).alias("lists")))
+    whole = first.drop("lists").unionByName(resolve(first.select("q_row", "c_row", silent)).select("q_row", "c_row", "score")).groupBy("q_row", "c_row").agg(F.sum("score").alias("score"))
     ranked = whole.withColumn("n", F.row_number().over(Window.partitionBy("q_row").orderBy(F.desc("score")))).where(F.col("n") <= k)
     safe = ranked.groupBy("q_row").agg(F.when(F.count("*") == k, F.min("score")).alias("safe"))
     floors = best.groupBy("q_row").agg(F.sum("least").alias("floor"))
@@ -230,19 +246,19 @@ def phases(vectors: DataFrame, id_column: str = "vec_id", column: str = "embeddi
     equal = F.expr(f"safe div {lists} + if(safe % {lists} > 0, 1, 0)")
     threshold = F.greatest(equal, F.col("safe") - F.sum("peak").over(peaks) + F.col("peak"), F.lit(0))
     bounds = runtime.cut(best.join(safe, "q_row").select("q_row", "list", "least", threshold.alias("threshold")))
-    told = bounds.select(F.lit(2).alias("side"), "list", all_c, F.col("q_row").alias("row"), (F.col("least") + F.col("threshold")).alias("cutoff")).withColumn("q", q_group)
-    entries = runtime.cut(dealt(sides.unionByName(told, allowMissingColumns=True)).applyInArrow(collecting, "list int, q_row long, c_row long, vec_id long, score long"))
+    told = bounds.select(F.lit(2).alias("side"), "list", all_c, q_group_of("q_row").alias("q"), F.col("q_row").alias("row"), "least", "threshold")
+    entries = runtime.cut(dealt(sides.unionByName(told, allowMissingColumns=True)).applyInArrow(collecting, "list int, q_row long, c_row long, vec_id long, score long, lift long, said long"))
 
-    known = entries.where("q_row != c_row").join(bounds, ["q_row", "list"]).groupBy("q_row", "c_row")
-    known = known.agg(F.first("vec_id").alias("vec_id"), F.sum("score").alias("score"), F.sum(F.col("score") - F.col("least")).alias("lift"), F.sum("threshold").alias("said"), F.collect_list("list").alias("lists"))  # ``lists`` entries at most
+    known = entries.where("q_row != c_row").groupBy("q_row", "c_row")
+    known = known.agg(F.max("vec_id").alias("vec_id"), *(F.sum(x).alias(x) for x in ("score", "lift", "said")), F.sum(bit).alias("lists"))
     ranked = known.select("q_row", "lift").withColumn("n", F.row_number().over(Window.partitionBy("q_row").orderBy(F.desc("lift")))).where(F.col("n") <= k)
     cutoff = ranked.groupBy("q_row").agg(F.when(F.count("*") == k, F.min("lift")).otherwise(0).alias("cutoff"))
     cutoff = bounds.groupBy("q_row").agg(F.sum("threshold").alias("thresholds")).join(cutoff, "q_row")
     reach = F.col("lift") + F.col("thresholds") - F.col("said")
     survivors = known.join(cutoff, "q_row").where(reach >= F.col("cutoff")).select("q_row", "c_row", "vec_id", "score", "lists")
     survivors = runtime.cut(survivors)
-    resolved = resolve(survivors.select("q_row", "c_row", "vec_id", silent))
-    whole = survivors.drop("lists").unionByName(resolved).groupBy("q_row", "c_row").agg(F.first("vec_id").alias("vec_id"), F.sum("score").alias("score"))
+    resolved = resolve(survivors.select("q_row", "c_row", silent))
+    whole = survivors.drop("lists").unionByName(resolved).groupBy("q_row", "c_row").agg(F.max("vec_id").alias("vec_id"), F.sum("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("q_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "c_row"))
     placed = whole.withColumn("rank", place).where(F.col("rank") <= k)
     names = asked.select(F.col("row").alias("q_row"), F.col("id").alias("query_id"))
@@ -250,11 +266,6 @@ def phases(vectors: DataFrame, id_column: str = "vec_id", column: str = "embeddi
     return Phases(named, entries, survivors, placed)
 
 
-def _chain(first: pa.RecordBatch, rest: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield first
-    yield from rest
-
-
 def top(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", k: int = K, scale: int = SCALE, every: int = EVERY, lists: int = LISTS, heads: int = HEADS) -> DataFrame:
     """query_id, rank, vec_id, score: of each row whose identifier is divisible by ``every``, its k best among all other rows."""
     return phases(vectors, id_column, column, k, scale, every, lists, heads).placed
