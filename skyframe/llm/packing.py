@@ -2,19 +2,24 @@
 
 Documents of the same length are interchangeable, so the search works on how
 many pieces of each length there are: at most ``capacity`` numbers, however many
-documents.  Around the largest length left it enumerates undominated fillings of
-the gap (a length that fits a gap exactly dominates all others; a filling to
-which one more piece could be added is dominated), least waste first; it prunes
-where bins used plus a bound on the rest reach the incumbent; the first
-incumbent is the best-fit solution.  A filling is applied as often as pieces
-last, so a plan has few patterns, and their slots are handed out to the pieces
-by rank.
+documents.  Around the largest length left it enumerates, one by one as they are asked for, the
+undominated fillings of the gap, least waste first, larger pieces first among
+equals (a length that fits what is left exactly dominates all other ways to fill
+that; a filling to which one more piece could be added is dominated).  Sums that
+no pieces give are known beforehand from bit sets, so no step of the enumeration
+leads nowhere.  Each filling is tried as often as its pieces last, then once.  A branch
+is pruned where the bins used and a bound on the rest reach the incumbent; the
+first incumbent is the best-fit solution.  Patterns with their slots are handed
+out to the pieces by rank.
+
+There is one search for any number of pieces.  Its only limit is ``nodes``, the
+fillings that are tried in all (a documented parameter); beyond it the incumbent
+holds, a valid packing that may not be the least.
 
 A document is its tokens and an end token (a null or empty text: the end token
 alone).  Only documents longer than the capacity are cut: into full pieces, of
-which the first is the shorter one.  The number of nodes is limited (a
-parameter); beyond it the incumbent holds, a valid packing that may not be the
-least.
+which the first is the shorter one.  Full pieces fill a sequence each and take no part in
+the search.
 """
 
 from __future__ import annotations
@@ -25,43 +30,59 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import runtime, tokens
 
-CAPACITY, NODES, GROUP = 1024, 4000, 1024
+CAPACITY, NODES, GROUP = 1024, 4000, 1 << 16
 Pattern = tuple[tuple[int, ...], int]
 
 
-def fillings(gap: int, counts: dict[int, int], lengths: list[int], width: int = 3, limit: int = 300) -> list[tuple[int, ...]]:
-    """Undominated fillings of a gap, least waste first, larger pieces first among equals. lengths: ascending, those of counts."""
-    found: list[tuple[int, tuple[int, ...]]] = []
-    seen = 0
-
-    def go(gap: int, top: int, chosen: tuple[int, ...]) -> None:
-        nonlocal seen
-        seen += 1
-        if gap <= top and counts.get(gap, 0) > chosen.count(gap):
-            found.append((0, (*chosen, gap)))
+def fillings(gap: int, counts: dict[int, int], lengths: list[int]) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of a gap, least waste first, larger pieces first among equals. lengths: ascending, those of counts that are left."""
+    lengths = lengths[: bisect_right(lengths, gap)]
+    mask, reach = (1 << gap + 1) - 1, [1]
+
+    def sums(k: int) -> int:
+        """Of the k least lengths, as bits."""
+        while len(reach) <= k:
+            x, bits = lengths[len(reach) - 1], reach[-1]
+            left, step = min(counts[x], gap // x), 1
+            while left > 0:
+                take = min(step, left)
+                bits |= bits << x * take & mask
+                left, step = left - take, 2 * step
+            reach.append(bits)
+        return reach[k]
+
+    def go(rest: int, k: int) -> Iterator[tuple[int, ...]]:
+        """All ways to get the sum from the k least lengths, but for dominated ones."""
+        if not rest:
+            yield ()
             return
-        k, fits = bisect_right(lengths, min(gap, top)) - 1, False
-        while k >= 0 and seen < limit and sum(w == 0 for w, _ in found) < width:
-            x = lengths[k]
-            if counts[x] > chosen.count(x):
-                fits = True
-                go(gap - x, x, (*chosen, x))
-            k -= 1
-        if not fits and (seen < limit or not found) and not any(counts[x] > chosen.count(x) for x in lengths[: bisect_right(lengths, gap)]):
-            found.append((gap, chosen))
-
-    if gap == 0:
-        return [()]
-    go(gap, gap, ())
-    if not found:
-        found.append((gap, best_fit_one(gap, counts, lengths)))
-    found.sort(key=lambda x: (x[0], tuple(-y for y in x[1])))
-    return list(dict.fromkeys(x for _, x in found))[:width]
+        k = bisect_right(lengths, rest, 0, k)
+        if k and lengths[k - 1] == rest:
+            yield (rest,)
+            return
+        for j in range(k - 1, -1, -1):
+            x = lengths[j]
+            for m in range(min(counts[x], rest // x), 0, -1):
+                if sums(j) >> rest - m * x & 1:
+                    for others in go(rest - m * x, j):
+                        yield (x,) * m + others
+            if not sums(j) >> rest & 1:
+                return
+
+    if gap and lengths and lengths[-1] == gap:
+        yield (gap,)
+        return
+    for waste in range(gap + 1):
+        if sums(len(lengths)) >> gap - waste & 1:
+            for found in go(gap - waste, len(lengths)):
+                if not any(counts[x] > found.count(x) for x in lengths[: bisect_right(lengths, waste)]):
+                    yield found
 
 
 def best_fit_one(gap: int, counts: dict[int, int], lengths: list[int]) -> tuple[int, ...]:
@@ -101,8 +122,13 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
 
 
 def least_bins(counts: dict[int, int], capacity: int) -> int:
-    """No packing has fewer: by volume, and by the pieces of over half a bin."""
-    return max(-(-sum(x * n for x, n in counts.items()) // capacity), sum(n for x, n in counts.items() if 2 * x > capacity))
+    """No packing has fewer: by volume, by the pieces of over half a bin, and by volume with lengths rounded to k-ths of a bin (what fits a bin still does)."""
+    x, n = np.array(list(counts), np.int64), np.array(list(counts.values()), np.int64)
+    k = np.arange(1, 16)[:, None]
+    parts = (k + 1) * x
+    rounded = (np.where(parts % capacity == 0, k * x, parts // capacity * capacity) * n).sum(1)
+    bounds = -(-rounded // (capacity * k[:, 0]))
+    return max(-(-int((x * n).sum()) // capacity), int(bounds.max()))
 
 
 def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
@@ -112,16 +138,18 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES)
         return []
     best = best_fit(counts, capacity)
     bins, floor = sum(n for _, n in best), least_bins(counts, capacity)
-    small = sum(counts.values()) <= 64
 
     def options() -> Iterator[Pattern]:
+        # the search is back at these counts whenever the next option is asked for
         lengths = sorted(x for x, n in counts.items() if n)
         top = lengths[-1]
-        counts[top] -= 1
-        found = fillings(capacity - top, counts, lengths, *((50, 5000) if small else ()))
-        counts[top] += 1
-        whole = [((top, *x), _times((top, *x), counts)) for x in found]
-        return iter([y for x in whole for y in ([x, (x[0], 1)] if small and x[1] > 1 else [x])])
+        around = {**counts, top: counts[top] - 1}
+        for filling in fillings(capacity - top, around, [x for x in lengths if around[x]]):
+            pattern = (top, *filling)
+            times = _times(pattern, counts)
+            yield pattern, times
+            if times > 1:
+                yield pattern, 1
 
     path: list[Pattern] = []
     used, stack, seen = 0, [options()], 0
@@ -147,10 +175,11 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES)
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every row of docs."""
+    """doc_id, piece, start, length, ids_crc32 of every piece of every row of docs, and row, a number of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(vocabulary).encode
+        made = TaskContext.get().partitionId() << 40
         for b in batches:
             for lo, found in encode(b.column("text")):
                 row, part, start, length, crc = [], [], [], [], []
@@ -162,10 +191,11 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = tokens.V
                         row.append(lo + k), part.append(piece), start.append(at), length.append(size)
                         crc.append(zlib.crc32(ids[at : at + size]))
                         at, piece = at + size, piece + 1
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(part, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(part, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(made + np.arange(len(row)))], ["doc_id", "piece", "start", "length", "ids_crc32", "row"])
+                made += len(row)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, row long")
 
 
 def slots(plan: list[Pattern]) -> list[tuple[int, int, int, int, int]]:
@@ -185,16 +215,20 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = tokens.VOC
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     spark = docs.sparkSession
     parts = runtime.cut(pieces(docs, capacity, vocabulary))
-    counts = {r.length: r.n for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # ``capacity`` rows at most
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    alone = parts.where(F.col("length") == capacity).select(*columns, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    parts = parts.where(F.col("length") < capacity)
+    counts = {r.length: r.n for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # fewer than ``capacity`` rows
     plan = slots(solve(counts, capacity, nodes))
     # ranks among the pieces of a length: places in small groups, after the sizes of the groups before
     groups = spark.createDataFrame([(x, -(-n // GROUP)) for x, n in counts.items()], "length long, groups long")
-    dealt = parts.join(F.broadcast(groups), "length").withColumn("group", F.expr("pmod(xxhash64(doc_id, piece, ids_crc32), groups)")).drop("groups")
+    dealt = parts.join(F.broadcast(groups), "length").withColumn("group", F.expr("pmod(xxhash64(row), groups)")).drop("groups")
     sizes = dealt.groupBy("length", "group").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("length", "group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("length", "group").orderBy("doc_id", "piece", "start", "ids_crc32")
+    own = Window.partitionBy("length", "group").orderBy("row")
     ranked = dealt.withColumn("place", F.row_number().over(own) - 1).join(bases, ["length", "group"]).withColumn("rank", F.col("base") + F.col("place"))
     table = spark.createDataFrame(plan, "slot_length long, first long, end long, sequence long, at long")  # a few slots a length, whatever the input
     fits = (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))
-    return ranked.join(F.broadcast(table), fits).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), F.col("at").alias("offset"))
+    mixed = ranked.join(F.broadcast(table), fits).select(*columns, (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), F.col("at").alias("offset"))
+    return alone.unionByName(mixed)

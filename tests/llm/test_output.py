@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -106,6 +107,47 @@ def test_small_packings_are_least(case):
     assert sum(n for _, n in plan) == least(items, capacity)
 
 
+def least_of_counts(counts: dict[int, int], capacity: int) -> int:
+    """By all patterns and all remainders."""
+    lengths = sorted(counts)
+    patterns = [p for p in itertools.product(*(range(capacity // x + 1) for x in lengths)) if 0 < sum(x * k for x, k in zip(lengths, p)) <= capacity]
+    patterns = [p for p in patterns if all(sum(x * k for x, k in zip(lengths, p)) + x > capacity for x in lengths)]
+    best = np.full([counts[x] + 1 for x in lengths], 10**9)
+    best[(0,) * len(lengths)] = 0
+    for at in itertools.product(*(range(n + 1) for n in best.shape and [counts[x] for x in lengths])):
+        for p in patterns:
+            if any(at):
+                best[at] = min(best[at], 1 + best[tuple(max(0, a - k) for a, k in zip(at, p))])
+    return int(best[tuple(counts[x] for x in lengths)])
+
+
+@pytest.mark.parametrize("counts, capacity", [({3: 40, 4: 33, 5: 21}, 10), ({2: 30, 5: 40, 7: 25}, 12), ({4: 50, 6: 31, 9: 30}, 19), ({6: 65, 7: 9, 11: 20}, 24), ({5: 1, 8: 70, 9: 40}, 25)])
+def test_packings_of_more_pieces_are_least(counts, capacity):
+    plan = packing.solve(counts, capacity)
+    used = Counter()
+    for p, n in plan:
+        assert sum(p) <= capacity
+        for x in p:
+            used[x] += n
+    assert used == Counter(counts)
+    assert sum(n for _, n in plan) == least_of_counts(counts, capacity)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=9))
+def test_bounds_hold_and_fillings_are_undominated(items):
+    assert packing.least_bins(dict(Counter(items)) or {1: 0}, 20) <= least(items, 20)
+    counts = dict(Counter(items))
+    lengths = sorted(counts)
+    found = list(packing.fillings(20, counts, lengths))
+    waste = [20 - sum(x) for x in found]
+    assert waste == sorted(waste) and len(set(found)) == len(found) and min(waste) >= 0
+    for f, w in zip(found, waste):
+        assert all(counts[x] == f.count(x) or x > w for x in counts)
+    every = {sum(c) for n in range(len(items) + 1) for c in itertools.combinations(items, n) if sum(c) <= 20}
+    assert min(waste) == 20 - max(every)
+
+
 def test_large_packings_have_few_patterns_and_little_waste():
     counts = {x: 10**9 + 7 * x for x in range(1, 1025)}
     plan = packing.solve(counts)
