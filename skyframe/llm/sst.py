@@ -14,9 +14,15 @@ first key, place and sizes; the footer has the places of index and filter, the
 counts and a mark.  A lookup asks the filter, then searches the index and one
 block.
 
+There are at least as many ranges of identifiers as the input has splits, so a task's share
+doesn't grow with the input; rows of one identifier (null is one) may lie in several, in the order of the
+input.  A range begins another file at ``ROLL`` bytes, and a writer holds a block, the
+index and eight bytes a document of the file it writes.
+
 Files go to the shared folder by Arrow's file systems (file, hdfs, s3, gs).  A
 task's file has a name of its own and counts only once the task reports it, so a
-lost executor or a second attempt leaves nothing half written in use.
+lost executor or a second attempt leaves nothing half written in use; what it leaves behind
+is removed once all have reported.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -37,7 +44,7 @@ from pyspark.sql import functions as F
 from . import runtime, tokens
 from .textcore import mix64
 
-BLOCK_BYTES, BITS_A_KEY, PROBES = 1 << 16, 10, 7
+BLOCK_BYTES, BITS_A_KEY, PROBES, ROLL = 1 << 16, 10, 7, 1 << 30
 _MARK = b"SKYSST01"
 _FOOTER = struct.Struct("<QQQQQQ8s")
 
@@ -70,9 +77,12 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _probes(keys: list[bytes], bits: int) -> np.ndarray:
-    """Places in the filter of each key, a row a key."""
-    h = np.array([int.from_bytes(x, "big") + len(x) * 0x9E37 & (1 << 64) - 1 for x in keys], np.uint64)
+def _number(key: bytes) -> int:
+    return int.from_bytes(key, "big") + len(key) * 0x9E37 & (1 << 64) - 1
+
+
+def _probes(h: np.ndarray, bits: int) -> np.ndarray:
+    """Places in the filter of each key's number, a row a key."""
     a, b = mix64(h), mix64(h ^ np.uint64(0x5555555555555555)) | np.uint64(1)
     return (a[:, None] + b[:, None] * np.arange(PROBES, dtype=np.uint64)) % np.uint64(bits)
 
@@ -84,8 +94,13 @@ class Writer:
         self._out, self._at = out, 0
         self._block, self._last, self._first = bytearray(), b"", None
         self._index: list[tuple[bytes, int, int, int]] = []
-        self._keys: list[bytes] = []
-        self.n_tokens = 0
+        self._keys = array("Q")
+        self.n_tokens = self.n_docs = 0
+
+    @property
+    def size(self) -> int:
+        """Bytes so far, the block at hand unpacked."""
+        return self._at + len(self._block)
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
         if self._first is None:
@@ -96,8 +111,9 @@ class Writer:
         value = b"\2" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\4" + ids.astype("<u4").tobytes()
         self._block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
         self._last = key
-        self._keys.append(key)
+        self._keys.append(_number(key))
         self.n_tokens += len(ids)
+        self.n_docs += 1
         if len(self._block) >= BLOCK_BYTES:
             self._flush()
 
@@ -115,9 +131,9 @@ class Writer:
         self._flush()
         index = b"".join(_varint(len(k)) + k + _varint(a) + _varint(b) + _varint(c) for k, a, b, c in self._index)
         bits = max(64, BITS_A_KEY * len(self._keys))
-        marks = np.zeros(bits, bool)
-        for lo in range(0, len(self._keys), 1 << 16):
-            marks[_probes(self._keys[lo : lo + (1 << 16)], bits).ravel().astype(np.int64)] = True
+        marks, keys = np.zeros(bits, bool), np.frombuffer(self._keys, np.uint64)
+        for lo in range(0, len(keys), 1 << 16):
+            marks[_probes(keys[lo : lo + (1 << 16)], bits).ravel().astype(np.int64)] = True
         bloom = np.packbits(marks).tobytes()
         self._out.write(index + bloom + _FOOTER.pack(self._at, len(index), len(self._index), bits, len(self._keys), self.n_tokens, _MARK))
         return self._at + len(index) + len(bloom) + _FOOTER.size
@@ -168,7 +184,7 @@ class Reader:
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """What is kept under an identifier."""
         key = key_of(doc_id)
-        at = _probes([key], self._bits)[0].astype(np.int64)
+        at = _probes(np.array([_number(key)], np.uint64), self._bits)[0].astype(np.int64)
         if not (self._bloom[at >> 3] >> (7 - (at & 7)) & 1).all():
             return []
         out, firsts = [], [x[0] for x in self.index]
@@ -187,31 +203,50 @@ def open_shard(uri: str) -> Reader:
     return Reader(system.open_input_file(path))
 
 
-def write(docs: DataFrame, folder: str, shards: int, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
-    """Write every row of docs (doc_id, text). Returns a row a shard: shard, uri, n_docs, n_tokens, bytes."""
+def write(docs: DataFrame, folder: str, shards: int, vocabulary: str = tokens.VOCABULARY, roll: int = ROLL) -> DataFrame:
+    """Write every row of docs (doc_id, text). Returns a row a file: shard, part, uri, n_docs, n_tokens, bytes."""
+    export = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(vocabulary).encode
         system, path = fs.FileSystem.from_uri(folder)
         system.create_dir(path, recursive=True)
-        shard, name = TaskContext.get().partitionId(), None
+        shard, part, writer = TaskContext.get().partitionId(), 0, None
+
+        def closed() -> pa.RecordBatch:
+            size = writer.close()
+            out.close()
+            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "part": pa.array([part], pa.int32()), "uri": [f"{folder}/{name}"], "n_docs": [writer.n_docs], "n_tokens": [writer.n_tokens], "bytes": [size]})
+
         for b in batches:
             keys = b.column("doc_id").to_pylist()
             for lo, found in encode(b.column("text")):
-                if name is None:
-                    name = f"{shard:06d}-{uuid.uuid4().hex}.sst"
-                    out = system.open_output_stream(f"{path}/{name}")
-                    writer, n = Writer(out), 0
                 for k, ids in enumerate(found):
+                    if writer is None:
+                        name = f"{export}-{shard:06d}-{part:04d}-{uuid.uuid4().hex}.sst"
+                        out = system.open_output_stream(f"{path}/{name}")
+                        writer = Writer(out)
                     writer.add(key_of(keys[lo + k]), np.append(ids, np.uint32(tokens.END)))
-                    n += 1
-        if name is not None:
-            size = writer.close()
-            out.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "uri": [f"{folder}/{name}"], "n_docs": [n], "n_tokens": [writer.n_tokens], "bytes": [size]})
+                    if writer.size >= roll:
+                        yield closed()
+                        part, writer = part + 1, None
+        if writer is not None:
+            yield closed()
+
+    # the order of the input deals out the rows of one identifier
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("_row"))
+    rows = rows.repartitionByRange(shards, "doc_id", "_row").sortWithinPartitions("doc_id", "_row").select("doc_id", "text")
+    manifest = runtime.cut(rows.mapInArrow(run, "shard int, part int, uri string, n_docs long, n_tokens long, bytes long"))
+    _tidy(folder, export, {r.uri.rsplit("/", 1)[-1] for r in manifest.select("uri").toLocalIterator()})
+    return manifest
+
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    return runtime.cut(rows.mapInArrow(run, "shard int, uri string, n_docs long, n_tokens long, bytes long"))
+def _tidy(folder: str, export: str, names: set[str]) -> None:
+    """Remove files of this export that no task reported."""
+    system, path = fs.FileSystem.from_uri(folder)
+    for info in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+        if info.base_name.startswith(export) and info.base_name not in names:
+            system.delete_file(info.path)
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -228,13 +263,14 @@ def read(manifest: DataFrame) -> DataFrame:
                     base += int(sizes.sum())
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int64()), pa.array(starts), pa.array(sizes), pa.array([x[2] for x in own], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # a row a shard: the sum runs over shards, not documents
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    # a row a file: the sum runs over files, not documents
+    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.select("shard", "uri", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")).alias("base"))
-    return based.repartition(runtime.partitions(manifest.sparkSession), "shard").select("uri", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return based.repartition(max(runtime.partitions(manifest.sparkSession), manifest.count()), "uri").select("uri", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def export(docs: DataFrame, folder: str | None = None, shards: int | None = None, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
-    """Write the shards and read them back."""
+    """Write the shards and read them back. shards: ranges of identifiers; else one a split of the input, and one a partition that Spark shuffles to at least."""
     spark = docs.sparkSession
-    return read(write(docs, folder or runtime.fresh_dir(spark, "sst"), shards or runtime.partitions(spark), vocabulary))
+    shards = shards or max(runtime.partitions(spark), docs.rdd.getNumPartitions())
+    return read(write(docs, folder or runtime.fresh_dir(spark, "sst"), shards, vocabulary))

@@ -54,6 +54,24 @@ def _powers(base: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+_PRIME = (1 << 31) - 1
+
+
+def _residues(base: int) -> np.ndarray:
+    """Powers modulo the prime, for the places of one block."""
+    out = np.ones(CHUNK_BYTES, np.int64)
+    size = 1
+    while size < CHUNK_BYTES:
+        out[size : 2 * size] = out[:size] * pow(base, size, _PRIME) % _PRIME
+        size *= 2
+    return out
+
+
+_CHECK_LETTERS = (seeds(256, 3000) % _U(_PRIME)).astype(np.int64)
+_CHECK_BASE = int(seeds(1, 78)[0]) % _PRIME
+_CHECK_INVERSE = pow(_CHECK_BASE, -1, _PRIME)
+_CHECK_UP, _CHECK_DOWN = _residues(_CHECK_BASE), _residues(_CHECK_INVERSE)
+
 #: A longer text is hashed block by block, so these stay as they are.
 _UP, _DOWN = _powers(_BASE), _powers(_INVERSE)
 
@@ -127,6 +145,25 @@ class Chunk:
         """Of the byte ranges [start, end)."""
         return mix64((self._sums[ends] - self._sums[starts]) * self._down(starts) + (ends - starts).astype(_U))
 
+    @cached_property
+    def _check_sums(self) -> np.ndarray:
+        out = np.zeros(len(self.data) + 1, np.int64)
+        for lo in range(0, len(self.data), CHUNK_BYTES):
+            block = _CHECK_LETTERS[self.data[lo : lo + CHUNK_BYTES]]
+            block *= _CHECK_UP[: len(block)]
+            block %= _PRIME
+            if lo:
+                block = block * pow(_CHECK_BASE, lo, _PRIME) % _PRIME
+            np.cumsum(block, out=out[lo + 1 : lo + 1 + len(block)])
+            out[lo + 1 : lo + 1 + len(block)] += out[lo]
+        return out
+
+    def checks(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Of the byte ranges, length and a second hash of another family (modulo a prime), for those whose first hashes agree."""
+        far = np.array([pow(_CHECK_INVERSE, k * CHUNK_BYTES, _PRIME) for k in range(len(self.data) // CHUNK_BYTES + 1)], np.int64)
+        down = _CHECK_DOWN[starts % CHUNK_BYTES] * far[starts // CHUNK_BYTES] % _PRIME
+        return (self._check_sums[ends] - self._check_sums[starts]) % _PRIME * down % _PRIME | np.minimum(ends - starts, (1 << 31) - 1) << 31
+
     @cached_property
     def words(self) -> np.ndarray:
         return self.hashes(self.starts, self.ends)

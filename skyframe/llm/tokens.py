@@ -4,9 +4,11 @@ The tokenizers library encodes each distinct part of a text once; a text's
 identifiers are those of its parts in order.  Parts end where a pre-token must
 end: at a single space or line end between other characters, and between an
 ASCII letter or digit and the marks that end a word.  Parts are found, and looked
-up by 64-bit hash, on the UTF-8 bytes of many texts at once.  A text with any
-other white space, and any text under a vocabulary of another kind, is encoded
-by the library as it is.
+up by 64-bit hash, on the UTF-8 bytes of many texts at once; length and a second
+hash of another family must agree too.  Texts among which two parts differ in these
+only, a text with any
+other white space, and any text under a vocabulary of another kind, are encoded
+by the library as they are.
 """
 
 from __future__ import annotations
@@ -47,6 +49,7 @@ class _Parts:
         self._tables = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
         self.ids = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)
+        self.checks = np.zeros(1 << 14, np.int64)
         self.n = 0
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
@@ -60,7 +63,7 @@ class _Parts:
                 out[hit] = places[at[hit]]
         return out
 
-    def add(self, hashes: np.ndarray, parts: list[list[int]]) -> None:
+    def add(self, hashes: np.ndarray, checks: np.ndarray, parts: list[list[int]]) -> None:
         """hashes: ascending, none of them known."""
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         begin, more = (int(self.ends[self.n - 1]) if self.n else 0), int(sizes.sum())
@@ -68,8 +71,10 @@ class _Parts:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.n + len(parts) > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+            self.checks = np.concatenate([self.checks, np.zeros_like(self.checks)])
         self.ids[begin : begin + more] = np.fromiter(chain.from_iterable(parts), np.uint32, more)
         self.ends[self.n : self.n + len(parts)] = begin + np.cumsum(sizes)
+        self.checks[self.n : self.n + len(parts)] = checks
         fresh = self._merged(self._tables[1], (hashes, np.arange(self.n, self.n + len(parts))))
         large = self._tables[0]
         if len(fresh[0]) > max(1 << 15, len(large[0]) // 8):
@@ -118,19 +123,22 @@ class Encoder:
             out[k] = ids
         return out
 
-    def _lookup(self, c: Chunk, h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each part its number among the distinct ones, and of those the identifiers: flat, with ends."""
+    def _lookup(self, c: Chunk, h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Of each part its number among the distinct ones, and of those the identifiers: flat, with ends. None if parts with one hash differ."""
         code, distinct = pd.factorize(h, sort=True)
         if self._known.n > REMEMBERED:
             self._known = _Parts()
-        known = self._known
+        known, checks = self._known, c.checks(begin, end)
+        first = np.zeros(len(distinct), np.int64)
+        first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
         at = known.find(distinct)
-        lost = np.flatnonzero(at < 0)
+        old = at >= 0
+        if (checks != checks[first][code]).any() or (known.checks[at[old]] != checks[first[old]]).any():
+            return None
+        lost = np.flatnonzero(~old)
         if len(lost):
-            first = np.zeros(len(distinct), np.int64)
-            first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
             raw, n = c.data.tobytes(), known.n
-            known.add(distinct[lost], self._learn([raw[a:z] for a, z in zip(begin[first[lost]].tolist(), end[first[lost]].tolist(), strict=True)]))
+            known.add(distinct[lost], checks[first[lost]], self._learn([raw[a:z] for a, z in zip(begin[first[lost]].tolist(), end[first[lost]].tolist(), strict=True)]))
             at[lost] = np.arange(n, known.n)
         return code, np.where(at > 0, known.ends[at - 1], 0), known.ends[at]
 
@@ -172,7 +180,12 @@ class Encoder:
         if not n:
             flat, sizes = np.zeros(0, np.uint32), np.zeros(c.n, np.int64)
         else:
-            code, lo, hi = self._lookup(c, c.hashes(a, z), a, z)
+            found = self._lookup(c, c.hashes(a, z), a, z)
+            if found is None:
+                raw = c.data.tobytes()
+                ids = self.whole([raw[x:y].decode() for x, y in zip(c.offsets[:-1].tolist(), c.offsets[1:].tolist(), strict=True)])
+                return np.array(list(chain.from_iterable(ids)), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+            code, lo, hi = found
             kind = np.full((n, 3), -1, np.int64)
             kind[:, 1] = code[:n]
             kind[tails, 2] = code[n : n + len(tails)]

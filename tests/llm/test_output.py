@@ -16,7 +16,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skyframe.llm import mixing, packing, queries, sst, tokens, topk, urls
+from skyframe.llm import mixing, packing, queries, sst, textcore, tokens, topk, urls
 
 from .brute import DOCS, documents, words
 
@@ -195,6 +195,23 @@ def test_pack(spark):
     assert packing.pack(documents(spark, [])).count() == 0
 
 
+def test_parts_of_one_hash_are_told_apart(monkeypatch):
+    real = textcore.Chunk.hashes
+    monkeypatch.setattr(textcore.Chunk, "hashes", lambda self, a, z: real(self, a, z) % np.uint64(7))
+    texts = ["one two three, four", "five six", "seven eight nine ten eleven", "one two"]
+    encoder = tokens.Encoder(tokens.VOCABULARY)
+    for _ in range(2):
+        got = [x for t in ([texts[0]], texts, texts[::-1]) for _, found in encoder.encode(pa.array(t)) for x in found]
+        assert [x.tolist() for x in got] == [ids_of(x)[:-1].tolist() for x in (texts[0], *texts, *texts[::-1])]
+
+
+def test_checks_tell_ranges_apart_wherever_they_stand(monkeypatch):
+    a, b = (next(textcore.chunks(pa.array([x])))[2] for x in ("abc" * 300_000 + "xyz end", "xyz"))
+    n = len(a.data)
+    assert a.checks(np.array([n - 7]), np.array([n - 4])) == b.checks(np.array([0]), np.array([3]))
+    assert len(set(a.checks(np.arange(0, 60), np.arange(0, 60) + 2).tolist())) == 3
+
+
 def test_shards_round_trip_and_lookup(spark, tmp_path):
     rows = some_texts()
     shards = sst.write(documents(spark, rows), f"file://{tmp_path}/sst", 3)
@@ -213,6 +230,24 @@ def test_shards_round_trip_and_lookup(spark, tmp_path):
     assert sst.export(documents(spark, [])).count() == 0
 
 
+def test_shards_roll_over_and_split_one_identifier(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(7, " ".join(str(rng.randint(0, 10**9)) for _ in range(30))) for _ in range(400)] + [(None, f"x {i}") for i in range(50)] + [(i, "tail") for i in range(8, 30)]
+    folder = f"file://{tmp_path}/sst"
+    files = sst.write(documents(spark, rows), folder, 4, roll=20_000)
+    n = files.agg({"n_docs": "max"}).collect()[0][0]
+    assert files.count() > 4 and n < 200 and files.where("n_docs > 0 and shard > 0").count()
+    (tmp_path / "sst" / "other.sst").write_bytes(b"")
+    (tmp_path / "sst" / "mine-left.sst").write_bytes(b"")
+    sst._tidy(folder, "mine", set())
+    assert (tmp_path / "sst" / "other.sst").exists() and not (tmp_path / "sst" / "mine-left.sst").exists()
+    got = sst.read(files).orderBy("start").collect()
+    assert [r.start for r in got] == list(np.cumsum([0, *(r.n_tokens for r in got)])[:-1])
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda x: (x is not None, x or 0))
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == Counter((d, zlib.crc32(ids_of(t).tobytes())) for d, t in rows)
+    assert sum(len(sst.open_shard(r.uri).get(7)) for r in files.collect()) == 400
+
+
 def test_shard_blocks_and_wide_identifiers():
     out = io.BytesIO()
     writer = sst.Writer(out)
