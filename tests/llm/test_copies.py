@@ -58,6 +58,7 @@ def test_large_group_is_verified_in_blocks(spark, monkeypatch):
         copy[rng.randrange(len(copy))] = f"e{i}"
         texts[i] = " ".join(copy)
     monkeypatch.setattr(jaccard, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(jaccard, "TILE", 5)
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.similar(documents(spark, list(texts.items()))).collect()}
     edges = links(texts)
     assert got == {i: (0, sum(i in e for e in edges)) for i in texts}
@@ -70,6 +71,60 @@ def test_prefix_depth_reaches_the_recall():
         assert d == 10 or 1 - (1 - t ** (d + 1)) ** trees < recall
 
 
+def test_labels_agree_as_often_as_sets_are_alike():
+    rng = np.random.default_rng(2)
+    common = np.unique(rng.integers(0, 2**62, 400).astype(np.uint64))
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 2**62, 50).astype(np.uint64)])) for _ in range(2)]
+    raw = [x.tobytes() for x in jaccard.labels(np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])]), 200, 8)]
+    for depth in (1, 4):
+        p = jaccard.prefixes(raw, 200, depth)
+        assert abs((p[0] == p[1]).mean() - 0.8**depth) < 0.1
+
+
+def test_prefixes_are_shortened_until_the_measured_recall_is_reached(spark):
+    rng = random.Random(12)
+    almost, rows = [f"v{i}" for i in range(5000)], []
+    for g in range(120):  # many links, nearly all at 0.99
+        base = [rng.choice(almost) for _ in range(600)]
+        for k in range(3):
+            rows.append((10 * g + k, " ".join([*base, f"end{k}"])))
+    forest = jaccard.Forest(documents(spark, rows), 0.8, 16, 8, 0.999)
+    found, tried = jaccard.search(forest, 0.998)
+    assert len(tried) < 3 and tried[-1][0] > forest.floor and tried[-1][1] >= 0.998
+    assert found.where("node is not null").agg({"links": "sum"}).collect()[0][0] == 2 * len(links(dict(rows)))
+    # few links, at the threshold: the length at which any pair is found
+    low = [(i, " ".join([*(rng.choice(almost) for _ in range(100)), "x"])) for i in range(3)]
+    low += [(9, low[0][1] + " " + " ".join(f"n{i}" for i in range(22)))]
+    forest = jaccard.Forest(documents(spark, low), 0.8, 16, 8, 0.999)
+    assert [d for d, _ in jaccard.search(forest)[1]][-1] == forest.floor == 4
+    exact = {0.99: 1000, 0.8: 2}
+    assert jaccard.expected_recall(exact, 8, 8, 0.8, 16) < jaccard.expected_recall(exact, 8, 6, 0.8, 16) < jaccard.expected_recall(exact, 8, 4, 0.8, 16) < 1
+
+
+def test_every_link_of_the_test_documents_is_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    first = {}
+    for r in docs.orderBy("doc_id").collect():
+        first.setdefault(r.text, r.doc_id)
+    unique = {k: t for t, k in first.items() if words(t)}
+    edges = links(unique)
+    got = {r.doc_id: r for r in jaccard.similar(docs).collect()}
+    assert sum(got[k].n_links for k in unique) == 2 * len(edges) > 0
+    group = classes(unique, edges)
+    assert all(got[k].class_id == group[k] for k in unique)
+
+
+def test_texts_that_share_an_identifier_are_judged_each(spark):
+    a, b, c = (" ".join(passages_of(random.Random(i), 40)) for i in (1, 2, 3))
+    rows = [(1, a), (2, a), (2, b), (3, b + " more"), (4, c), (4, c), (5, None), (5, None), (6, ""), (None, a), (7, c)]
+    docs = documents(spark, rows).withColumnRenamed("lang", "k1").withColumnRenamed("source", "stays")
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, a), (2, b), (4, c), (5, None), (5, None), (6, ""), (None, a)], key=repr)
+    got = {(r.doc_id, r.class_id) for r in jaccard.similar(docs).collect()}
+    assert got == {(1, 1), (2, 1), (2, 2), (3, 2), (4, 4), (7, 4), (5, 5), (6, 6), (None, None)}
+
+
 def test_intersections():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 40, 15)).astype(np.uint64) for _ in range(9)]
