@@ -24,10 +24,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that hang together by similarity, the one of least identifier stays."""
+    """Of documents that hang together by similarity, one of the least identifier stays."""
     runtime.ship(spark)
-    spare = jaccard.similar(docs).where("doc_id != class_id").select(F.col("doc_id").alias("_id")).distinct().hint("shuffle_hash")
-    return docs.join(spare, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    return jaccard.one_of_each(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

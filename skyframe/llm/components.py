@@ -33,7 +33,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         # small star: a node and its smaller neighbours hang on the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a != b").distinct()
-        now = runtime.cut(small)
+        now = runtime.cut(small, (now, large))
         last, mark = mark, _mark(now)
         if mark == last:
             break

@@ -13,21 +13,41 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; only where it is unset, as in tests, an own one."""
+    """The folder in spark.checkpoint.dir, which all executors share. Only where it is unset and all runs in one process, as in tests, an own one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (at or "file://" + os.path.join(tempfile.gettempdir(), "skyframe-shared")).rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, what: str) -> str:
     """A new folder there. All of an application's lie under its identifier, and may go once its results are read."""
-    return f"{shared_dir(spark)}/skyframe-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+    return f"{_home(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder: lineage ends there, and lost executors don't cost them."""
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/skyframe-{spark.sparkContext.applicationId}"
+
+
+def cut(df: DataFrame, spent: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """The rows as a table in the shared folder: lineage ends there, and lost executors don't cost them. spent: such tables that nothing reads any more; they go."""
     at = fresh_dir(df.sparkSession, "table")
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    for old in spent:
+        _remove(df.sparkSession, old._skyframe_at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._skyframe_at = at
+    return out
+
+
+def _remove(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables of this application from the shared folder; its results must have been read or written elsewhere."""
+    _remove(spark, _home(spark))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -41,7 +61,8 @@ _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, so that they can import what the functions refer to.
 
-    Texts are long: unless the user has set it, an Arrow batch holds fewer rows than Spark's own 10,000.
+    Texts are long: where an Arrow batch holds Spark's own 10,000 rows, it holds 1,000 from here on in this session, as
+    plans are made when results are read. Any other number is left as it is.
     """
     sc = spark.sparkContext
     if spark.conf.get(_ROWS) == "10000":

@@ -245,7 +245,7 @@ def phases(vectors: DataFrame, id_column: str = "vec_id", column: str = "embeddi
     peaks = Window.partitionBy("q_row")
     equal = F.expr(f"safe div {lists} + if(safe % {lists} > 0, 1, 0)")
     threshold = F.greatest(equal, F.col("safe") - F.sum("peak").over(peaks) + F.col("peak"), F.lit(0))
-    bounds = runtime.cut(best.join(safe, "q_row").select("q_row", "list", "least", threshold.alias("threshold")))
+    bounds = runtime.cut(best.join(safe, "q_row").select("q_row", "list", "least", threshold.alias("threshold")), (best, first))
     told = bounds.select(F.lit(2).alias("side"), "list", all_c, q_group_of("q_row").alias("q"), F.col("q_row").alias("row"), "least", "threshold")
     entries = runtime.cut(dealt(sides.unionByName(told, allowMissingColumns=True)).applyInArrow(collecting, "list int, q_row long, c_row long, vec_id long, score long, lift long, said long"))
 

@@ -109,11 +109,11 @@ def templates(pages: DataFrame, depth: int = DEPTH, siblings: int = SIBLINGS, pr
     now = pages.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.count_if("bad").alias("bad"))
     now = runtime.cut(now.select("*", *(F.coalesce(F.get("shape", F.lit(k)), F.lit("")).alias(s) for k, s in enumerate(segments))))
     for k, at in enumerate(segments):
-        now = runtime.cut(_generalised(now, ["host", *segments[:k]], at, siblings))
+        now = runtime.cut(_generalised(now, ["host", *segments[:k]], at, siblings), (now,))
     tree = now.groupBy("host", *segments).agg(*(F.sum(x).alias(x) for x in ("n", "labelled", "bad")))
     tree = runtime.cut(tree.select("*", *(F.col(s).alias(t) for s, t in zip(segments, places, strict=True))))
     for k in reversed(range(depth - 1)):
-        tree = runtime.cut(_merged(tree, ["host", *segments[:k]], segments[k], segments[k + 1 :], prior, weight, alike, cutoff))
+        tree = runtime.cut(_merged(tree, ["host", *segments[:k]], segments[k], segments[k + 1 :], prior, weight, alike, cutoff), (tree,))
     total = tree.groupBy("host", *segments).agg(F.sum("n").alias("pages"), F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
     share = (F.col("b") + prior * weight) / (F.col("l") + weight)
     text = F.concat(F.lit("/"), F.array_join(F.filter(F.array(*segments), lambda x: x != ""), "/"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from skyframe.llm import components, jaccard, substring
+from skyframe.llm.textcore import chunks, seeds
 
 from .brute import classes, documents, links, words
 
@@ -250,3 +252,81 @@ def test_sliding_minima():
     v = rng.integers(0, 99, 60)
     for width in (1, 2, 3, 7, 46):
         assert substring.sliding_minima(v, width).tolist() == [v[i : i + width].min() for i in range(60 - width + 1)]
+
+
+def test_windows_are_the_nodes_of_the_cartesian_tree():
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 60)) for _ in range(n)) for n in (200, 3, 60, 54, 120)]
+    for _, _, c in chunks(pa.array(texts)):
+        key, own, place = substring.compact_windows(c, 50, 3)
+        assert (np.diff(own) >= 0).all()
+        h, at = c.grams(5)
+        for k in range(c.n):
+            v0 = h[c.doc[at] == k]
+            expected = set()
+            for f in range(3):
+                a, b = seeds(2, 900 + 2 * f)
+                v = ((v0 ^ b) * (a | np.uint64(1))).tolist()
+                for i in range(len(v) - 45):
+                    m = min(range(i, i + 46), key=lambda x: (v[x], x))
+                    lo, hi = m, m
+                    while lo > 0 and v[lo - 1] > v[m]:
+                        lo -= 1
+                    while hi + 1 < len(v) and v[hi + 1] >= v[m]:
+                        hi += 1
+                    expected.add((f, lo, m, hi))
+            got = {(int(x) & 7, *p) for x, p in zip(key[own == k], place[own == k].tolist())}
+            assert {x[:3:2] for x in got} == {x[:3:2] for x in expected}
+            if len(set(v0.tolist())) == len(v0):
+                assert got == expected
+
+
+def test_agreements_are_passages_that_hold_enough_centres():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        n = rng.integers(1, 9)
+        f, shift = rng.integers(0, 3, n), rng.choice([0, 0, 40], n)
+        centre = rng.integers(10, 90, n)
+        own = np.stack([centre - rng.integers(0, 30, n), centre, centre + rng.integers(0, 30, n)], 1)
+        other = own + shift[:, None]
+
+        def holds(k, i, j, side):
+            return side[k, 0] <= i <= side[k, 1] <= j <= side[k, 2]
+
+        expected = any(
+            len({f[k] for k in range(n) if holds(k, i, i + 19, own)} & {f[k] for k in range(n) if holds(k, x, x + 19, other) and holds(k, i, i + 19, own)}) >= 2
+            for i in range(0, 130)
+            for x in (i, i + 40)
+        )
+        got = substring.agreements(f, own, other, 20, 2)
+        assert bool(got) >= expected
+        assert all(b - a >= 20 and d - c >= 20 for a, b, c, d in got)
+
+
+def test_near_passages_are_found(spark):
+    rng = random.Random(5)
+    docs, near = {}, set()
+    for g in range(150):
+        first = passages_of(rng, rng.choice([55, 60, 80, 120, 200]))
+        second = list(first)
+        for _ in range(max(1, len(first) // 60)):
+            second[rng.randrange(5, len(first) - 5)] = f"changed{rng.randint(0, 10**9)}"
+        a, b = (frozenset(tuple(x[i : i + 5]) for i in range(len(x) - 4)) for x in (first, second))
+        docs[g] = passages_of(rng, rng.randint(10, 90)) + first + passages_of(rng, rng.randint(10, 90))
+        docs[1000 + g] = passages_of(rng, rng.randint(10, 90)) + second + passages_of(rng, rng.randint(10, 90))
+        if len(a & b) >= 0.8 * len(a | b):
+            near.add(1000 + g)
+    got = {r.doc_id for r in substring.repeats(documents(spark, [(i, " ".join(w)) for i, w in docs.items()])).collect()}
+    assert len(got & near) >= 0.97 * len(near) > 100 and got <= {1000 + g for g in range(150)}
+
+
+def test_texts_that_share_an_identifier_have_passages_of_their_own(spark):
+    rng = random.Random(3)
+    a, b, c = (passages_of(rng, 60) for _ in range(3))
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (2, " ".join([*c, *a])), (3, " ".join(b)), (3, " ".join(b)), (4, " ".join(["z"] * 400)), (5, " ".join(["z"] * 300))]
+    docs = documents(spark, rows).withColumnRenamed("lang", "cuts").withColumnRenamed("source", "k1")
+    spans = substring.repeats(docs)
+    kept = substring.without(docs, spans)
+    assert kept.columns == docs.columns
+    left = sorted((r.doc_id, r.text) for r in kept.collect())
+    assert (2, " ".join(b)) in left and (2, " ".join(c) + " ") in left and not any(i == 3 for i, _ in left) and (1, " ".join(a)) in left

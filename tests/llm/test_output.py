@@ -16,7 +16,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skyframe.llm import mixing, packing, queries, sst, textcore, tokens, topk, urls
+from skyframe.llm import mixing, packing, queries, runtime, sst, textcore, tokens, topk, urls
 
 from .brute import DOCS, documents, words
 
@@ -381,3 +381,32 @@ def test_scores_are_exact_beyond_doubles(spark):
     rows = [(0, [2.0**20, 1.0, 0.5]), (1, [2.0**20, 0.0, 1.0]), (2, [2.0**20, 0.0, 0.25]), (3, [-1.0, 5.0, 3.0]), (50, [2.0**20, 1.0, 2.0])]
     assert Counter(map(tuple, topk.top(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())) == plain_top(rows)
     assert DOCS
+
+
+def test_tables_that_are_spent_go(spark, monkeypatch):
+    first = runtime.cut(spark.range(3).toDF("a"))
+    second = runtime.cut(first.selectExpr("a + 1 as a"), (first,))
+    assert second.count() == 3 and not Path(first._skyframe_at.removeprefix("file://")).exists()
+    home = Path(second._skyframe_at.removeprefix("file://"))
+    monkeypatch.setattr(runtime, "_home", lambda spark: second._skyframe_at)
+    runtime.clear(spark)
+    assert not home.exists()
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    class Unset:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Unset()
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():  # noqa: N802
+                return Unset()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(Session())
