@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from skyframe.llm import components, jaccard, substring
 from skyframe.llm.textcore import chunks, seeds
@@ -208,6 +209,21 @@ def test_exact_repeats_are_all_covered(spark):
     assert set(got) == set(must)
 
 
+def test_a_large_group_in_parts(spark, monkeypatch):
+    rng = random.Random(2)
+    shared, docs = passages_of(rng, 58), {}
+    for i in range(90):
+        docs[i] = passages_of(rng, 60) + (shared if i % 3 else shared[9:45]) + passages_of(rng, 50)
+    got = []
+    for part_rows, sample in ((substring.PART_ROWS, 64), (8, 1)):
+        monkeypatch.setattr(substring, "PART_ROWS", part_rows)
+        monkeypatch.setattr(substring, "SAMPLE", sample)
+        rows = substring.repeats(documents(spark, [(i, " ".join(w)) for i, w in docs.items()])).collect()
+        got.append({(r.doc_id, r.first_word, r.end_word) for r in rows})
+        assert all(r.kept_in < r.doc_id for r in rows)
+    assert got[0] == got[1] == {(i, 60, 118) for i in range(2, 90) if i % 3}
+
+
 def test_exact_repeats_are_found_behind_documents_with_a_part(spark):
     rng = random.Random(11)
     docs, must = {}, {}
@@ -258,8 +274,8 @@ def test_windows_are_the_nodes_of_the_cartesian_tree():
     rng = random.Random(1)
     texts = [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 60)) for _ in range(n)) for n in (200, 3, 60, 54, 120)]
     for _, _, c in chunks(pa.array(texts)):
-        key, own, place = substring.compact_windows(c, 50, 3)
-        assert (np.diff(own) >= 0).all()
+        key, own, place, stretches, sizes = substring.compact_windows(c, 50, 3)
+        assert (substring.unpacked(substring.packed(place)) == place).all() and sizes.sum() == len(stretches) == len(c.grams(50)[0])
         h, at = c.grams(5)
         for k in range(c.n):
             v0 = h[c.doc[at] == k]
@@ -303,7 +319,10 @@ def test_agreements_are_passages_that_hold_enough_centres():
         assert all(b - a >= 20 and d - c >= 20 for a, b, c, d in got)
 
 
-def test_near_passages_are_found(spark):
+@pytest.mark.parametrize("rows", [substring.PART_ROWS, 1])
+def test_near_passages_are_found(spark, monkeypatch, rows):
+    monkeypatch.setattr(substring, "PART_ROWS", rows)  # in parts or whole
+    monkeypatch.setattr(substring, "SAMPLE", 2)
     rng = random.Random(5)
     docs, near = {}, set()
     for g in range(150):
