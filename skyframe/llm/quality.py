@@ -126,7 +126,9 @@ def learn(docs: DataFrame, labels: DataFrame, bits: int = BITS, bound: int = BOU
     """docs: rows that may be learned from. labels: doc_id, quality; of an identifier's several labels the least counts."""
     marked = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = folds.bounded_sample(marked.where(~folds.held_out(F.col("doc_id"))), "doc_id", bound)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most about ``bound`` rows
+    # of rows that repeat an identifier, the one whose text hashes least: at most about ``bound`` rows come
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("h", F.xxhash64("text"))
+    chosen = texts.groupBy("doc_id", "quality").agg(F.min_by("text", "h").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -144,3 +147,107 @@ def test_dual_coordinate_descent_separates():
     offsets = np.arange(0, 122, 2)
     m = model.scores(np.concatenate(rows), offsets)
     assert ((m > 0.5) == (np.arange(60) % 2 == 1)).all() and rng is not None
+
+
+def test_verdicts_match_dictionary_multinomials(spark):
+    rng = random.Random(6)
+    pool = [f"w{i}" for i in range(60)]
+    texts = {i: " ".join(rng.choice(pool[: 30 + i % 30]) for _ in range(rng.choice([5, 55, 80]))) for i in range(120)}
+    texts |= {200: None, 201: "", 202: "same same same " * 40}
+    labels = [(i, int(i % 4 > 0), int(i % 7 == 0)) for i in range(0, 120, 2)] + [(200, 1, 0), (None, 1, 0), (4, 1, 0), (999, 1, 0)]
+    size, threshold = 64, -0.02
+
+    def bucket(*w: str) -> int:
+        c = next(textcore.chunks(pa.array([" ".join(w)])))[2]
+        return int((c.words[0] if len(w) == 1 else c.grams(2)[0][0]) % np.uint64(size))
+
+    seen: dict = {}
+    grams = {k: [seen.setdefault(g, bucket(*g)) for g in [*((x,) for x in words(t)), *zip(words(t), words(t)[1:])]] for k, t in texts.items()}
+    per: dict = {}
+    for i, q, t in labels:
+        per.setdefault(i, []).append((q, t))
+    trusted = {i for i, x in per.items() if i is not None and min(q for q, _ in x) == 1 and max(t for _, t in x) == 0}
+    raw, target = Counter(g for x in grams.values() for g in x), Counter(g for k, x in grams.items() if k in trusted for g in x)
+    n, m = sum(raw.values()), sum(target.values())
+
+    def ratio(g: int) -> float:
+        p = (raw[g] + 1) / (n + size)
+        return math.log((target[g] + size * p) / (m + size) / p)
+
+    rows = documents(spark, list(texts.items())).withColumnRenamed("lang", "trusted").withColumnRenamed("source", "quality")
+    got = {r.doc_id: r for r in rules.quality_rules(rows, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), size, threshold).collect()}
+    kept = 0
+    for k, x in grams.items():
+        score = sum(map(ratio, x)) / max(1, len(x))
+        assert abs(got[k].score - score) < 1e-9
+        assert got[k].kept == (not got[k].base_failed and score >= threshold)
+        kept += got[k].kept
+    assert 5 < kept < 100 and got[202].base_failed and got[200].base_failed
+
+
+def test_languages_match_dictionary_profiles(spark):
+    rng = random.Random(9)
+    docs = [(i, _language(i % 3, rng.randint(1, 40), rng) + rng.choice(["", " É1x!", " 日本"]), ("en", "de", "es")[i % 3], None) for i in range(150)]
+    docs += [(500, "", "en", None), (501, None, "en", None), (502, "12 ?", None, None), (503, "AaAa aa", None, None)]
+
+    def counted(text: str | None) -> Counter:
+        out: Counter = Counter()
+        for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            w = f" {w} "
+            out.update(w[1:-1])
+            out.update(w[k : k + 2] for k in range(len(w) - 1))
+            out.update(w[k : k + 3] for k in range(len(w) - 2))
+        return out
+
+    def ranks(counts: Counter, size: int) -> list[str]:
+        code = lambda g: sum(ord(x) << 21 * k for k, x in enumerate(g))
+        return sorted(counts, key=lambda g: (-counts[g], code(g)))[:size]
+
+    size, sums = 40, {}
+    for i, text, lang, _ in docs:
+        if lang and zlib.crc32(str(i).encode()) % 5:
+            sums.setdefault(lang, Counter()).update(counted(text))
+    profiles = {lang: {g: k for k, g in enumerate(ranks(x, size))} for lang, x in sums.items()}
+    got = {r.doc_id: r for r in langid.identify(documents(spark, docs), size).collect()}
+    for i, text, _, _ in docs:
+        own = ranks(counted(text), size)
+        if not own:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        distance, lang = min((sum(abs(p[g] - k) if g in p else size for k, g in enumerate(own)), lang) for lang, p in profiles.items())
+        assert got[i].lang_pred == lang and abs(got[i].score - (1 - distance / (size * len(own)))) < 1e-12
+
+
+def test_hinge_model_matches_a_plain_dense_solver():
+    rng = np.random.default_rng(4)
+    y = np.array([0, 1, 1, 0, 1, 0, 1] * 9)[:60]
+    rows = [np.unique(np.concatenate([rng.choice(12, 4) + 4 * label, rng.choice(16, 2)])) for label in y]
+    model = quality.fit(rows, y, bits=5, beta=0.0, epochs=4000)
+    train = [i for i in range(len(y)) if i % 5]
+    x = np.zeros((len(y), 32))
+    for i, at in enumerate(rows):
+        x[i, at] = 1
+    p, q = (1 + x[[i for i in train if y[i] == label]].sum(0) for label in (1, 0))
+    scale = np.log(p / p.sum()) - np.log(q / q.sum())
+    assert np.allclose(scale, model.scale)
+    z = x * scale
+    z /= np.sqrt((z * z).sum(1, keepdims=True))
+    sign, share = 2 * y[train] - 1, y[train].mean()
+    cost = np.where(sign > 0, 0.5 / share, 0.5 / (1 - share))
+    # the dual by plain projected gradient steps
+    a, g = np.zeros(len(train)), (z[train] @ z[train].T) * np.outer(sign, sign)
+    for _ in range(200_000):
+        a = np.clip(a - (g @ a - 1) / np.linalg.norm(g, 2), 0, cost)
+    w = (a * sign) @ z[train]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    assert np.allclose(model.margins(np.concatenate(rows), offsets), z @ w, atol=0.02)
+
+
+def test_very_long_texts_and_extra_columns(spark):
+    long = "the quick brown fox " * 100_000
+    docs = documents(spark, [(1, long), (2, "a b"), (2, "a b"), (2, "other text"), (None, long)]).withColumnRenamed("source", "score").withColumnRenamed("n_chars", "held_out").withColumnRenamed("lang", "quality")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert quality.classify(docs, labels).count() == 5
+    assert {r.n_words for r in rules.quality_rules(docs, labels).collect()} == {400_000, 2}
+    named = docs.withColumn("lang", docs.doc_id.cast("string")).withColumnRenamed("held_out", "lang_pred")
+    assert langid.identify(named).count() == 5
