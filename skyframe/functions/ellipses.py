@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Smallest effective radius in arc seconds that a shape matrix is made for.
 LEAST_RADIUS = 1.0 / 30.0
+#: Fixed value: the ellipticity that conversions stop at.
+GREATEST_ELLIPTICITY = 0.999999
 
 
 def axis_ratio(e1: Column, e2: Column) -> Column:
@@ -20,14 +22,41 @@ def position_angle(e1: Column, e2: Column) -> Column:
 
 
 def components(ab: Column, phi: Column) -> tuple[Column, Column]:
-    """e1, e2 of an axis ratio and a position angle."""
-    e = (1.0 - ab) / (1.0 + ab)
-    return e * F.cos(2.0 * F.radians(phi)), e * F.sin(2.0 * F.radians(phi))
+    """e1, e2 of an axis ratio and a position angle in degrees, which turns against the components' angle."""
+    e, angle = (1.0 - ab) / (1.0 + ab), F.radians(-2.0 * phi)
+    return e * F.cos(angle), e * F.sin(angle)
 
 
-def softened(ee1: Column, ee2: Column) -> Column:
-    """Ellipticity below 1 of unbounded components."""
-    return 1.0 - F.exp(-F.hypot(ee1, ee2))
+def _along(size: Column, x: Column, y: Column) -> tuple[Column, Column]:
+    """A vector of a size in the direction of another, which may be 0."""
+    whole = F.hypot(x, y)
+    return tuple(F.when(whole == 0, 0.0).otherwise(size * v / whole) for v in (x, y))
+
+
+def hardened(ee1: Column, ee2: Column) -> tuple[Column, Column]:
+    """e1, e2 of unbounded (softened) components; their size stays below 1."""
+    return _along(F.least(F.lit(GREATEST_ELLIPTICITY), 1.0 - F.exp(-F.hypot(ee1, ee2))), ee1, ee2)
+
+
+def softened(e1: Column, e2: Column) -> tuple[Column, Column]:
+    """The other way."""
+    e = F.least(F.lit(GREATEST_ELLIPTICITY), F.hypot(e1, e2))
+    return tuple(F.when(e == 0, 0.0).otherwise(-F.log(1.0 - e) * v / e) for v in (e1, e2))
+
+
+def covariance_components(vxx: Column, vxy: Column, vyy: Column) -> tuple[Column, Column]:
+    """e1, e2 of a covariance of positions: x grows against the angle, so the first component has the other sign."""
+    mid, half = 0.5 * (vxx + vyy), F.hypot(0.5 * (vxx - vyy), vxy)
+    ab = F.sqrt((mid - half) / (mid + half))
+    return _along((1.0 - ab) / (1.0 + ab), 0.5 * (vyy - vxx), vxy)
+
+
+def tensor(re: Column, e1: Column, e2: Column, cd: tuple[Column, ...]) -> tuple[Column, Column, Column, Column]:
+    """Pixels to units of the effective radius; cd takes pixels to degrees. Beyond an axis ratio of 1 : 1000 it counts as that."""
+    e, theta = F.hypot(e1, e2), 0.5 * F.atan2(e2, e1)
+    ab = F.when(e >= 1, 1000.0).otherwise(F.least(F.lit(1000.0), (1.0 + e) / (1.0 - e)))
+    r, c, s = re / 3600.0, F.cos(theta), F.sin(theta)
+    return product(inverse((r * c / ab, r * s, -r * s / ab, r * c)), cd)
 
 
 def shape_matrix(re: Column, ab: Column, phi: Column) -> tuple[Column, Column, Column, Column]:

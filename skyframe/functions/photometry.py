@@ -51,9 +51,10 @@ def scale_mag(mag: Column, factor: Column) -> Column:
 
 
 def counts(kind: Column, value: Column, scale: Column, zp: Column) -> Column:
-    """Brightness to image counts under each kind of calibration: null, linear, mag or flux."""
-    by_mag = F.when(F.isnan(value) | value.isNull() | (value > FAINTEST_MAG), 0.0).otherwise(F.pow(F.lit(10.0), (zp - value) / 2.5))
-    return F.when(kind == "mag", by_mag).when(kind == "linear", value * scale).when(kind == "flux", value * zeropoint_to_scale(zp)).otherwise(value)
+    """Brightness to image counts under each kind of calibration: a magnitude under a zeropoint (0 unless finite and bright enough), linear by a scale; a band's flux and null as they are."""
+    finite = ~F.isnan(value) & (F.abs(value) != float("inf")) & (value <= FAINTEST_MAG)
+    by_mag = F.when(finite, F.pow(F.lit(10.0), (zp - value) / 2.5)).otherwise(0.0)
+    return F.when(kind == "mag", by_mag).when(kind == "linear", value * scale).otherwise(value)
 
 
 def to_millijansky(flux: Column) -> Column:

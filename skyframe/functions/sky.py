@@ -125,3 +125,22 @@ TRANSFORMS = {
     "affine": (affine_to_pixel, affine_to_sky),
     "tangent": (tangent_to_pixel, tangent_to_sky),
 }
+
+
+def shifted(w: dict[str, Column], dx: float, dy: float) -> dict[str, Column]:
+    """The transform of an image whose first pixel is (dx, dy) of this one."""
+    return w | {"crpix1": w["crpix1"] - dx, "crpix2": w["crpix2"] - dy}
+
+
+def rescaled(w: dict[str, Column], factor: float) -> dict[str, Column]:
+    """The transform of an image with pixels larger by a factor."""
+    return {k: (v - 0.5) / factor + 0.5 if k.startswith("crpix") else v * factor if k.startswith("cd") else v for k, v in w.items()}
+
+
+def counted_from_one(w: dict[str, Column]) -> dict[str, Column]:
+    return w | {k: w[k] + 1.0 for k in ("crpix1", "crpix2")}
+
+
+def wrapped(ra: Column) -> Column:
+    """Degrees in [0, 360)."""
+    return ra - 360.0 * F.floor(ra / 360.0)

@@ -83,20 +83,53 @@ def shift(stamps: DataFrame, key: str, dy: Column, dx: Column, height: int, widt
     return one(one(rows, "x", F.col("_dx"), width), "y", F.col("_dy"), height).select(key, "y", "x", "value")
 
 
-def resample(stamps: DataFrame, key: str, size_in: int, size_out: int, order: int = 3) -> DataFrame:
-    """To another grid of the same field of view: the Lanczos kernel is widened by the ratio when there are fewer pixels; weights are normalised."""
-    ratio = size_in / size_out
-    wide = max(1.0, ratio)
-    at = F.sequence(F.lit(0), F.lit(size_out - 1))
-    place = lambda q: (q + 0.5) * ratio - 0.5
-
-    def one(rows: DataFrame, axis: str) -> DataFrame:
-        near = F.filter(at, lambda q: F.abs(place(q) - F.col(axis)) < order * wide)
-        spread = rows.withColumn("_q", F.explode(near)).withColumn("_w", lanczos((place(F.col("_q")) - F.col(axis)) / wide, order))
+def resample(stamps: DataFrame, key: str, across: tuple[float, float, int], along: tuple[float, float, int], order: int = 3, normalised: bool = False) -> DataFrame:
+    """To another grid: across (x) and along (y) give its start, step and size in pixels of the old one.
+
+    Under a step above 1 the Lanczos kernel is widened by it and lowered by as much; weights add up to
+    about 1, exactly so if they are normalised.
+    """
+
+    def one(rows: DataFrame, axis: str, grid: tuple[float, float, int]) -> DataFrame:
+        start, step, size = grid
+        wide = max(1.0, step)
+        place = lambda q: start + q * step
+        near = F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda q: F.abs(place(q) - F.col(axis)) <= order * wide)
+        spread = rows.withColumn("_q", F.explode(near)).withColumn("_w", lanczos((place(F.col("_q")) - F.col(axis)) / wide, order) / wide)
         names = [c for c in rows.columns if c not in ("value", axis)]
-        return spread.groupBy(*names, "_q").agg((F.sum(F.col("value") * F.col("_w")) / F.sum("_w")).alias("value")).withColumnRenamed("_q", axis)
+        value = F.sum(F.col("value") * F.col("_w"))
+        return spread.groupBy(*names, "_q").agg((value / F.sum("_w") if normalised else value).alias("value")).withColumnRenamed("_q", axis)
+
+    return one(one(stamps.select(key, "y", "x", "value"), "x", across), "y", along).select(key, "y", "x", "value")
+
+
+def downsampled(stamps: DataFrame, key: str, shape: tuple[int, int], target: tuple[int, int]) -> DataFrame:
+    """To fewer pixels (rows, columns) of the same field of view, keeping flux: block sums for whole factors, else a normalised resampling times the ratio of areas."""
+    if shape[0] % target[0] == 0 and shape[1] % target[1] == 0:
+        small = block_sum(stamps, shape[0] // target[0], shape[1] // target[1], key, height=shape[0], width=shape[1])
+        return small.select(key, F.col("ry").alias("y"), F.col("rx").alias("x"), F.col("flux").alias("value"))
+    grids = [(n / m / 2 - 0.5, n / m, m) for n, m in zip(shape, target, strict=True)]
+    small = resample(stamps, key, grids[1], grids[0], normalised=True)
+    return small.withColumn("value", F.col("value") * (shape[0] * shape[1] / (target[0] * target[1])))
 
-    return one(one(stamps.select(key, "y", "x", "value"), "x"), "y").select(key, "y", "x", "value")
+
+def padded(pixels: DataFrame, images: DataFrame, key: str, height: int, width: int) -> DataFrame:
+    """Every pixel of a height by width grid of each image (key): its value, or 0 where there is none; what lies outside is cropped."""
+    grid = images.select(key).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    return grid.join(pixels.select(key, "y", "x", "value"), [key, "y", "x"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+
+
+def correlated(signals: DataFrame, filters: DataFrame, key: str, axis: str, size: int, length: int, full: bool = False) -> DataFrame:
+    """Correlation of each image's rows or columns with its own filter (key, k, weight): sum over k of value(p + k - c) * weight(k) with the filter's middle c = length // 2.
+
+    Outside the image values are 0. full: all places that a filter touches, from
+    -(length - 1 - c) on, counted from 0; else as many as the image has.
+    """
+    c = length // 2
+    shift = length - 1 - c if full else 0
+    last = size + length - 1 if full else size
+    spread = signals.join(filters, key).withColumn(axis, F.col(axis) - F.col("k") + c + shift).where(F.col(axis).between(0, last - 1))
+    return spread.groupBy(key, "y", "x").agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
 
 
 def bilinear(points: DataFrame, stamps: DataFrame, key: str) -> DataFrame:

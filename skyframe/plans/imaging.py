@@ -44,7 +44,7 @@ def _lanczos(t: str) -> str:
 
 @query(
     "r13_lanczos_shift",
-    f"""with k as (select i k from range(-3, 4) u(i)), p as (select psf_id, y, x, "value" v, (psf_id % 10) / 2e1 dx, -((psf_id % 7) / 14e0) dy from stamps where psf_id < 200),
+    f"""with k as (select i k from range(-3, 4) u(i)), p as (select psf_id, y, x, "value" v, (psf_id % 10) / 2e1 dx, -((psf_id % 7) / 14e0) dy from stamps),
  wx as (select psf_id, y, x - k x, dy, v * {_lanczos('k + dx')} / (select sum({_lanczos('j + dx')}) from range(-3, 4) s(j)) v from p, k),
  sx as (select psf_id, y, x, dy, sum(v) v from wx where x between 0 and 6 group by 1, 2, 3, 4),
  wy as (select psf_id, y - k y, x, v * {_lanczos('k + dy')} / (select sum({_lanczos('j + dy')}) from range(-3, 4) s(j)) v from sx, k)
@@ -58,16 +58,27 @@ def r13(d: Domain) -> DataFrame:
 
 @query(
     "r16_lanczos_resample",
-    f"""with p as (select psf_id, y, x, "value" v from stamps where psf_id < 200),
- wx as (select psf_id, y, q, v, {_lanczos('((q + 5e-1) * (7 / 4e0) - 5e-1 - x) / (7 / 4e0)')} w from p, range(0, 4) u(q) where abs((q + 5e-1) * (7 / 4e0) - 5e-1 - x) < 3 * (7 / 4e0)),
- sx as (select psf_id, y, q x, sum(v * w) / sum(w) v from wx group by 1, 2, 3),
- wy as (select psf_id, x, q, v, {_lanczos('((q + 5e-1) * (7 / 4e0) - 5e-1 - y) / (7 / 4e0)')} w from sx, range(0, 4) u(q) where abs((q + 5e-1) * (7 / 4e0) - 5e-1 - y) < 3 * (7 / 4e0))
- select psf_id, cast(q as int) y, cast(x as int) x, round(sum(v * w) / sum(w), 6) v from wy group by 1, 2, 3""",
+    f"""with p as (select psf_id, y, x, "value" v from stamps),
+ sx as (select psf_id, y, q x, sum(v * {_lanczos('(25e-2 + q * 175e-2 - x) / 175e-2')} / 175e-2) v from p, range(0, 4) u(q) where abs(25e-2 + q * 175e-2 - x) <= 525e-2 group by 1, 2, 3),
+ sy as (select psf_id, q y, x, sum(v * {_lanczos('q * 5e-1 - 5e-1 - y')}) v from sx, range(0, 9) u(q) where abs(q * 5e-1 - 5e-1 - y) <= 3e0 group by 1, 2, 3)
+ select psf_id, cast(y as int) y, cast(x as int) x, round(v, 6) v from sy""",
     "stamps",
 )
 def r16(d: Domain) -> DataFrame:
-    """Stamps on a grid of 4 by 4, with a widened kernel."""
-    return stamps.resample(d.stamps, "psf_id", 7, 4).select("psf_id", "y", "x", r(F.col("value"), "v"))
+    """Stamps on a grid of any start and step; fewer columns with a widened kernel, more rows with the kernel as it is."""
+    return stamps.resample(d.stamps, "psf_id", (0.25, 1.75, 4), (-0.5, 0.5, 9)).select("psf_id", "y", "x", r(F.col("value"), "v"))
+
+
+@query(
+    "r17_downsampled",
+    f"""with sx as (select psf_id, y, q x, sum("value" * {_lanczos('(375e-3 + q * 175e-2 - x) / 175e-2')}) / sum({_lanczos('(375e-3 + q * 175e-2 - x) / 175e-2')}) v from stamps, range(0, 4) u(q) where abs(375e-3 + q * 175e-2 - x) < 525e-2 group by 1, 2, 3),
+ sy as (select psf_id, q y, x, sum(v * {_lanczos('(375e-3 + q * 175e-2 - y) / 175e-2')}) / sum({_lanczos('(375e-3 + q * 175e-2 - y) / 175e-2')}) v from sx, range(0, 4) u(q) where abs(375e-3 + q * 175e-2 - y) < 525e-2 group by 1, 2, 3)
+ select psf_id, cast(y as int) y, cast(x as int) x, round(v * 30625e-4, 6) v from sy""",
+    "stamps",
+)
+def r17(d: Domain) -> DataFrame:
+    """Stamps of 7 by 7 on 4 by 4 pixels of the same field; flux stays, as the factor is no whole number by weights that add up to 1, times the area."""
+    return stamps.downsampled(d.stamps, "psf_id", (7, 7), (4, 4)).select("psf_id", "y", "x", r(F.col("value"), "v"))
 
 
 @query("r31_normalised_stamps", "select psf_id, y, x, round(\"value\" / sum(\"value\") over (partition by psf_id), 9) v from stamps", "stamps")

@@ -51,13 +51,13 @@ def m5(d: Domain) -> DataFrame:
 @query(
     "m6_counts",
     """select src_id, image_id, kind, round(case kind when 'mag' then case when flux / 1e1 - 7e1 > 50 then 0e0 else pow(1e1, (zp - (flux / 1e1 - 7e1)) / 25e-1) end
-  when 'linear' then flux / 1e1 - 7e1 when 'flux' then (flux / 1e1 - 7e1) * pow(1e1, (zp - 225e-1) / 25e-1) else flux / 1e1 - 7e1 end, 6) counts from src join frames using (image_id)""",
+  when 'linear' then (flux / 1e1 - 7e1) * 15e-1 else flux / 1e1 - 7e1 end, 6) counts from src join frames using (image_id)""",
     "src frames",
 )
 def m6(d: Domain) -> DataFrame:
     """M6: brightness to counts under each kind of calibration."""
     rows = d.sources.join(d.frames, "image_id")
-    return rows.select("src_id", "image_id", "kind", r(photometry.counts(F.col("kind"), F.col("flux") / 10.0 - 70.0, F.lit(1.0), F.col("zp")), "counts"))
+    return rows.select("src_id", "image_id", "kind", r(photometry.counts(F.col("kind"), F.col("flux") / 10.0 - 70.0, F.lit(1.5), F.col("zp")), "counts"))
 
 
 @query("m7_millijansky", "select src_id, round(flux * 3.631e-3, 5) mjy, round(1e0 / sqrt(ivar) * 3.631e-3, 9) sigma from catalog", "catalog")
@@ -95,10 +95,16 @@ def m9(d: Domain) -> DataFrame:
     return _projected(d).select("src_id", r(F.col("x"), "x"), r(F.col("y"), "y"), r(a, "ra_back"), r(b, "dec_back"))
 
 
-@query("m10_pixel_scale", "select image_id, round(3600e0 * sqrt(abs(cd11 * cd22 - cd12 * cd21)), 6) scale, round(crpix1 - 3e0, 6) shifted1, round((crpix2 - 5e-1) / 2e0 + 5e-1, 6) halved2 from frames", "frames")
+@query(
+    "m10_pixel_scale",
+    "select image_id, round(3600e0 * sqrt(abs(cd11 * cd22 - cd12 * cd21)), 6) scale, round(crpix1 - 3e0, 6) shifted1, round((crpix2 - 5e-1) / 2e0 + 5e-1, 6) halved2, round(cd11 * 2e0, 9) halved11, round(crpix1 + 1e0, 6) fits1, (crval1 - 2e2) - 360e0 * floor((crval1 - 2e2) / 360e0) wrapped from frames",
+    "frames",
+)
 def m10(d: Domain) -> DataFrame:
-    """Pixel scale; a shifted and a rescaled reference pixel."""
-    return d.frames.select("image_id", r(sky.pixel_scale(wcs_columns()), "scale"), r(F.col("crpix1") - 3.0, "shifted1"), r((F.col("crpix2") - 0.5) / 2.0 + 0.5, "halved2"))
+    """Pixel scale; a transform shifted, rescaled and counted from 1; a wrapped right ascension."""
+    w = wcs_columns()
+    moved, half, fits = sky.shifted(w, 3.0, 0.0), sky.rescaled(w, 2.0), sky.counted_from_one(w)
+    return d.frames.select("image_id", r(sky.pixel_scale(w), "scale"), r(moved["crpix1"], "shifted1"), r(half["crpix2"], "halved2"), r(half["cd11"], "halved11", 9), r(fits["crpix1"], "fits1"), sky.wrapped(w["crval1"] - 200.0).alias("wrapped"))
 
 
 @query(
@@ -152,14 +158,19 @@ def m15(d: Domain) -> DataFrame:
 
 @query(
     "m16_ellipses",
-    """select src_id, round((1e0 - ab) / (1e0 + ab) * cos(2e0 * radians(phi)), 6) c1, round((1e0 - ab) / (1e0 + ab) * sin(2e0 * radians(phi)), 6) c2, round(1e0 - exp(-sqrt(e1 * e1 + e2 * e2)), 6) soft,
-  round(sqrt(5e-1 * (sigma + ab) + sqrt(25e-2 * (sigma - ab) * (sigma - ab) + e1 * e1)), 6) radius from src""",
+    """with q as (select *, least(sqrt(e1 * e1 + e2 * e2), 999999e-6) e, sigma + 1e0 vxx, e1 vxy, ab + 1e0 vyy, sqrt(25e-2 * (sigma - ab) * (sigma - ab) + e1 * e1) half from src),
+ c as (select *, sqrt((vxx + vyy) / 2e0 + half) radius, sqrt(((vxx + vyy) / 2e0 - half) / ((vxx + vyy) / 2e0 + half)) ratio from q)
+ select src_id, round((1e0 - ab) / (1e0 + ab) * cos(-2e0 * radians(phi)), 6) c1, round((1e0 - ab) / (1e0 + ab) * sin(-2e0 * radians(phi)), 6) c2,
+  round(case when e = 0 then 0e0 else least(1e0 - exp(-sqrt(e1 * e1 + e2 * e2)), 999999e-6) * e1 / sqrt(e1 * e1 + e2 * e2) end, 6) h1, round(case when e = 0 then 0e0 else least(1e0 - exp(-sqrt(e1 * e1 + e2 * e2)), 999999e-6) * e2 / sqrt(e1 * e1 + e2 * e2) end, 6) h2,
+  round(case when e = 0 then 0e0 else -ln(1e0 - e) * e1 / e end, 6) s1, round(case when e = 0 then 0e0 else -ln(1e0 - e) * e2 / e end, 6) s2,
+  round(radius, 6) radius, round(case when half = 0 then 0e0 else (1e0 - ratio) / (1e0 + ratio) * (vyy - vxx) / 2e0 / half end, 6) v1, round(case when half = 0 then 0e0 else (1e0 - ratio) / (1e0 + ratio) * vxy / half end, 6) v2 from c""",
     "src",
 )
 def m16(d: Domain) -> DataFrame:
-    """Axis ratio and angle to components; softened ellipticity; radius of a covariance."""
-    c1, c2 = ellipses.components(F.col("ab"), F.col("phi"))
-    return d.sources.select("src_id", r(c1, "c1"), r(c2, "c2"), r(ellipses.softened(F.col("e1"), F.col("e2")), "soft"), r(ellipses.covariance_radius(F.col("sigma"), F.col("e1"), F.col("ab")), "radius"))
+    """Components of an axis ratio and angle, of softened ones and the other way, and of a covariance, with its radius."""
+    e1, e2, cov = F.col("e1"), F.col("e2"), (F.col("sigma") + 1.0, F.col("e1"), F.col("ab") + 1.0)
+    pairs = {"c": ellipses.components(F.col("ab"), F.col("phi")), "h": ellipses.hardened(e1, e2), "s": ellipses.softened(e1, e2), "v": ellipses.covariance_components(*cov)}
+    return d.sources.select("src_id", *(r(x, f"{k}{i}") for k, v in pairs.items() for i, x in enumerate(v, 1)), r(ellipses.covariance_radius(*cov), "radius"))
 
 
 @query("m17_detector_coordinates", "select image_id, x, y, round(1e0 + (x - (crpix1 - 1024e0)), 6) dx, round(1e0 + (y - (crpix2 - 512e0)), 6) dy, y * 16 + x flat from pix join frames using (image_id)", "pix frames")

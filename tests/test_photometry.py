@@ -123,8 +123,8 @@ def test_shift_by_nothing_is_identity_and_resample_keeps_a_constant(spark):
     s = spark.createDataFrame(pd.DataFrame({"psf_id": 1, "y": y.astype("int32"), "x": x.astype("int32"), "value": np.arange(49.0)}))
     same = stamps.shift(s, "psf_id", F.lit(0.0), F.lit(0.0), 7, 7).orderBy("y", "x").toPandas()
     assert np.allclose(same.value, np.arange(49.0))
-    flat = stamps.resample(s.withColumn("value", F.lit(3.0)), "psf_id", 7, 4).toPandas()
-    assert len(flat) == 16 and np.allclose(flat.value, 3.0)
+    flat = stamps.downsampled(s.withColumn("value", F.lit(3.0)), "psf_id", (7, 7), (4, 4)).toPandas()
+    assert len(flat) == 16 and np.allclose(flat.value, 3.0 * 49 / 16)
 
 
 def test_tiles_cover_each_core_pixel_once(spark):
@@ -181,3 +181,86 @@ def test_kinds_of_background(spark):
     assert background.fit(p, "image_id", "mesh").where("background is null").count() == 0
     with pytest.raises(ValueError):
         background.fit(p, "image_id", "other")
+
+
+def test_ellipses_by_hand(spark):
+    from pyspark.sql import functions as F
+
+    from skyframe.functions import ellipses
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(40):
+        a = rng.normal(size=(2, 2))
+        rows.append((*(a @ a.T)[[0, 0, 1], [0, 1, 1]].tolist(), float(rng.uniform(0.05, 1)), float(rng.uniform(-200, 200)), *rng.normal(0, 3, 2).tolist()))
+    rows.append((2.0, 0.0, 2.0, 1.0, 10.0, 0.0, 0.0))
+    df = spark.createDataFrame(rows, "xx double, xy double, yy double, ab double, phi double, p double, q double")
+    v = ellipses.covariance_components(F.col("xx"), F.col("xy"), F.col("yy"))
+    c, h, s = ellipses.components(F.col("ab"), F.col("phi")), ellipses.hardened(F.col("p"), F.col("q")), ellipses.softened(F.col("p") / 20, F.col("q") / 20)
+    t = ellipses.tensor(F.lit(2.0), h[0], h[1], tuple(F.lit(x) for x in (1e-3, 2e-4, -1e-4, 1.5e-3)))
+    for r in df.select("*", *(x.alias(f"{n}{i}") for n, k in zip("vchst", (v, c, h, s, t)) for i, x in enumerate(k))).collect():
+        u, w, _ = np.linalg.svd(np.array([[r.xx, r.xy], [r.xy, r.yy]]))
+        ab = np.sqrt(w[1] / w[0])
+        e, angle = (1 - ab) / (1 + ab), 2 * np.arctan2(u[0, 0], u[0, 1])
+        assert np.allclose([r.v0, r.v1], [e * np.cos(angle), e * np.sin(angle)], atol=1e-7)
+        e = (1 / r.ab - 1) / (1 / r.ab + 1)
+        assert np.allclose([r.c0, r.c1], [e * np.cos(np.radians(-2 * r.phi)), e * np.sin(np.radians(-2 * r.phi))])
+        e, theta = min(0.999999, 1 - np.exp(-np.hypot(r.p, r.q))), np.arctan2(r.q, r.p) / 2
+        assert np.allclose([r.h0, r.h1], [e * np.cos(2 * theta), e * np.sin(2 * theta)])
+        e = min(np.hypot(r.p, r.q) / 20, 0.999999)
+        assert np.allclose([r.s0, r.s1], [0, 0] if e == 0 else [-np.log(1 - e) * r.p / 20 / e, -np.log(1 - e) * r.q / 20 / e])
+        e = np.hypot(r.h0, r.h1)
+        ab, ct, st = min(1000.0, (1 + e) / (1 - e)), np.cos(theta), np.sin(theta)
+        g = 2 / 3600 * np.array([[ct / ab, st], [-st / ab, ct]])
+        assert np.allclose([r.t0, r.t1, r.t2, r.t3], (np.linalg.inv(g) @ [[1e-3, 2e-4], [-1e-4, 1.5e-3]]).ravel(), rtol=1e-5)
+
+
+def test_counts_by_hand(spark):
+    from pyspark.sql import functions as F
+
+    from skyframe.functions import photometry as p
+
+    rows = [("mag", 20.0, 100.0), ("mag", 50.5, 0.0), ("mag", 50.0, 10 ** (0.4 * -25.0)), ("mag", float("inf"), 0.0), ("mag", float("-inf"), 0.0), ("mag", float("nan"), 0.0), ("mag", None, 0.0), ("flux", 7.0, 7.0), ("null", 3.0, 3.0), ("linear", 4.0, 10.0)]
+    got = spark.createDataFrame(rows, "kind string, v double, e double").select(p.counts(F.col("kind"), F.col("v"), F.lit(2.5), F.lit(25.0)).alias("c"), "e").collect()
+    assert all(abs(r.c - r.e) <= 1e-12 * max(1, r.e) for r in got)
+
+
+def test_resampling_by_hand(spark):
+    rng = np.random.default_rng(5)
+    v = rng.random((9, 8))
+    y, x = (k.ravel() for k in np.mgrid[:9, :8])
+    s = spark.createDataFrame(pd.DataFrame({"psf_id": 1, "y": y.astype("int32"), "x": x.astype("int32"), "value": v.ravel()}))
+
+    def weights(grid, n):
+        start, step, size = grid
+        wide = max(1.0, step)
+        t = (start + step * np.arange(size)[:, None] - np.arange(n)) / wide
+        return np.where(np.abs(t) < 3, np.sinc(t) * np.sinc(t / 3), 0) / wide
+
+    for across, along in (((0.25, 1.75, 4), (-0.5, 0.5, 9)), ((2.0, 1.0, 3), (1.0, 2.5, 3))):
+        got = stamps.resample(s, "psf_id", across, along).orderBy("y", "x").toPandas()
+        assert np.allclose(got.value.to_numpy().reshape(along[2], across[2]), weights(along, 9) @ v @ weights(across, 8).T)
+
+
+def test_correlation_is_numpys_and_fourier(spark):
+    rng = np.random.default_rng(7)
+    v, w = rng.random((2, 6, 9)), rng.random((2, 5))
+    k, y, x = (a.ravel() for a in np.mgrid[:2, :6, :9])
+    s = spark.createDataFrame(pd.DataFrame({"key": k, "y": y.astype("int32"), "x": x.astype("int32"), "value": v.ravel()}))
+    f = spark.createDataFrame([(i, j, float(w[i, j])) for i in range(2) for j in range(5)], "key long, k int, weight double")
+    for axis, size in (("x", 9), ("y", 6)):
+        for full in (False, True):
+            got = stamps.correlated(s, f, "key", axis, size, 5, full).orderBy("key", "y", "x").toPandas().value.to_numpy()
+            along = 2 if axis == "x" else 1
+            expected = np.stack([np.apply_along_axis(lambda a, i=i: np.correlate(a, w[i], "full" if full else "same"), along - 1, v[i]) for i in range(2)])
+            assert np.allclose(got, expected.ravel())
+            if full:  # the same by the transform
+                n = size + 4
+                spectrum = np.fft.rfft(v, n, axis=along) * np.moveaxis(np.fft.rfft(w[:, None, ::-1], n, axis=2), 2, along)
+                assert np.allclose(np.fft.irfft(spectrum, n, axis=along).ravel(), got)
+
+
+def test_padding(spark):
+    s = spark.createDataFrame([(1, 0, 0, 5.0), (1, 2, 1, 3.0), (1, 9, 9, 1.0)], "k long, y int, x int, value double")
+    got = stamps.padded(s, spark.createDataFrame([(1,), (2,)], "k long"), "k", 3, 2).toPandas()
+    assert len(got) == 12 and got.value.sum() == 8.0 and got[got.k == 2].value.sum() == 0
