@@ -57,6 +57,15 @@ def convolve(a: Column, b: Column) -> Column:
     return F.flatten(F.transform(a, lambda g: F.transform(b, lambda h: pair(g, h))))
 
 
+def unrolled(kind: str, psf: list[tuple[float, ...]], dx: Column, dy: Column, covariance: tuple[Column, Column, Column]) -> Column:
+    """Density at an offset of a profile under a covariance, seen through a mixture (amp, mx, my, vxx, vxy, vyy): the sum over both as one expression."""
+    out = F.lit(0.0)
+    for amp, var in profile(kind):
+        for own, mx, my, vxx, vxy, vyy in psf:
+            out = out + amp * own * density(dx - mx, dy - my, *(var * c + p for c, p in zip(covariance, (vxx, vxy, vyy), strict=True)))
+    return out
+
+
 def total(mixture: Column) -> Column:
     return F.aggregate(mixture, F.lit(0.0), lambda s, g: s + g["amp"])
 

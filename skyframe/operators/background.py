@@ -25,14 +25,22 @@ def mesh(pixels: DataFrame, key: str, box: int) -> DataFrame:
 
 
 def interpolated(pixels: DataFrame, levels: DataFrame, key: str, box: int) -> DataFrame:
-    """pixels with column background. Boxes that are missing on one side count as the pixel's own."""
+    """pixels with column background. Boxes that are missing on one side count as the pixel's own.
+
+    The boxes' levels are dealt to the four cells between centres that each touches, so a pixel meets one row.
+    """
+    sides = [(j, i) for j in (0, 1) for i in (0, 1)]
+    corners = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.lit(i).alias("i")) for j, i in sides)))
+    spread = levels.withColumn("_c", corners).withColumn("_by", F.col("by") - F.col("_c.j")).withColumn("_bx", F.col("bx") - F.col("_c.i"))
+    own = {(j, i): F.max(F.when((F.col("_c.j") == j) & (F.col("_c.i") == i), F.col("level"))) for j, i in sides}
+    cells = spread.groupBy(key, "_by", "_bx").agg(*(v.alias(f"_l{j}{i}") for (j, i), v in own.items()))
     fy, fx = (F.col("y") + 0.5) / box - 0.5, (F.col("x") + 0.5) / box - 0.5
-    corners = F.array(*(F.struct(F.lit(j).alias("j"), F.lit(i).alias("i")) for j in (0, 1) for i in (0, 1)))
-    spread = pixels.withColumn("_c", F.explode(corners)).withColumn("by", F.floor(fy).cast("int") + F.col("_c.j")).withColumn("bx", F.floor(fx).cast("int") + F.col("_c.i"))
-    weight = (1.0 - F.abs(fy - F.col("by"))) * (1.0 - F.abs(fx - F.col("bx")))
-    got = spread.withColumn("_w", weight).join(levels, [key, "by", "bx"], "left")
-    total = F.sum(F.when(F.col("level").isNotNull(), F.col("_w")))
-    return got.groupBy(*pixels.columns).agg((F.sum(F.col("_w") * F.col("level")) / total).alias("background"))
+    got = pixels.withColumn("_by", F.floor(fy).cast("int")).withColumn("_bx", F.floor(fx).cast("int")).join(cells, [key, "_by", "_bx"], "left")
+    top, total = F.lit(0.0), F.lit(0.0)
+    for j, i in sides:
+        level, weight = F.col(f"_l{j}{i}"), (1.0 - F.abs(fy - F.col("_by") - j)) * (1.0 - F.abs(fx - F.col("_bx") - i))
+        top, total = top + F.coalesce(weight * level, F.lit(0.0)), total + F.when(level.isNotNull(), weight).otherwise(0.0)
+    return got.withColumn("background", F.when(total > 0, top / total)).drop("_by", "_bx", *(f"_l{j}{i}" for j, i in sides))
 
 
 def fit(pixels: DataFrame, key: str, kind: str = "mesh", box: int = 5) -> DataFrame:

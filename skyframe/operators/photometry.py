@@ -35,30 +35,83 @@ def fit_with_background(rows: DataFrame, keys: list[str]) -> DataFrame:
     return m.select(*keys, "npix", ((F.col("bb") * F.col("ad") - F.col("ab") * F.col("bd")) / F.col("det")).alias("flux"), ((F.col("aa") * F.col("bd") - F.col("ab") * F.col("ad")) / F.col("det")).alias("bkg"), (F.col("bb") / F.col("det")).alias("fvar"))
 
 
+def equations(rows: DataFrame) -> DataFrame:
+    """rows: image_id, src_id, x, y, a, data, iv. The normal equations of each image: i, j (i <= j) and their f; where i = j the right side r and npix, else null.
+
+    A pixel's sources are gathered once (as many as overlap there) and paired there, so templates are made and
+    moved once.
+    """
+    pixel = rows.groupBy("image_id", "x", "y").agg(F.collect_list(F.struct(F.col("src_id").alias("i"), "a")).alias("s"), F.first("iv").alias("iv"), F.first("data").alias("data"))
+    one = pixel.select("image_id", "iv", "data", "s", F.explode("s").alias("p"))
+    two = one.select("image_id", "iv", "data", "p", F.explode("s").alias("q")).where("p.i <= q.i")
+    own, w = F.col("p.i") == F.col("q.i"), F.col("p.a") * F.col("iv")
+    sums = {"f": F.sum(w * F.col("q.a")), "r": F.sum(F.when(own, w * F.col("data"))), "npix": F.sum(F.when(own, 1))}
+    return two.groupBy("image_id", F.col("p.i").alias("i"), F.col("q.i").alias("j")).agg(*(v.alias(k) for k, v in sums.items()))
+
+
 def normal_equations(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows: image_id, src_id, x, y, a, data, iv. The matrix (image_id, i, j, f; i <= j) and the right side (image_id, i, r, npix)."""
-    one = rows.select("image_id", "x", "y", F.col("src_id").alias("i"), F.col("a").alias("ai"), "iv")
-    two = rows.select("image_id", "x", "y", F.col("src_id").alias("j"), F.col("a").alias("aj"))
-    matrix = one.join(two, ["image_id", "x", "y"]).where("i <= j").groupBy("image_id", "i", "j").agg(F.sum(F.col("ai") * F.col("aj") * F.col("iv")).alias("f"))
-    right = rows.groupBy("image_id", F.col("src_id").alias("i")).agg(F.sum(F.col("a") * F.col("data") * F.col("iv")).alias("r"), F.count("*").alias("npix"))
-    return matrix, right
+    """The same as a matrix (image_id, i, j, f; i <= j) and a right side (image_id, i, r, npix)."""
+    both = equations(rows)
+    return both.select("image_id", "i", "j", "f"), both.where("i = j").select("image_id", "i", "r", "npix")
+
+
+class Sparse:
+    """A symmetric matrix by its entries (a, b, v) with a <= b."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, v: np.ndarray, n: int) -> None:
+        own = a == b
+        self.diagonal = np.bincount(a[own], v[own], n)
+        self._a, self._b, self._v = a[~own], b[~own], v[~own]
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        n = len(x)
+        return self.diagonal * x + np.bincount(self._a, self._v * x[self._b], n) + np.bincount(self._b, self._v * x[self._a], n)
+
+    def parts(self) -> list[np.ndarray]:
+        """Indices that hang together by entries."""
+        label = np.arange(len(self.diagonal))
+        while True:
+            least = label.copy()
+            np.minimum.at(least, self._a, label[self._b])
+            np.minimum.at(least, self._b, label[self._a])
+            least = least[least]
+            if (least == label).all():
+                break
+            label = least
+        order = np.argsort(label, kind="stable")
+        return np.split(order, np.flatnonzero(np.diff(label[order])) + 1) if len(order) else []
+
+    def dense(self, at: np.ndarray) -> np.ndarray:
+        place = np.full(len(self.diagonal), -1)
+        place[at] = np.arange(len(at))
+        inside = place[self._a] >= 0
+        out, i, j = np.diag(self.diagonal[at]), place[self._a[inside]], place[self._b[inside]]
+        out[i, j] = out[j, i] = self._v[inside]
+        return out
 
 
 def linear_solution(f: np.ndarray, r: np.ndarray, rcond: float = RCOND) -> tuple[np.ndarray, np.ndarray]:
     """Fluxes and marginal variances; a source without any weight gets NaN."""
     some = np.diag(f) > 0
+    return regularised(f, r, rcond * np.trace(f) / max(1, some.sum()))
+
+
+def regularised(f: np.ndarray, r: np.ndarray, more: float) -> tuple[np.ndarray, np.ndarray]:
+    """With so much more on the diagonal."""
+    some = np.diag(f) > 0
     flux, var = np.full(len(r), np.nan), np.full(len(r), np.nan)
     if some.any():
         own = f[np.ix_(some, some)]
-        own = own + rcond * np.trace(own) / len(own) * np.eye(len(own))
+        own = own + more * np.eye(len(own))
         flux[some], var[some] = np.linalg.solve(own, r[some]), np.diag(np.linalg.inv(own))
     return flux, var
 
 
-def conjugate_gradients(f: np.ndarray, r: np.ndarray, start: np.ndarray | None = None, limit: int = 500, tol: float = 1e-6) -> np.ndarray:
+def conjugate_gradients(f: np.ndarray | Sparse, r: np.ndarray, start: np.ndarray | None = None, limit: int = 500, tol: float = 1e-6) -> np.ndarray:
     """One Newton step by preconditioned conjugate gradients; a source without weight stays at its start."""
     x = np.zeros(len(r)) if start is None else start.astype(float).copy()
-    diagonal = np.where(np.diag(f) > 0, np.diag(f), 1.0)
+    diagonal = f.diagonal if isinstance(f, Sparse) else np.diag(f)
+    diagonal = np.where(diagonal > 0, diagonal, 1.0)
     g = r - f @ x
     z = g / diagonal
     p, rz, stop = z.copy(), g @ z, tol * max(np.linalg.norm(r), 1e-300)
@@ -75,33 +128,52 @@ def conjugate_gradients(f: np.ndarray, r: np.ndarray, start: np.ndarray | None =
     return x
 
 
-def solve(matrix: DataFrame, right: DataFrame, solver: str = "linear", rcond: float = RCOND) -> DataFrame:
-    """image_id, src_id, flux, var_marginal, var_conditional, npix of each image's joint fit.
+def solve(both: DataFrame, solver: str = "linear", rcond: float = RCOND, tol: float = 1e-6) -> DataFrame:
+    """image_id, src_id, flux, var_marginal, var_conditional, npix of each image's joint fit. both: as equations() gives them.
 
-    Only an image's matrix goes to Python: as many numbers as it has pairs of
-    overlapping sources.  Fluxes without weight are null.
+    Only an image's pairs of overlapping sources go to Python, and stay sparse: "linear"
+    solves each group of sources that hang together by overlap as a dense system of
+    its own; "cg" makes no dense matrix at all, and no marginal variances (null).  Fluxes without
+    weight are null.
     """
-    both = right.select("image_id", "i", F.lit(None).cast("long").alias("j"), F.col("r").alias("v"), "npix").unionByName(matrix.select("image_id", "i", "j", F.col("f").alias("v"), F.lit(None).cast("long").alias("npix")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        side = pdf[pdf.j.isna()].sort_values("i")
-        ids = side.i.to_numpy()
-        f = np.zeros((len(ids), len(ids)))
-        m = pdf[pdf.j.notna()]
-        a, b = np.searchsorted(ids, m.i.to_numpy()), np.searchsorted(ids, m.j.to_numpy().astype(np.int64))
-        f[a, b] = m.v.to_numpy()
-        f[b, a] = m.v.to_numpy()
-        r, diagonal = side.v.to_numpy(), np.diag(f)
-        flux, var = linear_solution(f, r, rcond)
+        side = pdf[pdf.i == pdf.j].sort_values("i")
+        ids, r = side.i.to_numpy(), side.r.to_numpy()
+        f = Sparse(*(np.searchsorted(ids, pdf[x].to_numpy()) for x in "ij"), pdf.f.to_numpy(), len(ids))
+        weighed = f.diagonal > 0
+        flux, var = np.full(len(ids), np.nan), np.full(len(ids), np.nan)
+        more, conditional = rcond * f.diagonal.sum() / max(1, weighed.sum()), np.where(weighed, 1 / np.maximum(f.diagonal, 1e-12), np.nan)
         if solver == "cg":
-            flux = np.where(diagonal > 0, conjugate_gradients(f, r), np.nan)
-        with np.errstate(divide="ignore"):
-            conditional = np.where(diagonal > 0, 1 / np.maximum(diagonal, 1e-12), np.nan)
+            f.diagonal = np.where(weighed, f.diagonal + more, 0.0)
+            flux = np.where(weighed, conjugate_gradients(f, r, tol=tol), np.nan)
+        else:
+            for at in f.parts():
+                flux[at], var[at] = regularised(f.dense(at), r[at], more)
         return pd.DataFrame({"image_id": pdf.image_id.iloc[0], "src_id": ids, "flux": flux, "var_marginal": var, "var_conditional": conditional, "npix": side.npix.to_numpy().astype(np.int64)})
 
     return both.groupBy("image_id").applyInPandas(run, "image_id long, src_id long, flux double, var_marginal double, var_conditional double, npix long")
 
 
+def log_posterior(both: DataFrame, constant: float, mean: dict[int, float] | None = None, sigma: dict[int, float] | None = None):
+    """A function of one image's fluxes (source to flux) that samplers can call: log-likelihood, less a constant that doesn't depend on them, and Gaussian log-prior; -inf unless finite.
+
+    both: that image's equations(), of which a row a pair of overlapping sources comes to the driver; constant: its sum of data * data * iv.
+    """
+    rows = both.collect()  # one image's pairs
+    mean, sigma = mean or {}, sigma or {}
+
+    def value(fluxes: dict[int, float]) -> float:
+        x = {r.i: fluxes.get(r.i, 0.0) for r in rows if r.i == r.j}
+        if not all(map(np.isfinite, x.values())):
+            return -np.inf
+        square = sum((1 if r.i == r.j else 2) * r.f * x[r.i] * x[r.j] for r in rows)
+        prior = sum(-0.5 * ((x.get(k, 0.0) - m) / sigma[k]) ** 2 for k, m in mean.items())
+        return float(-0.5 * (constant - 2 * sum(r.r * x[r.i] for r in rows if r.i == r.j) + square) + prior)
+
+    return value
+
+
 def model(rows: DataFrame, flux: Column, sky: Column | None = None) -> DataFrame:
     """Model image: the templates times flux, summed a pixel; sky is added to each."""
     out = rows.groupBy("image_id", "y", "x").agg(F.sum(flux * F.col("a")).alias("model"), F.first("data").alias("data"), F.first("iv").alias("iv"))

@@ -32,23 +32,50 @@ def forced_photometry(d: Domain) -> DataFrame:
 @query("a1_normal_equations", f"with {_T} select p.image_id, p.src_id i, q.src_id j, round(sum(p.a * q.a * p.iv), 6) f from t p join t q on p.image_id = q.image_id and p.x = q.x and p.y = q.y and p.src_id <= q.src_id group by 1, 2, 3", "src good")
 def a1(d: Domain) -> DataFrame:
     """A1: the matrix of the joint fit of each image's sources."""
-    return photometry.normal_equations(_templates(d))[0].select("image_id", "i", "j", r(F.col("f"), "f"))
+    return photometry.equations(_templates(d)).select("image_id", "i", "j", r(F.col("f"), "f"))
+
+
+#: Gauss-Jordan elimination, a step an unknown: rows of each image's matrix, its right side and the unit matrix.
+_SOLVED = """pr as (select p.image_id, p.src_id i, q.src_id j, sum(p.a * q.a * p.iv) f from t p join t q on p.image_id = q.image_id and p.x = q.x and p.y = q.y group by 1, 2, 3),
+ rs as (select image_id, src_id i, sum(a * "data" * iv) r, sum(a * a * iv) d, count(*) npix from t group by 1, 2),
+ wt as (select image_id, i, r, d, row_number() over (partition by image_id order by i) k, count(*) over (partition by image_id) n, sum(d) over (partition by image_id) / count(*) over (partition by image_id) * {ridge} more from rs where d > 0),
+ fl as (select u.image_id, u.k, u.n, list(coalesce(f, 0e0) + case when u.k = v.k then u.more else 0e0 end order by v.k) own, list(case when u.k = v.k then 1e0 else 0e0 end order by v.k) unit, any_value(u.r) r from wt u join wt v on u.image_id = v.image_id left join pr on pr.image_id = u.image_id and pr.i = u.i and pr.j = v.i group by 1, 2, 3),
+ m0 as (select image_id, any_value(n) n, list(list_concat(list_concat(own, [r]), unit) order by k) m from fl group by 1),
+ el as (select image_id, n, 0 step, m from m0 union all
+  select image_id, n, step + 1, list_transform(m, lambda w, k: case when k = step + 1 then list_transform(w, lambda v: v / m[step + 1][step + 1]) else list_transform(w, lambda v, c: v - w[step + 1] / m[step + 1][step + 1] * m[step + 1][c]) end) from el where step < n),
+ sol as (select image_id, n, m from el where step = n)
+ select rs.image_id, rs.i src_id"""
+_JOINT = f"with recursive {_T}, {_SOLVED.format(ridge='1e-2')}, {{flux}}, round(case when rs.d > 0 then 1e0 / greatest(rs.d, 1e-12) end, 6) var_conditional, rs.npix from rs left join wt on wt.image_id = rs.image_id and wt.i = rs.i left join sol on sol.image_id = rs.image_id"
 
 
 @query("a2_linear_solve")
 def a2(d: Domain) -> DataFrame:
-    """A2: all sources of an image at once, with a regularised solve."""
-    got = photometry.solve(*photometry.normal_equations(_templates(d)))
+    """A2: all sources of an image at once, with a regularised solve. Some sources have the same template, so only the regularisation decides between them, beyond the digits of a twin."""
+    got = photometry.solve(photometry.equations(_templates(d)))
     return got.select("image_id", "src_id", r(F.col("flux"), "flux"), r(F.col("var_marginal"), "var_marginal"), r(F.col("var_conditional"), "var_conditional"), "npix")
 
 
 @query("a3_conjugate_gradients")
 def a3(d: Domain) -> DataFrame:
     """A3: the same by preconditioned conjugate gradients."""
-    got = photometry.solve(*photometry.normal_equations(_templates(d)), solver="cg")
+    got = photometry.solve(photometry.equations(_templates(d)), solver="cg")
     return got.select("image_id", "src_id", r(F.col("flux"), "flux", 3), r(F.col("var_conditional"), "var_conditional"), "npix")
 
 
+@query("a2_ridge_solve", _JOINT.format(flux="round(m[k][sol.n + 1], 6) flux, round(m[k][sol.n + 1 + k], 6) var_marginal"), "src good")
+def a2_ridge(d: Domain) -> DataFrame:
+    """The joint solve under a regularisation that leaves one answer."""
+    got = photometry.solve(photometry.equations(_templates(d)), rcond=1e-2)
+    return got.select("image_id", "src_id", r(F.col("flux"), "flux"), r(F.col("var_marginal"), "var_marginal"), r(F.col("var_conditional"), "var_conditional"), "npix")
+
+
+@query("a3_ridge_gradients", _JOINT.format(flux="round(m[k][sol.n + 1], 6) flux"), "src good")
+def a3_ridge(d: Domain) -> DataFrame:
+    """The same answer by conjugate gradients."""
+    got = photometry.solve(photometry.equations(_templates(d)), solver="cg", rcond=1e-2, tol=1e-13)
+    return got.select("image_id", "src_id", r(F.col("flux"), "flux"), r(F.col("var_conditional"), "var_conditional"), "npix")
+
+
 @query("a4_fisher_diagonal", f"with {_T} select image_id, src_id, round(sum(a * a * iv), 6) f, round(sum(iv), 4) fb from t group by 1, 2", "src good")
 def a4(d: Domain) -> DataFrame:
     """A4: the Fisher diagonal of each source and of a background."""

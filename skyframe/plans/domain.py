@@ -148,4 +148,6 @@ def with_(tables: str, sql: str) -> str:
     if not names:
         return sql
     head = ", ".join(f"{t} as ({SQL[t]})" for t in names)
+    if sql.startswith("with recursive "):
+        return f"with recursive {head}, {sql[15:]}"
     return f"with {head}, {sql[5:]}" if sql.startswith("with ") else f"with {head} {sql}"

@@ -89,12 +89,13 @@ def r5(d: Domain) -> DataFrame:
 @query("r9_galaxy_images", f"with {_CONV} select src_id, x, y, round(sum(amp * {_DENS.format(x='x - x0 - mx', y='y - y0 - my')}), 9) a from cv join pix using (image_id) where x between x0 - 3e0 and x0 + 3e0 and y between y0 - 3e0 and y0 + 3e0 group by 1, 2, 3", "src frames pix")
 def r9(d: Domain) -> DataFrame:
     """Galaxies under a mixture point-spread function, on the pixels around them."""
-    shaped = _shapes(d).withColumn("mog", mixtures.convolve(_galaxy_mixture(), _psf()))
-    pairs = footprint(shaped.select("src_id", "image_id", "x0", "y0", "mog"), d.pixels.select("image_id", "x", "y"), F.lit(3.0))
-    # exploded components keep the densities inside generated code, where an array function is interpreted
-    each = pairs.select("src_id", "x", "y", (F.col("x") - F.col("x0")).alias("dx"), (F.col("y") - F.col("y0")).alias("dy"), F.explode("mog").alias("g"))
-    value = F.col("g.amp") * mixtures.density(F.col("dx") - F.col("g.mx"), F.col("dy") - F.col("g.my"), F.col("g.vxx"), F.col("g.vxy"), F.col("g.vyy"))
-    return each.groupBy("src_id", "x", "y").agg(r(F.sum(value), "a", 9))
+    v = ellipses.transformed(tuple(F.col(n) for n in ("t11", "t12", "t21", "t22")), F.lit(1.0), F.lit(0.0), F.lit(1.0))
+    shaped = _shapes(d).select("src_id", "image_id", "x0", "y0", "src_type", *(x.alias(n) for x, n in zip(v, ("vxx", "vxy", "vyy"), strict=True)))
+    pairs = footprint(shaped, d.pixels.select("image_id", "x", "y"), F.lit(3.0))
+    dx, dy, cov = F.col("x") - F.col("x0"), F.col("y") - F.col("y0"), (F.col("vxx"), F.col("vxy"), F.col("vyy"))
+    # profiles have few components, so their sum is one expression: no array, no second grouping
+    value = F.when(F.col("src_type") == "DEV", mixtures.unrolled("dev", _PSF, dx, dy, cov)).otherwise(mixtures.unrolled("exp", _PSF, dx, dy, cov))
+    return pairs.select("src_id", "x", "y", r(value, "a", 9))
 
 
 @query(
@@ -209,4 +210,4 @@ def r8(d: Domain) -> DataFrame:
     """Photometry with a mixture point-spread function, all sources of an image at once."""
     c = d.sources.select("src_id").crossJoin(d.spark.createDataFrame(_PSF, "amp double, mx double, my double, vxx double, vxy double, vyy double"))
     t = photometry.mixture_templates(d.sources.select("src_id", "image_id", "x0", "y0"), d.good.select("image_id", "x", "y", "data", "iv"), c, 5.0)
-    return photometry.solve(*photometry.normal_equations(t)).select("image_id", "src_id", r(F.col("flux"), "flux"), r(F.col("var_marginal"), "var_marginal"), "npix")
+    return photometry.solve(photometry.equations(t)).select("image_id", "src_id", r(F.col("flux"), "flux"), r(F.col("var_marginal"), "var_marginal"), "npix")

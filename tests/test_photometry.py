@@ -28,7 +28,7 @@ def test_two_fluxes_are_recovered(spark):
     src = sources(spark, [(1, 1, 4.85, 5.32, 1.0, 1.0), (2, 1, 14.97, 15.14, 1.0, 1.0)])
     t = photometry.templates(src, image(spark, data, 100.0), 30.0)
     for solver in ("linear", "cg"):
-        got = photometry.solve(*photometry.normal_equations(t), solver=solver).orderBy("src_id").toPandas()
+        got = photometry.solve(photometry.equations(t), solver=solver).orderBy("src_id").toPandas()
         assert np.allclose(got.flux, [1000, 500], atol=1e-4)
         assert (got.npix == 400).all()
 
@@ -38,7 +38,7 @@ def test_overlapping_sources_match_dense_algebra(spark):
     data = 800 * gaussian(12, 5.2, 5.1, 1.5) + 300 * gaussian(12, 6.9, 6.0, 1.5) + rng.normal(0, 0.1, (12, 12))
     src = sources(spark, [(1, 1, 5.2, 5.1, 1.5, 1.0), (2, 1, 6.9, 6.0, 1.5, 1.0)])
     t = photometry.templates(src, image(spark, data, 4.0), 30.0)
-    got = photometry.solve(*photometry.normal_equations(t)).orderBy("src_id").toPandas()
+    got = photometry.solve(photometry.equations(t)).orderBy("src_id").toPandas()
     a = np.column_stack([gaussian(12, 5.2, 5.1, 1.5).ravel(), gaussian(12, 6.9, 6.0, 1.5).ravel()])
     f = 4 * a.T @ a
     assert np.allclose(got.flux, np.linalg.solve(f, 4 * a.T @ data.ravel()), rtol=1e-9)
@@ -49,7 +49,7 @@ def test_overlapping_sources_match_dense_algebra(spark):
 def test_a_source_without_weight_has_no_flux(spark):
     src = sources(spark, [(1, 1, 4.0, 4.0, 1.0, 1.0), (2, 1, 6.0, 6.0, 1.0, 1.0)])
     t = photometry.templates(src, image(spark, np.ones((9, 9)), 0.0), 30.0)
-    assert photometry.solve(*photometry.normal_equations(t)).where("flux is not null and not isnan(flux)").count() == 0
+    assert photometry.solve(photometry.equations(t)).where("flux is not null and not isnan(flux)").count() == 0
 
 
 def test_noisy_flux(spark):
