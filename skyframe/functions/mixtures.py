@@ -57,6 +57,23 @@ def convolve(a: Column, b: Column) -> Column:
     return F.flatten(F.transform(a, lambda g: F.transform(b, lambda h: pair(g, h))))
 
 
+def split(mixture: Column, half: Column, inner: float = 3.0, outer: float = 4.0) -> tuple[Column, Column]:
+    """The components to render as mixture, and those to render by Fourier transform, in a patch of this half size.
+
+    A component whose half size counts fewer than ``outer`` widths would wrap around; one of more
+    than ``inner`` is compact. Where some are both, amplitudes are shared out along a ramp.
+    """
+    wide = lambda g: g["vxx"] + g["vyy"]
+    is_mixture, is_fourier = (lambda g: half * half < outer * outer * wide(g)), (lambda g: half * half > inner * inner * wide(g))
+    ramp = F.exists(mixture, lambda g: is_mixture(g) & is_fourier(g))
+    widths = lambda g: half / F.greatest(F.lit(1e-6), F.sqrt(wide(g)))
+
+    def part(mine, share):
+        return _with(F.filter(mixture, mine), amp=lambda g: g["amp"] * F.when(ramp, F.least(F.lit(1.0), share(g))).otherwise(1.0))
+
+    return part(is_mixture, lambda g: (outer - widths(g)) / (outer - inner)), part(is_fourier, lambda g: (widths(g) - inner) / (outer - inner))
+
+
 def unrolled(kind: str, psf: list[tuple[float, ...]], dx: Column, dy: Column, covariance: tuple[Column, Column, Column]) -> Column:
     """Density at an offset of a profile under a covariance, seen through a mixture (amp, mx, my, vxx, vxy, vyy): the sum over both as one expression."""
     out = F.lit(0.0)

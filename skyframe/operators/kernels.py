@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -96,6 +97,48 @@ def sersic_mixture(n: float, components: int = 8, core: float = 0.01, beyond: fl
     return tuple([*out, (core, 0.0)] if core else out)
 
 
+def sersic_mixtures(indices: DataFrame, kinds: dict[str, float]) -> DataFrame:
+    """kind, n, k, amp, var: of each different index n, the mixture of each kind (its share beyond). Made where the indices are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(kind, n, k, a, v) for n in batch.n for kind, beyond in kinds.items() for k, (a, v) in enumerate(sersic_mixture(n, beyond=beyond))]
+            yield pd.DataFrame(rows, columns=["kind", "n", "k", "amp", "var"])
+
+    return indices.select("n").where("n is not null and not isnan(n)").distinct().mapInPandas(run, "kind string, n double, k int, amp double, var double")
+
+
+def spline(x: np.ndarray, y: np.ndarray, at: float) -> float:
+    """The not-a-knot cubic through the points (a lower degree through fewer than four)."""
+    n = len(x)
+    if n < 4:
+        return float(np.polyval(np.polyfit(x - x[0], y, n - 1), at - x[0]))
+    h, slope = np.diff(x), np.diff(y) / np.diff(x)
+    m = np.zeros((n, n))
+    m[0, :3], m[-1, -3:] = (h[1], -(h[0] + h[1]), h[0]), (h[-1], -(h[-2] + h[-1]), h[-2])
+    side = np.zeros(n)
+    for k in range(1, n - 1):
+        m[k, k - 1 : k + 2], side[k] = (h[k - 1], 2 * (h[k - 1] + h[k]), h[k]), 6 * (slope[k] - slope[k - 1])
+    c = np.linalg.solve(m, side)
+    k = int(np.clip(np.searchsorted(x, at) - 1, 0, n - 2))
+    t = at - x[k]
+    return float(y[k] + t * (slope[k] - h[k] * (2 * c[k] + c[k + 1]) / 6) + t * t * c[k] / 2 + t**3 * (c[k + 1] - c[k]) / (6 * h[k]))
+
+
+def tabled_mixture(n: float, table: list[tuple[list[float], list[list[float]], list[list[float]]]], core: float = 0.0, beyond: float = 0.0) -> list[tuple[float, float]]:
+    """(amplitude, variance) of index n by a user's table: consecutive ranges, each of knots and, a component each, amplitudes and logarithms of variances at them.
+
+    n stops at the table's ends; amplitudes add up to 1 less what lies beyond and, above index 1, the core, a component of variance 0.
+    """
+    n = min(max(n, table[0][0][0]), table[-1][0][-1])
+    knots, amps, logs = next(x for x in table if n <= x[0][-1])
+    a = np.array([spline(np.array(knots), np.array(x), n) for x in amps])
+    v = np.exp([spline(np.array(knots), np.array(x), n) for x in logs])
+    core = core if n > 1 else 0.0
+    out = list(zip((a / a.sum() * (1.0 - core - beyond)).tolist(), v.tolist(), strict=True))
+    return [*out, (core, 0.0)] if core else out
+
+
 def fit_mixture(stamp: np.ndarray, components: int, rounds: int = 60) -> np.ndarray:
     """(k, 6): amp, mx, my, vxx, vxy, vyy about the stamp's centre, by expectation maximisation over its positive pixels."""
     h, w = stamp.shape

@@ -60,8 +60,16 @@ def j6(d: Domain) -> DataFrame:
 @query("j7_nearest_zone", "select src_id, zone_id, round(d2, 6) d2 from (select src_id, zone_id, (x0-zx)*(x0-zx)+(y0-zy)*(y0-zy) d2, row_number() over (partition by src_id order by (x0-zx)*(x0-zx)+(y0-zy)*(y0-zy), zone_id) rn from src, zones) t where rn = 1", "src zones")
 def j7(d: Domain) -> DataFrame:
     """Each source's nearest zone; the smaller number on a tie."""
-    dx, dy = F.col("x0") - F.col("zx"), F.col("y0") - F.col("zy")
-    return spatial.nearest(d.sources.select("src_id", "x0", "y0"), d.zones, "src_id", "zone_id", dx * dx + dy * dy).select("src_id", "zone_id", r(F.col("distance"), "d2"))
+    got = spatial.nearest(d.sources.select("src_id", "x0", "y0"), d.zones, "src_id", "zone_id", ("x0", "y0"), ("zx", "zy"), 3.0)
+    return got.select("src_id", "zone_id", r(F.col("distance") * F.col("distance"), "d2"))
+
+
+@query("j7_nearest_source", "select src_id, o_id, round(d2, 6) d2 from (select a.src_id, b.src_id o_id, (a.x0-b.y0)*(a.x0-b.y0)+(a.y0-b.x0)*(a.y0-b.x0) d2, row_number() over (partition by a.src_id order by (a.x0-b.y0)*(a.x0-b.y0)+(a.y0-b.x0)*(a.y0-b.x0), b.src_id) rn from (select * from src where src_type = 'PSF') a, (select * from src where src_type = 'DEV') b) t where rn = 1", "src")
+def j7_sources(d: Domain) -> DataFrame:
+    """Nearest rows of a table of any size, here between two types of sources."""
+    left, right = d.sources.where("src_type = 'PSF'").select("src_id", "x0", "y0"), d.sources.where("src_type = 'DEV'").select(F.col("src_id").alias("o_id"), F.col("y0").alias("px"), F.col("x0").alias("py"))
+    got = spatial.nearest(left, right, "src_id", "o_id", ("x0", "y0"), ("px", "py"), 0.5)
+    return got.select("src_id", "o_id", r(F.col("distance") * F.col("distance"), "d2"))
 
 
 @query("j8_first_plane", "select zone_id, min(vec_id) plane from embeddings join zones on label = zone_id group by 1", "zones")
@@ -74,23 +82,19 @@ def j8(d: Domain) -> DataFrame:
 @query("j9_main_source", "select zone_id target, src_id, round(sep, 6) sep from (select *, row_number() over (partition by zone_id order by sep, src_id) rn from (select zone_id, src_id, degrees(acos(greatest(-1e0, least(1e0, sin(radians(zy * 4e0 - 3e1)) * sin(radians(\"dec\")) + cos(radians(zy * 4e0 - 3e1)) * cos(radians(\"dec\")) * cos(radians(zx * 2e1 - ra)))))) sep from src, zones) q) t where rn = 1", "src zones")
 def j9(d: Domain) -> DataFrame:
     """The catalog source nearest to each target on the sphere."""
-    from ..functions import sky
-
-    t = F.broadcast(d.zones.select(F.col("zone_id").alias("target"), (F.col("zx") * 20.0).alias("tra"), (F.col("zy") * 4.0 - 30.0).alias("tdec")))  # a row a zone
-    gap = sky.separation(F.col("tra"), F.col("tdec"), F.col("ra"), F.col("dec"))
-    best = d.sources.crossJoin(t).groupBy("target").agg(F.min(F.struct(gap.alias("sep"), "src_id")).alias("b"))
-    return best.select("target", "b.src_id", r(F.col("b.sep"), "sep"))
+    t = d.zones.select(F.col("zone_id").alias("target"), (F.col("zx") * 20.0).alias("ra"), (F.col("zy") * 4.0 - 30.0).alias("dec"))
+    return spatial.nearest_on_sky(d.sources.select("src_id", "ra", "dec"), t, "src_id", 2.0).select("target", "src_id", r(F.col("separation"), "sep"))
 
 
-@query("j10_core_tile", "select src_id, cast(coalesce(floor(x0 / 4e0) + 4 * floor(y0 / 4e0), -1) as int) tile from src where x0 < 16 and y0 < 16", "src")
+@query(
+    "j10_core_tile",
+    """with p as (select src_id, x0 * 125e-2 - 2e0 x, y0 * 125e-2 - 2e0 y from src), t as (select cast(i as int) tile, (i % 4) * 4e0 tx, (i // 4) * 4e0 ty from range(0, 16) u(i))
+ select src_id, tile from (select src_id, tile, row_number() over (partition by src_id order by not (x >= tx and x < tx + 4e0 and y >= ty and y < ty + 4e0), (x - tx - 2e0) * (x - tx - 2e0) + (y - ty - 2e0) * (y - ty - 2e0), tile) rn from p, t) q where rn = 1""",
+    "src",
+)
 def j10(d: Domain) -> DataFrame:
-    """The tile whose core has the source; else the nearest centre (here there is always one)."""
-    tiles = d.spark.range(16).select(F.col("id").cast("int").alias("tile"), (F.col("id") % 4 * 4.0).alias("tx"), (F.floor(F.col("id") / 4) * 4.0).alias("ty"))
-    own = d.sources.where("x0 < 16 and y0 < 16")
-    core = spatial.in_box(F.col("x0"), F.col("y0"), F.col("tx"), F.col("tx") + 4, F.col("ty"), F.col("ty") + 4)
-    far = (F.col("x0") - F.col("tx") - 2) * (F.col("x0") - F.col("tx") - 2) + (F.col("y0") - F.col("ty") - 2) * (F.col("y0") - F.col("ty") - 2)
-    best = own.crossJoin(F.broadcast(tiles)).groupBy("src_id").agg(F.min(F.struct((~core).alias("outside"), far.alias("far"), "tile")).alias("b"))
-    return best.select("src_id", "b.tile")
+    """The tile whose core has the source; else, outside of all, the one of nearest centre."""
+    return d.sources.select("src_id", spatial.core_tile(F.col("x0") * 1.25 - 2.0, F.col("y0") * 1.25 - 2.0, 4.0, 4, 4).alias("tile"))
 
 
 @query("j11_flux_slots", "select src_id, image_id, row_number() over (partition by image_id order by src_id) - 1 slot from src where src_type <> 'DUP'", "src")

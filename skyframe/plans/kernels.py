@@ -135,7 +135,7 @@ def r7(d: Domain) -> DataFrame:
 
 @query("r25_composite_profiles", f"with {_EXP}, {_DEV} select src_id, round(sum(f * a * exp(-5e-1 * 4e-2 / (v + 1e-1)) / (2 * pi() * (v + 1e-1))), 9) mid, count(*) n from (select src_id, sersic / 1e1 f, amp a, var v from src, dp union all select src_id, 1e0 - sersic / 1e1, amp, var from src, ep) t group by 1", "src")
 def r25(d: Domain) -> DataFrame:
-    """A de Vaucouleurs and an exponential share; the density of the mix near its centre."""
+    """A de Vaucouleurs and an exponential share; the density of the mix near its centre."""
     share = F.col("sersic") / 10.0
     part = lambda kind, f: F.transform(mixtures.literal(kind), lambda g: F.struct((g["amp"] * f).alias("a"), g["var"].alias("v")))
     rows = d.sources.select("src_id", F.explode(F.concat(part("dev", share), part("exp", 1.0 - share))).alias("g"))
@@ -194,9 +194,27 @@ def r11(d: Domain) -> DataFrame:
 @query("r23_sersic_mixtures")
 def r23(d: Domain) -> DataFrame:
     """The mixtures of all profile indices that occur, as a dimension table, with and without a share beyond."""
-    indices = [x.n for x in d.sources.select(F.round("sersic", 3).alias("n")).distinct().orderBy("n").collect()]  # at most 50 values of p_size
-    rows = [(kind, n, k, a, v) for kind, beyond in (("plain", 0.0), ("beyond", 0.02)) for n in indices for k, (a, v) in enumerate(kernels.sersic_mixture(n, beyond=beyond))]
-    return d.spark.createDataFrame(rows, "kind string, n double, k int, amp double, var double")
+    return kernels.sersic_mixtures(d.sources.select(F.round("sersic", 3).alias("n")), {"plain": 0.0, "beyond": 0.02})
+
+
+@query(
+    "r21_hybrid_split",
+    f"""with {_CONV}, s as (select *, 4e0 / greatest(1e-6, sqrt(vxx + vyy)) ns from cv), w as (select *, case when 16e0 < 16e0 * (vxx + vyy) then 1 end im, case when 16e0 > 9e0 * (vxx + vyy) then 1 end fm from s)
+ select src_id, round(coalesce(sum(amp * least(1e0, 4e0 - ns)) filter (im = 1), 0e0), 9) mixture, round(coalesce(sum(amp * least(1e0, ns - 3e0)) filter (fm = 1), 0e0), 9) fourier, count(im) n_mixture, count(fm) n_fourier from w group by 1""",
+    "src frames",
+)
+def r21(d: Domain) -> DataFrame:
+    """Components that would wrap around are rendered as mixtures, compact ones by Fourier transform, with a ramp between."""
+    m, f = mixtures.split(mixtures.convolve(_galaxy_mixture(), _psf()), F.lit(4.0))
+    rows = _shapes(d).select("src_id", m.alias("m"), f.alias("f"))
+    return rows.select("src_id", r(mixtures.total(F.col("m")), "mixture", 9), r(mixtures.total(F.col("f")), "fourier", 9), F.size("m").cast("long").alias("n_mixture"), F.size("f").cast("long").alias("n_fourier"))
+
+
+@query("a31_longest_mixture", "select cast(max(case src_type when 'PSF' then 1 when 'DEV' then 9 when 'DUP' then 0 else 6 end) as int) k, count(*) n from src", "src")
+def a31(d: Domain) -> DataFrame:
+    """The most components that any source of the catalog has."""
+    size = F.when(F.col("src_type") == "PSF", 1).when(F.col("src_type") == "DEV", F.size(mixtures.literal("dev"))).when(F.col("src_type") == "DUP", 0).otherwise(F.size(mixtures.literal("exp")))
+    return d.sources.agg(F.max(size).cast("int").alias("k"), F.count("*").alias("n"))
 
 
 @query("r32_fitted_mixtures")
