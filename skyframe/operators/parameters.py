@@ -57,3 +57,24 @@ def log_prior(params: DataFrame, priors: DataFrame, *keys: str) -> DataFrame:
 def prior_rows(params: DataFrame, priors: DataFrame, *keys: str) -> DataFrame:
     """A sparse row for each prior: place, 1/sd, and the residual that a step would close."""
     return params.join(priors, "path").select(*keys, "path", "ordinal", (1.0 / F.col("sd")).alias("jacobian"), ((F.col("mu") - F.col("value")) / F.col("sd")).alias("residual"))
+
+
+def kinds(df: DataFrame) -> DataFrame:
+    """path, kind, depth of every column and of all that is inside it."""
+    from pyspark.sql.types import ArrayType, DataType, MapType, StructType
+
+    rows: list[tuple[str, str, int]] = []
+
+    def walk(path: str, kind: DataType, depth: int) -> None:
+        rows.append((path, kind.typeName(), depth))
+        if isinstance(kind, StructType):
+            for f in kind.fields:
+                walk(f"{path}.{f.name}", f.dataType, depth + 1)
+        elif isinstance(kind, ArrayType):
+            walk(f"{path}[]", kind.elementType, depth + 1)
+        elif isinstance(kind, MapType):
+            walk(f"{path}[]", kind.valueType, depth + 1)
+
+    for f in df.schema.fields:
+        walk(f.name, f.dataType, 0)
+    return df.sparkSession.createDataFrame(rows, "path string, kind string, depth int")

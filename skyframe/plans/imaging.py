@@ -52,7 +52,7 @@ def _lanczos(t: str) -> str:
     "stamps",
 )
 def r13(d: Domain) -> DataFrame:
-    """Stamps moved by part of a pixel, in two passes of a Lanczos kernel."""
+    """Stamps moved by part of a pixel, in two passes of a Lanczos kernel."""
     return stamps.shift(d.stamps, "psf_id", -(F.col("psf_id") % 7 / 14.0), F.col("psf_id") % 10 / 20.0, 7, 7).select("psf_id", "y", "x", r(F.col("value"), "v"))
 
 
@@ -81,6 +81,21 @@ def r17(d: Domain) -> DataFrame:
     return stamps.downsampled(d.stamps, "psf_id", (7, 7), (4, 4)).select("psf_id", "y", "x", r(F.col("value"), "v"))
 
 
+@query("r15_correlated", "select psf_id, y, x, round(sum(v), 6) v from (select psf_id, y, x - k + 1 x, \"value\" * ((psf_id + k) % 5) v from stamps, range(0, 3) u(k)) t where x between 0 and 6 group by 1, 2, 3", "stamps")
+def r15(d: Domain) -> DataFrame:
+    """Each stamp's rows correlated with a filter of its own."""
+    k = F.explode(F.sequence(F.lit(0), F.lit(2)))
+    filters = d.stamps.select("psf_id").distinct().withColumn("k", k).withColumn("weight", ((F.col("psf_id") + F.col("k")) % 5).cast("double"))
+    return stamps.correlated(d.stamps.select("psf_id", "y", "x", "value"), filters, "psf_id", "x", 7, 3).select("psf_id", "y", "x", r(F.col("value"), "v"))
+
+
+@query("r35_padded", "select s_suppkey image_id, cast(j as int) y, cast(i as int) x, round(coalesce(\"data\", 0e0), 6) v from supplier cross join range(0, 18) a(j) cross join range(0, 20) b(i) left join pix on image_id = s_suppkey and y = j and x = i", "pix")
+def r35(d: Domain) -> DataFrame:
+    """Images filled up with zeros to a larger shape."""
+    images = d.table("supplier").select(F.col("s_suppkey").alias("image_id"))
+    return stamps.padded(d.pixels.withColumnRenamed("data", "value"), images, "image_id", 18, 20).select("image_id", "y", "x", r(F.col("value"), "v"))
+
+
 @query("r31_normalised_stamps", "select psf_id, y, x, round(\"value\" / sum(\"value\") over (partition by psf_id), 9) v from stamps", "stamps")
 def r31(d: Domain) -> DataFrame:
     """Stamps of sum 1."""

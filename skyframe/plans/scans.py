@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources import fits, tables
+from ..operators import parameters
+from ..sources import fits, shared, tables
 from .domain import Domain
 from .registry import query
 from .scalars import r
@@ -19,34 +20,135 @@ def s1(d: Domain) -> DataFrame:
 
 @query("s2_csv_photometry", "select exposure_id, round(wavelength, 6) wavelength, round(flux / 1e3, 6) flux from exposures", "exposures")
 def s2(d: Domain) -> DataFrame:
-    """Photometry as lines of CSV, read with a schema."""
-    line = d.exposures.select(F.to_csv(F.struct("exposure_id", "wavelength", "flux")).alias("line"))
-    back = line.select(F.from_csv("line", "exposure_id long, wavelength double, flux double").alias("c")).select("c.*")
-    return back.select("exposure_id", r(F.col("wavelength"), "wavelength"), r(F.col("flux") / 1000.0, "flux"))
+    """Photometry in files of CSV, scanned with a schema."""
+    at = shared.fresh(d.spark, "csv")
+    d.exposures.select("exposure_id", "wavelength", "flux", F.lit(1.0).alias("flux_err")).write.csv(at, header=True)
+    back = tables.photometry(d.spark, at, "exposure_id long, wavelength double, flux double, flux_err double")
+    return back.select("exposure_id", r(F.col("wavelength"), "wavelength"), r(F.col("flux"), "flux"))
+
+
+@query("s3_manifest", "select cast(s_suppkey as int) cutout_index, 'ok' status from supplier where s_suppkey % 5 <> 2")
+def s3(d: Domain) -> DataFrame:
+    """Manifests with comment lines, scanned, and their good entries."""
+    at = shared.fresh(d.spark, "ecsv")
+    status = F.when(F.col("s_suppkey") % 5 == 2, "failed").otherwise("ok")
+    d.table("supplier").select(F.col("s_suppkey").alias("cutout_index"), status.alias("status")).write.csv(at, header=True, sep=" ")
+    d.spark.createDataFrame([("# %ECSV 1.0\n# ---\ncutout_index status",)], "value string").write.mode("append").text(at)
+    return tables.manifest(d.spark, at).where("status = 'ok'")
+
+
+def _files(d: Domain) -> DataFrame:
+    """path and content of each image's file."""
+    return fits.encoded(d.pixels, "image_id", 16, 16)
+
+
+def _index(path: str = "path") -> Column:
+    return F.regexp_extract(path, fits.CUTOUT, 1).cast("long")
+
+
+def _rounded(got: DataFrame, own: Column) -> DataFrame:
+    return got.where("data is not null and not isnan(data)").select(own.alias("image_id"), "x", "y", r(F.col("data"), "data"), "flags", r(F.col("var"), "var"), r(F.col("bkg"), "bkg"))
 
 
 @query("s4_cutout_files", "select image_id, x, y, round(\"data\", 6) \"data\", flags, round(var, 6) var, round(bkg, 6) bkg from pix", "pix")
 def s4(d: Domain) -> DataFrame:
-    """Images written as FITS bytes and decoded again."""
-    got = fits.pixels(fits.encoded(d.pixels, "image_id", 16, 16)).where("error is null and data is not null")
-    own = F.regexp_extract("path", fits.CUTOUT, 1).cast("long")
-    return got.select(own.alias("image_id"), "x", "y", r(F.col("data"), "data"), "flags", r(F.col("var"), "var"), r(F.col("bkg"), "bkg"))
+    """Images written as FITS bytes and decoded again."""
+    return _rounded(fits.pixels(_files(d)).where("error is null"), _index())
 
 
-@query("s5_missing_blocks", "select s_suppkey image_id from supplier where s_suppkey not in (select l_suppkey from lineitem where l_quantity > 45 and l_discount < 1e-2)")
+@query("s4_monolithic", "select image_id, x, y, round(\"data\", 6) \"data\", flags, round(var, 6) var, round(bkg, 6) bkg from pix", "pix")
+def s4_monolithic(d: Domain) -> DataFrame:
+    """One file of all images, read by numbered blocks, some to a partition."""
+    uri = f"{shared.fresh(d.spark, 'fits')}/all.fits"
+    files = _files(d).withColumn("image_id", _index())
+    fits.joined(files, "image_id", uri)
+    # a block's number is its image's place among those written
+    place = files.select("image_id").withColumn("_k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("image_id")) - 1)  # a row an image
+    return _rounded(fits.monolith(d.spark, uri).join(place, F.col("cutout_index") == F.col("_k")), F.col("image_id"))
+
+
+@query("s5_named_blocks", "select image_id, count(*) n, round(sum(\"data\"), 4) total from pix where image_id % 7 <> 3 group by 1", "pix")
+def s5_named(d: Domain) -> DataFrame:
+    """Blocks looked up by the names of their HDUs."""
+    uri = f"{shared.fresh(d.spark, 'fits')}/some.fits"
+    fits.joined(_files(d).withColumn("image_id", _index()).where("image_id % 7 <> 3"), "image_id", uri)
+    got = fits.monolith(d.spark, uri, named="true", blocks_a_partition="16").where("data is not null and not isnan(data)")
+    return got.groupBy(F.col("cutout_index").cast("long").alias("image_id")).agg(F.count("*").alias("n"), r(F.sum("data"), "total", 4))
+
+
+@query("s5_missing_blocks", "select s_suppkey image_id from supplier where s_suppkey % 7 = 3 or s_suppkey not in (select l_suppkey from lineitem)")
 def s5(d: Domain) -> DataFrame:
-    """Manifest entries without a decoded block."""
-    found = d.table("lineitem").where("l_quantity > 45 and l_discount < 0.01").select(F.col("l_suppkey").alias("image_id"))
+    """Manifest entries whose named HDU is missing."""
+    uri = f"{shared.fresh(d.spark, 'fits')}/some.fits"
+    fits.joined(_files(d).withColumn("image_id", _index()).where("image_id % 7 <> 3"), "image_id", uri)
+    names = d.spark.createDataFrame([(u.name,) for u in fits.units(uri)], "name string")  # of one file
+    found = names.select(F.regexp_extract("name", r"^IMAGE(\d+)$", 1).alias("k")).where("k <> ''").select(F.col("k").cast("long").alias("image_id"))
     return d.table("supplier").select(F.col("s_suppkey").alias("image_id")).join(found, "image_id", "left_anti")
 
 
+def _named_files(d: Domain) -> DataFrame:
+    """Small files, of which some have names of another kind."""
+    k = F.col("s_suppkey")
+    name = F.when(k % 7 == 3, F.format_string("other_%d.fits", k)).otherwise(F.format_string("cutout_%04d_obs%d_D%d.fits", k, k, k % 6 + 1))
+    return d.table("supplier").select(name.alias("path"), F.to_binary(F.concat(F.lit("content "), k.cast("string")), F.lit("utf-8")).alias("content"))
+
+
 @query("s7_discovered_files", "select cast(s_suppkey as int) cutout_index, 'obs' || s_suppkey obs_id, cast(s_suppkey % 6 + 1 as int) detector from supplier where s_suppkey % 7 <> 3")
 def s7(d: Domain) -> DataFrame:
-    """Names that fit the pattern, with their captured parts."""
-    k = F.col("s_suppkey")
-    name = F.when(k % 7 == 3, F.concat(F.lit("other_"), k)).otherwise(F.format_string("cutout_%04d_obs%d_D%d.fits", k, k, k % 6 + 1))
-    part = lambda i: F.regexp_extract("path", fits.CUTOUT, i)
-    return d.table("supplier").select(name.alias("path")).where(part(1) != "").select(part(1).cast("int").alias("cutout_index"), part(2).alias("obs_id"), part(3).cast("int").alias("detector"))
+    """A folder listed, and names that fit the pattern with their captured parts."""
+    at = shared.fresh(d.spark, "folder")
+    fits.stored(_named_files(d), at)
+    return fits.discover(d.spark, at).select("cutout_index", "obs_id", "detector")
+
+
+@query("s11_downloaded", "select cast(s_suppkey as bigint) image_id, s_suppkey % 9 = 4 missing, case when s_suppkey % 9 <> 4 then 'content ' || s_suppkey end content from supplier where s_suppkey % 7 <> 3")
+def s11(d: Domain) -> DataFrame:
+    """Files fetched by tasks of many threads; one that isn't there is kept as an error of its row."""
+    uris = fits.stored(_named_files(d), shared.fresh(d.spark, "folder")).where("uri like '%cutout%'").withColumn("image_id", _index("uri"))
+    gone = F.when(F.col("image_id") % 9 == 4, F.concat("uri", F.lit(".gone"))).otherwise(F.col("uri"))
+    got = tables.downloaded(uris.select(gone.alias("uri")), tables.fetched, 4)
+    return got.select(_index("uri").alias("image_id"), F.col("error").isNotNull().alias("missing"), F.decode("content", "utf-8").alias("content"))
+
+
+@query("s10_polled_job", "select src_id, cast(cast(ra as float) as double) ra from src where \"dec\" > 0", "src")
+def s10_polled(d: Domain) -> DataFrame:
+    """A remote job is asked until it is done; then what it left is read, and narrowed."""
+    at = shared.fresh(d.spark, "job")
+    steps = iter(["QUEUED", "EXECUTING", "COMPLETED"])
+
+    def status() -> str:
+        now = next(steps)
+        if now == "EXECUTING":
+            d.sources.where("dec > 0").select("src_id", "ra").write.parquet(at)
+        return now
+
+    tables.finished(status, poll=0.0)
+    return tables.narrowed(d.spark.read.parquet(at), "src_id").select("src_id", F.col("ra").cast("double").alias("ra"))
+
+
+@query("s16_array_dump", "select image_id, x, y, round(\"data\" - 3e0 * bkg, 6) residual from pix", "pix")
+def s16(d: Domain) -> DataFrame:
+    """Data, model and residual as arrays of each image, written and read again."""
+    at = shared.fresh(d.spark, "arrays")
+    p = d.pixels.select("image_id", "y", "x", "data", (3.0 * F.col("bkg")).alias("model")).withColumn("residual", F.col("data") - F.col("model"))
+    tables.write_results(tables.dumped(p, "image_id", "data", "model", "residual"), at)
+    back = d.spark.read.parquet(at).select("image_id", "width", F.explode(F.arrays_zip("place", "residual")).alias("c"))
+    return back.select("image_id", (F.col("c.place") % F.col("width")).cast("int").alias("x"), F.floor(F.col("c.place") / F.col("width")).cast("int").alias("y"), r(F.col("c.residual"), "residual"))
+
+
+@query("f7_serialised", "select src_id, round(x0, 6) x0, round(re, 6) re, src_type kind from src", "src")
+def f7(d: Domain) -> DataFrame:
+    """nested parameters as text and back."""
+    text = tables.to_json(F.struct(F.struct("x0", "y0").alias("pos"), F.struct("re", "ab", "phi").alias("shape"), "src_type"))
+    back = tables.from_json(F.col("text"), "pos struct<x0: double, y0: double>, shape struct<re: double, ab: double, phi: double>, src_type string")
+    rows = d.sources.select("src_id", text.alias("text")).select("src_id", back.alias("p"))
+    return rows.select("src_id", r(F.col("p.pos.x0"), "x0"), r(F.col("p.shape.re"), "re"), F.col("p.src_type").alias("kind"))
+
+
+@query("m24_kinds", "select * from (values ('src_id', 'long', 0), ('pos', 'struct', 0), ('pos.x0', 'double', 1), ('pos.y0', 'double', 1), ('fluxes', 'array', 0), ('fluxes[]', 'double', 1)) t(path, kind, depth)")
+def m24(d: Domain) -> DataFrame:
+    """What a source's columns consist of."""
+    return parameters.kinds(d.sources.select("src_id", F.struct("x0", "y0").alias("pos"), F.array("flux").alias("fluxes")))
 
 
 @query("s8_archive_metadata", "select exposure_id, 'https://archive/' || detector || '/' || exposure_id access_url from exposures join (select cast(c_custkey as bigint) target from customer where c_nationkey < 12) c using (target) where wavelength > 2 order by ts, exposure_id", "exposures")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,18 +48,20 @@ def parameter_header(values: Column, prefix: str) -> Column:
     return F.map_from_entries(F.transform(values, lambda v, i: F.struct(F.concat(F.lit(prefix), i.cast("string")).alias("key"), v.alias("value"))))
 
 
-def downloaded(uris: DataFrame, fetch: Callable[[str], bytes], workers: int) -> DataFrame:
-    """uri, content, error of each row of uris, fetched by so many tasks; a failure is kept as its error."""
+def downloaded(uris: DataFrame, fetch: Callable[[str], bytes], workers: int, threads: int = 50) -> DataFrame:
+    """uri, content, error of each row of uris, fetched by so many tasks of so many threads each; a failure is kept as its error."""
+
+    def one(uri: str) -> tuple[str, bytes | None, str | None]:
+        try:
+            return uri, fetch(uri), None
+        except Exception as e:  # noqa: BLE001  whatever a client raises belongs to its row
+            return uri, None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for uri in batch.uri:
-                try:
-                    out.append((uri, fetch(uri), None))
-                except Exception as e:  # noqa: BLE001  whatever a client raises belongs to its row
-                    out.append((uri, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["uri", "content", "error"])
+        with ThreadPoolExecutor(threads) as pool:
+            for batch in batches:
+                for k in range(0, len(batch), threads):
+                    yield pd.DataFrame(list(pool.map(one, batch.uri[k : k + threads])), columns=["uri", "content", "error"])
 
     return uris.select("uri").repartition(workers).mapInPandas(run, "uri string, content binary, error string")
 
@@ -73,3 +76,29 @@ def finished(status: Callable[[], str], poll: float = 5.0, timeout: float = 1800
             raise TimeoutError("the job took too long")
         sleep(poll)
     return now
+
+
+def fetched(uri: str) -> bytes:
+    """A file's bytes, by Arrow's file systems."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    with system.open_input_stream(path) as f:
+        return f.read()
+
+
+def dumped(pixels: DataFrame, key: str, *values: str) -> DataFrame:
+    """A row an image: its size, and of each named plane one array in order of y and x; what Parquet keeps in place of array files."""
+    cells = F.sort_array(F.collect_list(F.struct("y", "x", *values)))
+    rows = pixels.groupBy(key).agg(cells.alias("_c"), (F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
+    place = lambda c: c["y"] * F.col("width") + c["x"]
+    return rows.select(key, "height", "width", F.transform("_c", place).alias("place"), *(F.col(f"_c.{v}").alias(v) for v in values))
+
+
+def to_json(row: Column) -> Column:
+    """Any struct of parameters as text."""
+    return F.to_json(row, {"ignoreNullFields": "false"})
+
+
+def from_json(text: Column, schema: str) -> Column:
+    return F.from_json(text, schema)

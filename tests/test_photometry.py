@@ -264,3 +264,41 @@ def test_padding(spark):
     s = spark.createDataFrame([(1, 0, 0, 5.0), (1, 2, 1, 3.0), (1, 9, 9, 1.0)], "k long, y int, x int, value double")
     got = stamps.padded(s, spark.createDataFrame([(1,), (2,)], "k long"), "k", 3, 2).toPandas()
     assert len(got) == 12 and got.value.sum() == 8.0 and got[got.k == 2].value.sum() == 0
+
+
+def test_log_posterior_is_that_of_the_pixels(spark):
+    rng = np.random.default_rng(8)
+    templates, data, iv = rng.random((3, 20)), rng.random(20), rng.random(20) + 0.5
+    templates[2, :10] = templates[0, 10:] = 0
+    rows = [(1, s, p % 5, p // 5, float(templates[s, p]), float(data[p]), float(iv[p])) for s in range(3) for p in range(20) if templates[s, p]]
+    df = spark.createDataFrame(rows, "image_id long, src_id long, x int, y int, a double, data double, iv double")
+    both = photometry.equations(df)
+    value = photometry.log_posterior(both, float((data * data * iv).sum()), {1: 2.0}, {1: 0.5})
+    for x in rng.normal(0, 2, (5, 3)):
+        expected = -0.5 * ((data - x @ templates) ** 2 * iv).sum() - 0.5 * ((x[1] - 2) / 0.5) ** 2
+        assert abs(value(dict(enumerate(x.tolist()))) - expected) < 1e-9
+    assert value({0: float("nan")}) == -np.inf
+    got = photometry.solve(both).orderBy("src_id").toPandas()
+    best = np.linalg.solve((templates * iv) @ templates.T, (templates * iv) @ data)
+    assert np.allclose(got.flux, best) and np.allclose(got.var_marginal, np.diag(np.linalg.inv((templates * iv) @ templates.T)))
+    cg = photometry.solve(both, solver="cg", tol=1e-12).orderBy("src_id").toPandas()
+    assert np.allclose(cg.flux, best) and cg.var_marginal.isna().all()
+
+
+def test_sparse_parts():
+    rng = np.random.default_rng(2)
+    a, b = np.sort(rng.integers(0, 60, (2, 40)), 0)
+    keep = np.unique(np.stack([a, b]), axis=1)
+    a, b = np.concatenate([keep[0], np.arange(60)]), np.concatenate([keep[1], np.arange(60)])
+    a, b = np.unique(np.stack([a, b]), axis=1)
+    v = np.where(a == b, 5.0, rng.random(len(a)))
+    f = photometry.Sparse(a, b, v, 60)
+    dense = np.zeros((60, 60))
+    dense[a, b] = dense[b, a] = v
+    x = rng.random(60)
+    assert np.allclose(f @ x, dense @ x)
+    parts = f.parts()
+    assert sorted(np.concatenate(parts).tolist()) == list(range(60))
+    for p in parts:
+        assert np.allclose(f.dense(p), dense[np.ix_(p, p)])
+        assert not dense[np.ix_(p, np.setdiff1d(np.arange(60), p))].any()

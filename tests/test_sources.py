@@ -93,3 +93,65 @@ def test_stream_appends_results(spark, folder, tmp_path):
     got = spark.read.parquet(out)
     assert got.count() == 4 and got.where("error is not null").count() == 1
     assert got.select("batch").distinct().count() == 2
+
+
+def test_units_of_a_monolith_are_found_without_its_data(spark, tmp_path):
+    files = spark.createDataFrame([(k, bytearray(cutout(k))) for k in (12, 3, 7)], "k long, content binary")
+    uri = f"file://{tmp_path}/deep/all.fits"
+    assert [r.n for r in fits.joined(files, "k", uri).collect()] == [3]
+    found = fits.units(uri)
+    assert len(found) == 20 and [u.name for u in found[2:8]] == ["IMAGE3", "FLAGS3", "VARIANCE3", "ZODI3", "PSF3", "ZONE_LOOKUP3"]
+    assert found[-1].end == (tmp_path / "deep" / "all.fits").stat().st_size
+    raw = (tmp_path / "deep" / "all.fits").read_bytes()
+    assert [h.name for h in fits.decode(raw)] == [u.name for u in found]
+    got = fits.monolith(spark, uri, blocks_a_partition="2")
+    assert got.rdd.getNumPartitions() == 2
+    rng = np.random.default_rng(7)
+    assert np.allclose(got.where("cutout_index = 1").orderBy("y", "x").toPandas().data, rng.random((5, 4)).ravel())
+    named = fits.monolith(spark, uri, named="true")
+    assert sorted(r.cutout_index for r in named.select("cutout_index").distinct().collect()) == [3, 7, 12]
+    long = fits.encode([fits.Hdu("PRIMARY", {f"K{i}": i for i in range(90)}), fits.Hdu("X", {}, np.zeros((3, 3)))])
+    (tmp_path / "long.fits").write_bytes(long)
+    assert [u.name for u in fits.units(f"file://{tmp_path}/long.fits")] == ["PRIMARY", "X"]
+    (tmp_path / "bad.fits").write_bytes(b"SIMPLE  =".ljust(2880))
+    with pytest.raises(ValueError):
+        fits.units(f"file://{tmp_path}/bad.fits")
+
+
+def test_names_of_five_digits_are_kept(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    files = fits.encoded(spark.createDataFrame([(123456, 0, 0, 1.0, 0, 1.0, 0.0)], "image_id long, y int, x int, data double, flags int, var double, bkg double"), "image_id", 2, 2)
+    assert [int(r.k) for r in files.select(F.regexp_extract("path", fits.CUTOUT, 1).alias("k")).collect()] == [123456]
+    fits.stored(files, f"file://{tmp_path}/f")
+    assert [(r.cutout_index, r.detector) for r in fits.discover(spark, f"{tmp_path}/f").collect()] == [(123456, 1)]
+
+
+def test_downloads_run_in_threads(spark):
+    import time
+
+    def slow(uri: str) -> bytes:
+        time.sleep(0.2)
+        if uri == "5":
+            raise OSError("gone")
+        return uri.encode()
+
+    began = time.monotonic()
+    got = tables.downloaded(spark.createDataFrame([(str(k),) for k in range(100)], "uri string"), slow, 1).collect()
+    assert time.monotonic() - began < 10 and len(got) == 100
+    assert [(r.uri, r.error) for r in got if r.error] == [("5", "OSError: gone")]
+
+
+def test_kept_tables_leave_oldest_first(spark):
+    from skyframe.operators.cache import Kept
+
+    kept = Kept(2)
+    made = []
+    make = lambda k: lambda: (made.append(k), spark.range(k))[1]
+    for k in (1, 2, 1, 3, 2):
+        assert kept.get(k, make(k)).count() == k
+    assert made == [1, 2, 3, 2] and len(kept) == 2 and (kept.hits, kept.misses) == (1, 4)
+    first = kept.get(3, make(3))
+    assert first.storageLevel.useMemory
+    kept.clear()
+    assert not first.storageLevel.useMemory and len(kept) == 0
