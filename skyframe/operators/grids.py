@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
 
 def quantised(size: Column, base: int) -> Column:
     return (F.ceil(size / base) * base).cast("int")
@@ -62,3 +64,16 @@ def tile_extents(images: DataFrame, key: str, size: int, halo: int, full: bool =
         return [lo.alias(f"{t}_lo"), hi.alias(f"{t}_hi"), (lo - halo).alias(f"{t}_pad_lo"), end.alias(f"{t}_pad_hi")]
 
     return tiles.select(key, "ty", "tx", *ranges("ty", "h"), *ranges("tx", "w"))
+
+
+def sliced(rows: DataFrame, size: int, *order: str) -> DataFrame:
+    """rows with slice: number of the run of ``size`` rows that each is in, by order.
+
+    Rows are numbered inside ranges, of which only the sizes are summed up.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    placed = shared.cut(ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))  # a row a range
+    return placed.join(F.broadcast(starts), "_range").withColumn("slice", F.floor((F.col("_start") + F.col("_place")) / size)).drop("_range", "_place", "_start")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import parameters
 from ..sources import fits, shared, tables
+from ..streaming import cutouts
 from .domain import Domain
 from .registry import query
 from .scalars import r
@@ -192,3 +193,21 @@ def s20(d: Domain) -> DataFrame:
 def x1(d: Domain) -> DataFrame:
     """The streaming aggregate's batch form, by hour."""
     return d.exposures.groupBy("detector", F.date_trunc("hour", "ts").cast("string").alias("hour")).agg(F.count("*").alias("n"), r(F.avg("flux"), "flux"))
+
+
+@query("x1_streamed_fluxes", "select detector, cast(date_trunc('hour', ts) as varchar) \"hour\", count(*) n, round(avg(flux), 6) flux from exposures group by 1, 2", "exposures")
+def x1_streamed(d: Domain) -> DataFrame:
+    """The same as a stream over files, some a batch; each batch's state of the windows replaces the one before."""
+    at, out, marks = (shared.fresh(d.spark, x) for x in ("arriving", "fluxes", "marks"))
+    d.exposures.select("ts", "detector", "flux").repartition(6).write.parquet(at)
+    stream = d.spark.readStream.schema("ts timestamp, detector string, flux double").option("maxFilesPerTrigger", 2).parquet(at)
+
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    state = cutouts.windowed_fluxes(stream).select("detector", F.col("window.start").alias("start"), "n", "flux")
+    query_ = state.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", marks).trigger(availableNow=True).start()
+    query_.awaitTermination()
+    last = d.spark.read.parquet(out)
+    last = last.join(F.broadcast(last.agg(F.max("batch").alias("batch"))), "batch")
+    return last.select("detector", F.col("start").cast("string").alias("hour"), "n", r(F.col("flux"), "flux"))
