@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from . import runtime
 
 MOST, RANGES = 3, 1 << 14
-#: Sources whose plan fits in a broadcast.
-FEW = 5000
+#: Sources whose plan fits in a broadcast, and parts that a source's rows are joined in beyond.
+FEW, PARTS = 5000, 16
 _WORD, _SPACE, _SYMBOL = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+", r"[#*$%&|<>]"
 
 
@@ -93,11 +93,16 @@ def _planned(rows: DataFrame, plan: DataFrame, ranges: int) -> DataFrame:
     """Adds the plan of their source to rows, and times: how often a document is taken."""
     plan = plan.select(F.col("source").alias("_source"), "source_size", "target", "epochs", "last_key", "last_range")
     few = plan.limit(FEW + 1).collect()
+    on = F.col("source").eqNullSafe(F.col("_source"))
     if len(few) <= FEW:  # so few sources may be broadcast; no source's rows have to meet
         plan = F.broadcast(rows.sparkSession.createDataFrame(few, plan.schema))
+    else:  # a source may have any share of the rows, so they are joined in parts
+        plan = plan.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        rows = rows.withColumn("_part", F.pmod(F.xxhash64("sample_key"), F.lit(PARTS)).cast("int"))
+        on = on & (F.col("_part") == F.col("_to"))
     at = F.floor((1 - F.exp(-F.col("sample_key"))) * ranges)
     once = (at < F.col("last_range")) | ((at == F.col("last_range")) & (F.col("sample_key") <= F.col("last_key")))
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).withColumn("times", F.col("epochs") + once.cast("long"))
+    return rows.join(plan, on).withColumn("times", F.col("epochs") + once.cast("long"))
 
 
 def mix(docs: DataFrame, most: int = MOST, seed: int = 1, ranges: int = RANGES) -> DataFrame:

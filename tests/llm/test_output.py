@@ -77,6 +77,17 @@ def test_mix_meets_its_targets(spark):
     assert [r.taken for r in mixing.mix(documents(spark, [(1, None)])).collect()] == [0]
 
 
+def test_mix_of_many_sources_is_the_same(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randint(0, 30), "en", rng.choice(["a", "a", "a", None, "b", "c"])) for i in range(400)]
+    docs = documents(spark, rows)
+    got = []
+    for few in (mixing.FEW, 1):
+        monkeypatch.setattr(mixing, "FEW", few)
+        got.append((sorted(map(tuple, mixing.mix(docs).collect())), sorted(r.doc_id for r in mixing.sample(docs).collect())))
+    assert got[0] == got[1]
+
+
 def least(items: list[int], capacity: int) -> int:
     best, items = [len(items)], sorted(items, reverse=True)
 

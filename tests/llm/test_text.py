@@ -112,13 +112,16 @@ def test_long_texts_are_counted_and_hashed_in_parts(monkeypatch):
     assert own[0].hashes(own[0].offsets[:1], own[0].offsets[1:]) == own[2].hashes(own[2].offsets[:1], own[2].offsets[1:])
 
 
-def test_bounded_sample(spark):
+def test_bounded_sample(spark, monkeypatch):
     df = spark.range(1000).withColumnRenamed("id", "doc_id").selectExpr("doc_id", "doc_id % 2 as g")
     n = folds.bounded_sample(df, "doc_id", 100).count()
     assert 60 < n < 150
     by = {r.g: r["count"] for r in folds.bounded_sample(df, "doc_id", 100, "g").groupBy("g").count().collect()}
     assert len(by) == 2 and all(60 < v < 150 for v in by.values())
     assert folds.bounded_sample(df, "doc_id", 5000).count() == 1000
+    same = folds.bounded_sample(df, "doc_id", 100, "g").orderBy("doc_id").select("doc_id", "g").collect()
+    monkeypatch.setattr(folds, "FEW", 1)  # more values than fit in a broadcast
+    assert folds.bounded_sample(df, "doc_id", 100, "g").orderBy("doc_id").select("doc_id", "g").collect() == [r for r in same]
 
 
 def test_quality_on_held_out_documents(spark):
