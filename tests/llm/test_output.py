@@ -337,7 +337,7 @@ def test_branches_with_other_contents_or_verdicts_stay_apart(spark):
 def test_no_plan_of_the_tree_holds_more_than_a_level(spark, monkeypatch):
     scans = []
     cut = urls.runtime.cut
-    monkeypatch.setattr(urls.runtime, "cut", lambda df: (scans.append(df._jdf.queryExecution().analyzed().toString().count("Relation")), cut(df))[1])
+    monkeypatch.setattr(urls.runtime, "cut", lambda df, *spent: (scans.append(df._jdf.queryExecution().analyzed().toString().count("Relation")), cut(df, *spent))[1])
     urls.judge(spark.createDataFrame([(1, "http://a.com/x/y/1")], "page_id long, url string")).count()
     assert max(scans) <= 10
 
