@@ -74,12 +74,26 @@ def split(mixture: Column, half: Column, inner: float = 3.0, outer: float = 4.0)
     return part(is_mixture, lambda g: (outer - widths(g)) / (outer - inner)), part(is_fourier, lambda g: (widths(g) - inner) / (outer - inner))
 
 
-def unrolled(kind: str, psf: list[tuple[float, ...]], dx: Column, dy: Column, covariance: tuple[Column, Column, Column]) -> Column:
-    """Density at an offset of a profile under a covariance, seen through a mixture (amp, mx, my, vxx, vxy, vyy): the sum over both as one expression."""
-    out = F.lit(0.0)
-    for amp, var in profile(kind):
-        for own, mx, my, vxx, vxy, vyy in psf:
-            out = out + amp * own * density(dx - mx, dy - my, *(var * c + p for c, p in zip(covariance, (vxx, vxy, vyy), strict=True)))
+def prepared(kind: str, psf: list[tuple[float, ...]], covariance: tuple[Column, Column, Column], components: int) -> Column:
+    """Of a profile under a covariance, seen through a mixture, all that doesn't depend on the offset: an array of four numbers (factor, and of dx * dx, dx * dy, dy * dy) a component, filled up to so many of the profile's."""
+    out: list[Column] = []
+    rows = profile(kind)
+    for amp, var in [*rows, *[(0.0, 1.0)] * (components - len(rows))]:
+        for own, _, _, pxx, pxy, pyy in psf:
+            xx, xy, yy = (var * c + p for c, p in zip(covariance, (pxx, pxy, pyy), strict=True))
+            det = F.greatest(F.lit(LEAST_DETERMINANT), xx * yy - xy * xy)
+            out += [amp * own / (2.0 * math.pi * F.sqrt(det)), -0.5 * yy / det, xy / det, -0.5 * xx / det]
+    return F.array(*out)
+
+
+def prepared_density(numbers: Column, psf: list[tuple[float, ...]], components: int, dx: Column, dy: Column) -> Column:
+    """The density at an offset: one expression, of an exponential a component."""
+    out, at = F.lit(0.0), 0
+    for _ in range(components):
+        for _, mx, my, *_ in psf:
+            x, y = dx - mx, dy - my
+            f, xx, xy, yy = (F.get(numbers, F.lit(at + k)) for k in range(4))
+            out, at = out + f * F.exp(xx * x * x + xy * x * y + yy * y * y), at + 4
     return out
 
 

@@ -90,11 +90,11 @@ def r5(d: Domain) -> DataFrame:
 def r9(d: Domain) -> DataFrame:
     """Galaxies under a mixture point-spread function, on the pixels around them."""
     v = ellipses.transformed(tuple(F.col(n) for n in ("t11", "t12", "t21", "t22")), F.lit(1.0), F.lit(0.0), F.lit(1.0))
-    shaped = _shapes(d).select("src_id", "image_id", "x0", "y0", "src_type", *(x.alias(n) for x, n in zip(v, ("vxx", "vxy", "vyy"), strict=True)))
+    made = lambda kind: mixtures.prepared(kind, _PSF, v, 9)  # noqa: E731  the longer profile has nine components
+    # a source's numbers are made once, below the join; a pixel then takes one expression, no array function and no second grouping
+    shaped = _shapes(d).select("src_id", "image_id", "x0", "y0", F.when(F.col("src_type") == "DEV", made("dev")).otherwise(made("exp")).alias("numbers"))
     pairs = footprint(shaped, d.pixels.select("image_id", "x", "y"), F.lit(3.0))
-    dx, dy, cov = F.col("x") - F.col("x0"), F.col("y") - F.col("y0"), (F.col("vxx"), F.col("vxy"), F.col("vyy"))
-    # profiles have few components, so their sum is one expression: no array, no second grouping
-    value = F.when(F.col("src_type") == "DEV", mixtures.unrolled("dev", _PSF, dx, dy, cov)).otherwise(mixtures.unrolled("exp", _PSF, dx, dy, cov))
+    value = mixtures.prepared_density(F.col("numbers"), _PSF, 9, F.col("x") - F.col("x0"), F.col("y") - F.col("y0"))
     return pairs.select("src_id", "x", "y", r(value, "a", 9))
 
 
