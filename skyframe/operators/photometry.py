@@ -186,23 +186,31 @@ def chi_square(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sum(chi).alias("chi2"), F.count_if(F.col("iv") > 0).alias("npix"), (-0.5 * F.sum(chi)).alias("loglike"))
 
 
-def profile_statistics(rows: DataFrame, *keys: str) -> DataFrame:
-    """Profile-weighted statistics of each source. rows: a (unit model), flux, model (of all sources), data, iv."""
-    a, iv = F.abs(F.col("a")), F.col("iv")
-    good = iv > 0
+def profile_statistics(rows: DataFrame, key: str, image: str = "image_id", extras: tuple[str, ...] = ()) -> DataFrame:
+    """Profile-weighted statistics of each source, summed over its images.
+
+    rows: a (unit model), flux (counts of the source on that image), model (of all sources, without sky), data, iv, and the
+    planes named in extras, whose weighted sums are added. Pixels count where the unit model isn't 0 and there is
+    weight; images without such a pixel, or without counts, don't count at all.
+    """
+    a, c, iv = F.col("a"), F.col("flux"), F.col("iv")
+    s, good = F.abs(a), (F.col("a") != 0) & (F.col("iv") > 0)
     chi2 = (F.col("data") - F.col("model")) * (F.col("data") - F.col("model")) * iv
-    own, all_ = F.col("a") * F.col("flux"), F.col("model")
-    num = F.sum(F.when(good, a * F.abs(own)).otherwise(0.0))
-    den = F.sum(F.when(good, a * F.abs(all_)).otherwise(0.0))
-    return rows.groupBy(*keys).agg(
-        F.sum(a * chi2).alias("prochi2"),
-        F.sum(F.when(good, a).otherwise(0.0)).alias("pronpix"),
-        F.sum(F.when(~good, a).otherwise(0.0)).alias("promasked"),
-        (num / F.greatest(F.lit(1.0), den)).alias("profracflux"),
-        (F.sum(F.when(good, F.abs(own)).otherwise(0.0)) / F.greatest(F.lit(1.0), F.sum(F.abs(own)))).alias("fracin"),
-        F.sum(F.when(good, a * F.abs(all_ - own)).otherwise(0.0)).alias("proflux"),
-        F.count_if(good).alias("npix"),
-    )
+    inside = lambda v: F.sum(F.when(good, v).otherwise(0.0))
+    sums = {
+        "prochi2": inside(s * chi2),
+        "pronpix": inside(s),
+        "promasked": F.sum(F.when(iv == 0, s).otherwise(0.0)),
+        # everybody else's light over the source's own
+        "_num": inside(F.abs(F.col("model") / c - a) * s) / inside(a * a),
+        "_den": inside(s / F.abs(c)),
+        "proflux": inside(F.abs(F.col("model") - a * c) * s),
+        "npix": F.count_if(good),
+        "_in": F.sum(s),
+    } | {x: inside(s * F.col(x)) for x in extras}
+    each = rows.where(c != 0).groupBy(key, image).agg(F.count_if(good).alias("_some"), *(v.alias(f"{k}") for k, v in ((k, F.when(F.count_if(good) > 0, v)) for k, v in sums.items()))).where("_some > 0")
+    whole = each.groupBy(key).agg(*(F.sum(x).alias(x) for x in ("prochi2", "pronpix", "promasked", "proflux", "npix", "_num", "_den", "_in", *extras)), F.count("*").alias("_images"))
+    return whole.select(key, "prochi2", "pronpix", "promasked", (F.col("_num") / F.greatest(F.lit(1.0), "_den")).alias("profracflux"), (F.col("_in") / F.greatest(F.lit(1), "_images")).alias("fracin"), "proflux", "npix", *extras)
 
 
 def plane(rows: DataFrame, *keys: str) -> DataFrame:

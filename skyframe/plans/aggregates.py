@@ -124,18 +124,19 @@ def a11(d: Domain) -> DataFrame:
 
 @query(
     "a13_profile_statistics",
-    f"""with {_T}, {_M}, j as (select t.*, model from t join m using (image_id, y, x)) select src_id, round(sum(a * ("data" - model) * ("data" - model) * iv), 2) prochi2, round(sum(case when iv > 0 then a else 0e0 end), 6) pronpix,
-  round(sum(case when iv > 0 then 0e0 else a end), 6) promasked, round(sum(case when iv > 0 then a * abs(a * flux) else 0e0 end) / greatest(1e0, sum(case when iv > 0 then a * abs(model) else 0e0 end)), 6) profracflux,
-  round(sum(case when iv > 0 then abs(a * flux) else 0e0 end) / greatest(1e0, sum(abs(a * flux))), 6) fracin, round(sum(case when iv > 0 then a * abs(model - a * flux) else 0e0 end), 4) proflux,
-  cast(sum(case when iv > 0 then 1 else 0 end) as bigint) npix from j group by 1""",
+    f"""with {_T}, {_M}, j as (select t.*, model, a <> 0 and t.iv > 0 ok from t join m using (image_id, y, x) where flux <> 0),
+ e as (select src_id, image_id, sum(a * ("data" - model) * ("data" - model) * iv) filter (ok) prochi2, sum(a) filter (ok) pronpix, coalesce(sum(a) filter (iv = 0), 0e0) promasked, sum(abs(model / flux - a) * a) filter (ok) / sum(a * a) filter (ok) num,
+  sum(a / abs(flux)) filter (ok) den, sum(abs(model - a * flux) * a) filter (ok) proflux, count(*) filter (ok) n, sum(a) ins, sum(a * "data") filter (ok) weighed from j group by 1, 2)
+ select src_id, round(sum(prochi2), 2) prochi2, round(sum(pronpix), 6) pronpix, round(sum(promasked), 6) promasked, round(sum(num) / greatest(1e0, sum(den)), 6) profracflux, round(sum(ins) / count(*), 6) fracin, round(sum(proflux), 4) proflux,
+  cast(sum(n) as bigint) npix, round(sum(weighed), 6) weighed from e where n > 0 group by 1""",
     "src good",
 )
 def a13(d: Domain) -> DataFrame:
-    """Profile-weighted statistics of each source."""
+    """Profile-weighted statistics of each source, with a plane of the user's."""
     t = _templates(d)
     m = photometry.model(t, F.col("flux")).select("image_id", "y", "x", "model")
-    got = photometry.profile_statistics(t.join(m, ["image_id", "y", "x"]), "src_id")
-    return got.select("src_id", r(F.col("prochi2"), "prochi2", 2), *(r(F.col(c), c) for c in ("pronpix", "promasked", "profracflux", "fracin")), r(F.col("proflux"), "proflux", 4), "npix")
+    got = photometry.profile_statistics(t.join(m, ["image_id", "y", "x"]).withColumn("weighed", F.col("data")), "src_id", extras=("weighed",))
+    return got.select("src_id", r(F.col("prochi2"), "prochi2", 2), *(r(F.col(c), c) for c in ("pronpix", "promasked", "profracflux", "fracin", "weighed")), r(F.col("proflux"), "proflux", 4), F.col("npix").cast("long").alias("npix"))
 
 
 @query("a15_assembled_images", f"with {_T} select image_id, y, x, round(sum(greatest(flux - 94e1, 5e0) * a), 6) mod, round(any_value(sqrt(iv)), 6) ie from t group by 1, 2, 3", "src good")

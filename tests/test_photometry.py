@@ -302,3 +302,37 @@ def test_sparse_parts():
     for p in parts:
         assert np.allclose(f.dense(p), dense[np.ix_(p, p)])
         assert not dense[np.ix_(p, np.setdiff1d(np.arange(60), p))].any()
+
+
+def test_profile_statistics_by_hand(spark):
+    rng = np.random.default_rng(6)
+    rows, expected = [], {}
+    for s in range(3):
+        total = dict.fromkeys(("prochi2", "pronpix", "promasked", "proflux", "npix", "num", "den", "inside", "images", "extra"), 0.0)
+        for i in range(3):
+            a, data, model = rng.random(12) / 12, rng.random(12) * 9, rng.random(12) * 8
+            iv, extra = np.where(rng.random(12) < 0.3, 0.0, rng.random(12)), rng.random(12)
+            a[rng.random(12) < 0.2] = 0
+            c = 0.0 if (s, i) == (1, 1) else float(rng.uniform(0.05, 3))
+            iv = iv * 0 if (s, i) == (2, 0) else iv
+            rows += [(s, i, float(a[p]), c, float(model[p]), float(data[p]), float(iv[p]), float(extra[p])) for p in range(12)]
+            nz = (a != 0) & (iv > 0)
+            if c == 0 or not nz.any():
+                continue
+            chi2 = (data - model) ** 2 * iv
+            total["prochi2"] += (a * chi2)[nz].sum()
+            total["pronpix"] += a[nz].sum()
+            total["promasked"] += a[iv == 0].sum()
+            total["num"] += (np.abs(model / c - a) * a)[nz].sum() / (a**2)[nz].sum()
+            total["den"] += (a / c)[nz].sum()
+            total["proflux"] += (np.abs(model - a * c) * a)[nz].sum()
+            total["npix"] += nz.sum()
+            total["inside"] += a.sum()
+            total["images"] += 1
+            total["extra"] += (a * extra)[nz].sum()
+        expected[s] = total
+    df = spark.createDataFrame(rows, "src_id long, image_id long, a double, flux double, model double, data double, iv double, extra double")
+    for r in photometry.profile_statistics(df, "src_id", extras=("extra",)).collect():
+        e = expected[r.src_id]
+        want = [e["prochi2"], e["pronpix"], e["promasked"], e["num"] / max(1, e["den"]), e["inside"] / max(1, e["images"]), e["proflux"], e["npix"], e["extra"]]
+        assert np.allclose([r.prochi2, r.pronpix, r.promasked, r.profracflux, r.fracin, r.proflux, r.npix, r.extra], want)
