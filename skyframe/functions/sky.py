@@ -55,12 +55,17 @@ def pixel_to_position_derivatives(dx: Column, dy: Column, w: dict[str, Column])
     return (dx * w["cd22"] - dy * w["cd21"]) / det, (dy * w["cd11"] - dx * w["cd12"]) / det
 
 
-def pixel_position_angle(pa: Column, w: dict[str, Column]) -> Column:
-    """The angle, from the x axis in degrees, of one arc second towards a sky position angle."""
-    step = 1.0 / 3600.0
-    u, v = step * F.sin(F.radians(pa)), step * F.cos(F.radians(pa))
-    det = w["cd11"] * w["cd22"] - w["cd12"] * w["cd21"]
-    return F.degrees(F.atan2((w["cd11"] * v - w["cd21"] * u) / det, (w["cd22"] * u - w["cd12"] * v) / det))
+def pixel_position_angle(pa: Column, ra: Column, dec: Column, w: dict[str, Column], kind: str = "tangent", step: float = 1.0, y_down: bool = False) -> Column:
+    """A sky angle at a position, from east towards north, as the angle in the image from x towards y (or -y), both in degrees.
+
+    The image of ``step`` arc seconds to the east and to the north is probed there.
+    """
+    d = step / 3600.0
+    to_pixel = TRANSFORMS[kind][0]
+    here, east, north = to_pixel(ra, dec, w), to_pixel(ra + d / F.cos(F.radians(dec)), dec, w), to_pixel(ra, dec + d, w)
+    c, s = F.cos(F.radians(pa)), F.sin(F.radians(pa))
+    x, y = ((e - h) * c + (n - h) * s for h, e, n in zip(here, east, north, strict=True))
+    return F.degrees(F.atan2(-y if y_down else y, x))
 
 
 def wrapped_step(a: Column, b: Column) -> Column:

@@ -146,14 +146,25 @@ def m14(d: Domain) -> DataFrame:
     return rows.select("image_id", "x", "y", r(F.abs(step * F.col("cd22")) * 1e6, "area"))
 
 
+def _pixel(a: str, d: str) -> tuple[str, str]:
+    """An affine transform of a position, in SQL."""
+    u, v = f"degrees(cos(radians({d})) * sin(radians({a} - crval1)))", f"degrees(sin(radians({d})) * cos(radians(crval2)) - cos(radians({d})) * sin(radians(crval2)) * cos(radians({a} - crval1)))"
+    return f"(cd22 * {u} - cd12 * {v}) / (cd11 * cd22 - cd12 * cd21)", f"(cd11 * {v} - cd21 * {u}) / (cd11 * cd22 - cd12 * cd21)"
+
+
+_HERE, _EAST, _NORTH = _pixel("a", "d"), _pixel("(a + 1e0 / 36e2 / cos(radians(d)))", "d"), _pixel("a", "(d + 1e0 / 36e2)")
+
+
 @query(
     "m15_pixel_position_angle",
-    "select src_id, round(degrees(atan2((cd11 * v - cd21 * u) / (cd11 * cd22 - cd12 * cd21), (cd22 * u - cd12 * v) / (cd11 * cd22 - cd12 * cd21))), 6) angle from (select *, sin(radians(phi)) / 36e2 u, cos(radians(phi)) / 36e2 v from src join frames using (image_id)) t",
+    f"""with s as (select src_id, phi, frames.*, x0 / 1e2 - 8e-2 + crval1 a, y0 / 1e2 - 8e-2 + crval2 d from src join frames using (image_id)),
+ p as (select src_id, phi, {_HERE[0]} hx, {_HERE[1]} hy, {_EAST[0]} ex, {_EAST[1]} ey, {_NORTH[0]} nx, {_NORTH[1]} ny from s)
+ select src_id, round(degrees(atan2((ey - hy) * cos(radians(phi)) + (ny - hy) * sin(radians(phi)), (ex - hx) * cos(radians(phi)) + (nx - hx) * sin(radians(phi)))), 4) angle from p""",
     "src frames",
 )
 def m15(d: Domain) -> DataFrame:
-    """A position angle on the sky as an angle in the image."""
-    return d.sources.join(d.frames, "image_id").select("src_id", r(sky.pixel_position_angle(F.col("phi"), wcs_columns()), "angle"))
+    """An angle on the sky as an angle in the image, at each source's place."""
+    return _projected(d).select("src_id", r(sky.pixel_position_angle(F.col("phi"), F.col("a"), F.col("d"), wcs_columns(), "affine"), "angle", 4))
 
 
 @query(

@@ -336,3 +336,18 @@ def test_profile_statistics_by_hand(spark):
         e = expected[r.src_id]
         want = [e["prochi2"], e["pronpix"], e["promasked"], e["num"] / max(1, e["den"]), e["inside"] / max(1, e["images"]), e["proflux"], e["npix"], e["extra"]]
         assert np.allclose([r.prochi2, r.pronpix, r.promasked, r.profracflux, r.fracin, r.proflux, r.npix, r.extra], want)
+
+
+def test_position_angles_follow_the_image(spark):
+    from pyspark.sql import functions as F
+
+    from skyframe.functions import sky
+
+    w = {k: F.lit(v) for k, v in dict(crpix1=5.0, crpix2=6.0, crval1=40.0, crval2=30.0, cd11=-1e-3, cd12=0.0, cd21=0.0, cd22=1e-3).items()}
+    df = spark.createDataFrame([(0.0,), (90.0,), (30.0,)], "pa double")
+    for kind in ("tangent", "affine"):
+        # east is to the left and north up
+        got = [r.a for r in df.select(sky.pixel_position_angle(F.col("pa"), F.lit(40.0), F.lit(30.0), w, kind).alias("a")).collect()]
+        assert np.allclose(np.cos(np.radians(got)), np.cos(np.radians([180, 90, 150])), atol=1e-5) and got[1] > 89 and got[2] > 149
+        down = [r.a for r in df.select(sky.pixel_position_angle(F.col("pa"), F.lit(40.0), F.lit(30.0), w, kind, y_down=True).alias("a")).collect()]
+        assert np.allclose(down[1:], [-90, -150], atol=1e-3)
