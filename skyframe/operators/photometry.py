@@ -213,6 +213,26 @@ def profile_statistics(rows: DataFrame, key: str, image: str = "image_id", extra
     return whole.select(key, "prochi2", "pronpix", "promasked", (F.col("_num") / F.greatest(F.lit(1.0), "_den")).alias("profracflux"), (F.col("_in") / F.greatest(F.lit(1), "_images")).alias("fracin"), "proflux", "npix", *extras)
 
 
+def quality(pixels: DataFrame, key: str) -> DataFrame:
+    """Quality metrics of each image. pixels: data, bkg, iv, bad. Data less background, and its size over the error, count where a pixel is valid: not bad, finite and of weight; background where it is a number."""
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    valid = ~F.col("bad") & finite(F.col("data")) & finite(F.col("bkg")) & finite(F.col("iv")) & (F.col("iv") > 0)
+    clean = F.when(valid, F.col("data") - F.col("bkg"))
+    snr, sky = F.abs(clean) * F.sqrt(F.when(valid, F.col("iv"))), F.when(~F.isnan("bkg"), F.col("bkg"))
+    return pixels.groupBy(key).agg(
+        F.count("*").alias("npix"),
+        F.avg(F.col("bad").cast("double")).alias("mask_fraction"),
+        F.avg(valid.cast("double")).alias("valid_fraction"),
+        F.median(sky).alias("bkg_median"),
+        F.avg(sky).alias("bkg_mean"),
+        F.stddev_pop(sky).alias("bkg_std"),
+        F.median(clean).alias("data_median"),
+        F.stddev_pop(clean).alias("data_std"),
+        F.median(snr).alias("snr_median"),
+        F.avg(snr).alias("snr_mean"),
+    )
+
+
 def plane(rows: DataFrame, *keys: str) -> DataFrame:
     """Weighted plane z = a + b x + c y of each group's unmasked pixels; groups without a unique plane are left out."""
     x, y, z, w = F.col("x").cast("double"), F.col("y").cast("double"), F.col("data"), F.col("iv")

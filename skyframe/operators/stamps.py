@@ -9,10 +9,10 @@ from ..functions.mixtures import lanczos
 
 
 def centroid(stamps: DataFrame, *keys: str) -> DataFrame:
-    """Sum, flux-weighted centre, and the peak (first pixel by y, x on a tie)."""
+    """Sum, flux-weighted centre (null if the sum is 0), and the peak (first pixel by y, x on a tie)."""
     v = F.col("value")
     peak = F.max(F.struct(v.alias("v"), (-F.col("y")).alias("y"), (-F.col("x")).alias("x")))
-    out = stamps.groupBy(*keys).agg(F.sum(v).alias("total"), (F.sum(F.col("y") * v) / F.sum(v)).alias("cy"), (F.sum(F.col("x") * v) / F.sum(v)).alias("cx"), peak.alias("_p"))
+    out = stamps.groupBy(*keys).agg(F.sum(v).alias("total"), F.try_divide(F.sum(F.col("y") * v), F.sum(v)).alias("cy"), F.try_divide(F.sum(F.col("x") * v), F.sum(v)).alias("cx"), peak.alias("_p"))
     return out.select(*keys, "total", "cy", "cx", F.col("_p.v").alias("peak"), (-F.col("_p.y")).alias("py"), (-F.col("_p.x")).alias("px"))
 
 
@@ -40,11 +40,12 @@ def halve(stamps: DataFrame, key: str, size: int) -> DataFrame:
     small = rows.groupBy(key, (F.col("_y") + half).alias("y"), (F.col("_x") + half).alias("x")).agg(F.avg("value").alias("value"))
     total = stamps.groupBy(key).agg(F.sum("value").alias("_total"))
     own = F.sum("value").over(Window.partitionBy(key))
-    return small.join(total, key).select(key, "y", "x", (F.col("value") * F.col("_total") / own).alias("value"))
+    return small.join(total, key).select(key, "y", "x", F.try_divide(F.col("value") * F.col("_total"), own).alias("value"))
 
 
 def normalise(stamps: DataFrame, *keys: str) -> DataFrame:
-    return stamps.withColumn("value", F.col("value") / F.sum("value").over(Window.partitionBy(*keys)))
+    """Stamps of sum 1; one of sum 0 becomes null."""
+    return stamps.withColumn("value", F.try_divide(F.col("value"), F.sum("value").over(Window.partitionBy(*keys))))
 
 
 def encircled_radius(stamps: DataFrame, key: str, share: float, cy: float, cx: float) -> DataFrame:

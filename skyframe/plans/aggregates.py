@@ -175,21 +175,16 @@ def a17(d: Domain) -> DataFrame:
     return got.select("image_id", "y", "x", r(F.col("background"), "background"))
 
 
-@query("a18_quality_metrics", "select image_id, count(*) npix, round(avg(case when bad then 1e0 else 0e0 end), 6) mask_fraction, round(median(bkg), 6) bkg_median, round(avg(bkg), 6) bkg_mean, round(stddev_pop(bkg), 6) bkg_std, round(median(\"data\"), 6) data_median, round(stddev_pop(\"data\"), 6) data_std, round(median((\"data\" - bkg) / sqrt(var)), 6) snr_median, round(avg((\"data\" - bkg) / sqrt(var)), 6) snr_mean from good group by 1", "good")
+@query(
+    "a18_quality_metrics",
+    """with v as (select *, "data" - bkg clean, abs("data" - bkg) * sqrt(iv) snr, not bad and iv > 0 ok from good) select image_id, count(*) npix, round(avg(case when bad then 1e0 else 0e0 end), 6) mask_fraction, round(avg(case when ok then 1e0 else 0e0 end), 6) valid_fraction,
+ round(median(bkg), 6) bkg_median, round(avg(bkg), 6) bkg_mean, round(stddev_pop(bkg), 6) bkg_std, round(median(clean) filter (ok), 6) data_median, round(stddev_pop(clean) filter (ok), 6) data_std, round(median(snr) filter (ok), 6) snr_median, round(avg(snr) filter (ok), 6) snr_mean from v group by 1""",
+    "good",
+)
 def a18(d: Domain) -> DataFrame:
     """Quality metrics of each cutout; deviations are of the population."""
-    snr = (F.col("data") - F.col("bkg")) / F.sqrt("var")
-    return d.good.groupBy("image_id").agg(
-        F.count("*").alias("npix"),
-        r(F.avg(F.col("bad").cast("double")), "mask_fraction"),
-        r(F.median("bkg"), "bkg_median"),
-        r(F.avg("bkg"), "bkg_mean"),
-        r(F.stddev_pop("bkg"), "bkg_std"),
-        r(F.median("data"), "data_median"),
-        r(F.stddev_pop("data"), "data_std"),
-        r(F.median(snr), "snr_median"),
-        r(F.avg(snr), "snr_mean"),
-    )
+    got = photometry.quality(d.good, "image_id")
+    return got.select("image_id", "npix", *(r(F.col(c), c) for c in got.columns if c not in ("image_id", "npix")))
 
 
 @query("a19_result_diagnostics", "select detector, cast(sum(case when flux < 2e0 then 1 else 0 end) as bigint) low, cast(sum(case when isnan(flux) then 1 else 0 end) as bigint) nans, cast(sum(case when isinf(flux) then 1 else 0 end) as bigint) infs, count(*) n from exposures group by 1", "exposures")

@@ -351,3 +351,24 @@ def test_position_angles_follow_the_image(spark):
         assert np.allclose(np.cos(np.radians(got)), np.cos(np.radians([180, 90, 150])), atol=1e-5) and got[1] > 89 and got[2] > 149
         down = [r.a for r in df.select(sky.pixel_position_angle(F.col("pa"), F.lit(40.0), F.lit(30.0), w, kind, y_down=True).alias("a")).collect()]
         assert np.allclose(down[1:], [-90, -150], atol=1e-3)
+
+
+def test_quality_by_hand(spark):
+    rng = np.random.default_rng(9)
+    data, bkg, iv, bad = rng.normal(5, 9, 60), rng.random(60), rng.random(60), rng.random(60) < 0.2
+    data[3], bkg[5], iv[7], data[9] = np.nan, np.nan, 0.0, np.inf
+    rows = [(1, float(a), float(b), float(c), bool(d)) for a, b, c, d in zip(data, bkg, iv, bad)] + [(2, 1.0, 2.0, 0.0, True)]
+    one, two = photometry.quality(spark.createDataFrame(rows, "image_id long, data double, bkg double, iv double, bad boolean"), "image_id").orderBy("image_id").collect()
+    ok = ~bad & np.isfinite(data) & np.isfinite(bkg) & (iv > 0)
+    clean, snr = (data - bkg)[ok], (np.abs(data - bkg) * np.sqrt(iv))[ok]
+    want = [60, bad.mean(), ok.mean(), np.nanmedian(bkg), np.nanmean(bkg), np.nanstd(bkg), np.median(clean), clean.std(), np.median(snr), snr.mean()]
+    assert np.allclose(list(one)[1:], want)
+    assert two.valid_fraction == 0 and two.data_median is None and two.snr_mean is None
+
+
+def test_empty_stamps_have_no_centre(spark):
+    s = spark.createDataFrame([(1, y, x, 0.0) for y in range(3) for x in range(3)] + [(2, 0, 1, 2.0), (2, 2, 1, 2.0)], "psf_id long, y int, x int, value double")
+    one, two = stamps.centroid(s, "psf_id").orderBy("psf_id").collect()
+    assert (one.total, one.cy, one.cx) == (0.0, None, None) and (two.total, two.cy, two.cx, two.py, two.px) == (4.0, 1.0, 1.0, 0, 1)
+    assert {r.value for r in stamps.normalise(s, "psf_id").collect()} == {None, 0.5}
+    assert stamps.halve(s, "psf_id", 3).where("psf_id = 1 and value is not null").count() == 0
