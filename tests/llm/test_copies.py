@@ -349,3 +349,80 @@ def test_texts_that_share_an_identifier_have_passages_of_their_own(spark):
     assert kept.columns == docs.columns
     left = sorted((r.doc_id, r.text) for r in kept.collect())
     assert (2, " ".join(b)) in left and (2, " ".join(c) + " ") in left and not any(i == 3 for i, _ in left) and (1, " ".join(a)) in left
+
+
+def test_the_run_that_passages_at_the_threshold_share():
+    assert substring.sure_run(50, 0.8) == 25 and substring.sure_run(50, 1.0) == 50
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 3)) for _ in range(n)) for n in (300, 3, 25, 24, 60)]
+    shared = passages_of(rng, 25)
+    texts += [" ".join(passages_of(rng, 20) + shared + passages_of(rng, 30)), " ".join(shared), " ".join(["x"] * 60)]
+    for _, _, c in chunks(pa.array(texts)):
+        key, own, place = substring.anchors(c, 25)
+        for k, t in enumerate(texts):
+            w, at = words(t), set((place[own == k] >> 32).tolist())
+            assert all(any(i <= p <= i + 16 for p in at) or len(set(w[i : i + 25])) < 25 for i in range(len(w) - 24)) and all(p + 9 <= len(w) for p in at)
+        assert set(key[own == 6].tolist()) <= set(key[own == 5].tolist()) and (own == 7).sum() == 1 and not (own == 3).any()
+
+
+def test_near_passages_of_least_length_are_all_found(spark):
+    rng = random.Random(13)
+    docs, near = {}, set()
+    for g in range(700):
+        first = passages_of(rng, 50)
+        second = list(first)
+        second[rng.choice([1, 2, 3, 20, 25, 29, 46, 47])] = f"changed{rng.randint(0, 10**9)}"
+        a, b = (frozenset(tuple(x[i : i + 5]) for i in range(46)) for x in (first, second))
+        assert len(a & b) >= 0.8 * len(a | b)
+        docs[g], docs[1000 + g] = passages_of(rng, 40) + first + passages_of(rng, 40), passages_of(rng, 30) + second + passages_of(rng, 50)
+        near.add(1000 + g)
+    got = {r.doc_id: r for r in substring.repeats(documents(spark, [(i, " ".join(w)) for i, w in docs.items()])).collect()}
+    assert set(got) == near and all(r.end_word - r.first_word >= 50 and r.kept_in == i - 1000 for i, r in got.items())
+
+
+def test_near_passages_are_found_behind_documents_with_a_part(spark):
+    rng = random.Random(14)
+    docs, near = {}, set()
+    for g in range(60):
+        first = passages_of(rng, 60)
+        second = list(first)
+        second[rng.randint(24, 35)] = f"changed{rng.randint(0, 10**9)}"
+        docs[g] = passages_of(rng, 70) + first[:40] + passages_of(rng, 80)  # under 45 words in a row: no passage
+        docs[100 + g], docs[200 + g] = passages_of(rng, 50) + first + passages_of(rng, 60), passages_of(rng, 60) + second + passages_of(rng, 40)
+        near.add(200 + g)
+    got = {r.doc_id for r in substring.repeats(documents(spark, [(i, " ".join(w)) for i, w in docs.items()])).collect()}
+    assert got == near
+
+
+def test_passages_against_all_pairs_of_runs():
+    rng = np.random.default_rng(9)
+    for runs in ((30, 15, 10, 10, 10), (30, 15, 8, 8), (10, 10, 30, 15, 10), (43,), (41,), (20, 21, 20), (12, 40, 12)):
+        ids = iter(rng.permutation(2**20).astype(np.uint64))
+        take = lambda n: [next(ids) for _ in range(n)]
+        own, other, at = take(60), take(30), []
+        for n in runs:
+            same = take(n)
+            at.append((len(own), len(own) + n))
+            own += [*same, *take(5)]
+            other += [*same, *take(5)]
+        own, other = np.array(own + take(60)), np.array(other + take(60))
+        best = [(a, b) for i, (a, _) in enumerate(at) for j, (_, b) in enumerate(at) if i <= j and sum(runs[i : j + 1]) >= 0.8 * (2 * max(46, b - a) - sum(runs[i : j + 1]))]
+        got = substring.passages(own, other)
+        assert best and all(any(x <= a and b + 4 <= y for x, y, _, _ in got) for a, b in best), runs
+        assert all(y - x >= 50 and len(np.intersect1d(own[x : y - 4], other[z : w - 4])) >= 0.8 * len(np.union1d(own[x : y - 4], other[z : w - 4])) for x, y, z, w in got)
+
+
+def test_stretches_are_made_once(spark, monkeypatch):
+    made, cut = [], substring.runtime.cut
+
+    def seen(df, *a):
+        made.append(df._jdf.queryExecution().optimizedPlan().toString().count("posexplode(stretches"))
+        return cut(df, *a)
+
+    monkeypatch.setattr(substring.runtime, "cut", seen)
+    monkeypatch.setattr(substring, "PART_ROWS", 8)
+    monkeypatch.setattr(substring, "SAMPLE", 1)
+    rng = random.Random(2)
+    shared = passages_of(rng, 58)
+    substring.repeats(documents(spark, [(i, " ".join(passages_of(rng, 60) + shared)) for i in range(40)]))
+    assert max(made) == 1 and sum(made) == 2  # the second for groups in parts only
