@@ -426,3 +426,44 @@ def test_stretches_are_made_once(spark, monkeypatch):
     shared = passages_of(rng, 58)
     substring.repeats(documents(spark, [(i, " ".join(passages_of(rng, 60) + shared)) for i in range(40)]))
     assert max(made) == 1 and sum(made) == 2  # the second for groups in parts only
+
+
+def test_runs_of_a_chain_are_compared_once(monkeypatch):
+    tried, widened = [], substring._widened
+
+    def seen(*a):
+        tried.append(a[-3])
+        return widened(*a)
+
+    monkeypatch.setattr(substring, "_widened", seen)
+    rng, found = np.random.default_rng(5), 0
+    for size, length, changes in ((6, 100, 14), (8, 150, 20), (400, 300, 30), (2**20, 300, 24)) * 4:
+        base = rng.integers(0, size, length).astype(np.uint64)
+        own, other = base.copy(), base.copy()
+        for x, new in ((own, 2**30), (other, 2**31)):
+            for i, at in enumerate(rng.choice(length - 4, changes // 2, replace=False)):
+                x[at : at + rng.integers(1, 5)] = new + i
+        tried.clear()
+        found += len(substring.passages(own, other))
+        assert len(tried) == len(set(tried)) <= length
+    assert found
+
+
+def test_shuffle_files_go_once_their_table_is_written(spark, monkeypatch):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    rng, cut, left = random.Random(4), substring.runtime.cut, {}
+
+    def files():
+        all_ = disk.getAllFiles()
+        return {all_.apply(i).getName() for i in range(all_.size()) if all_.apply(i).getName().startswith("shuffle_")}
+
+    def seen(df, *a):
+        left[tuple(df.columns)] = files()  # what there is when the next table is made
+        return cut(df, *a)
+
+    monkeypatch.setattr(substring.runtime, "cut", seen)
+    monkeypatch.setattr(substring.runtime, "free", lambda _: None, raising=False)  # not left to the garbage's collector
+    shared = passages_of(rng, 58)
+    substring.repeats(documents(spark, [(i, " ".join(passages_of(rng, 60) + shared)) for i in range(40)]))
+    before, after = (next(v for k, v in left.items() if x in k) for x in ("lead", "both"))
+    assert len(after - before) == 0
